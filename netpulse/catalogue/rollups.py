@@ -211,8 +211,7 @@ LATERAL (SELECT unnest(range(1, len(parts) + 1)) AS i) x"""
 
 
 def low_data_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    days = rollup.daily(tables.measurements(spark, sf_dir))
-    return days.select("host_id", "period", "records", "errors", "low_data", "high_errors")
+    return rollup.completeness(tables.measurements(spark, sf_dir), "daily")
 
 
 LOW_DATA_SQL = (

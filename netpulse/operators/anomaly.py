@@ -36,6 +36,14 @@ def _two_decimals(hundredths: Column) -> Column:
     return (hundredths.cast("decimal(20,0)") / 100).cast("decimal(20,2)").cast("string")
 
 
+def data_warnings(expected: int) -> dict[str, Column]:
+    """Fewer than 80 % of the expected records; more than five errors."""
+    return {
+        "low_data": F.col("records") * 10 < int(expected * config.LOW_COMPLETION * 10),
+        "high_errors": F.col("errors") > config.MAX_ERRORS,
+    }
+
+
 def with_period_anomalies(wide: DataFrame, level: str) -> DataFrame:
     """Add ``threshold_mbps``, ``anomalies``, the warnings and the threshold map."""
     expected = F.col("threshold_mbps")
@@ -75,8 +83,7 @@ def with_period_anomalies(wide: DataFrame, level: str) -> DataFrame:
         wide.withColumns(
             {
                 "threshold_mbps": expected_speed(F.col("top_connection")),
-                "low_data": F.col("records") * 10 < int(wanted * config.LOW_COMPLETION * 10),
-                "high_errors": F.col("errors") > config.MAX_ERRORS,
+                **data_warnings(wanted),
                 "connection_type_thresholds": threshold_map(),
             }
         )

@@ -66,36 +66,45 @@ def value_counts(measurements: DataFrame, level: str) -> DataFrame:
     )
 
 
-def floor_rank(p: float, count: Column) -> Column:
+def floor_rank(p: float, count: str) -> str:
     """Zero-based position ``int(p * (count - 1))``, in double arithmetic."""
-    return F.floor(F.lit(p) * (count - 1))
+    return f"floor({p}D * ({count} - 1))"
 
 
-def _ranked(counts: DataFrame) -> DataFrame:
+# Zero-based ranks a summary needs.
+RANKS = {
+    "min": "0",
+    "max": "total - 1",
+    "mid_low": "(total - 1) div 2",
+    "mid_high": "total div 2",
+    **{name: floor_rank(p, "total") for name, p in PERCENTILES.items()},
+}
+
+
+def _holds(rank: str) -> str:
+    """The distinct value of this row covers the rank."""
+    return f"(upto - n <= {rank} and {rank} < upto)"
+
+
+def _per_dimension(counts: DataFrame, servers: int, connections: int | None) -> DataFrame:
+    """One row per host, period and dimension, in the partitioning of the ranking window."""
     group = W.partitionBy("host_id", "period", "dim")
     order = group.orderBy("num", F.desc("n"), "first_seq", "txt")
-    return counts.withColumns(
+    ranked = counts.withColumns(
         {
             "rank": F.row_number().over(order),
             "upto": F.sum("n").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)),
             "total": F.sum("n").over(group),
-            "total_c": F.sum(F.col("num") * F.col("n")).over(group),
         }
     )
-
-
-def _wanted_ranks() -> dict[str, Column]:
-    last = F.col("total") - 1
-    ranks = {name: floor_rank(p, F.col("total")) for name, p in PERCENTILES.items()}
-    ranks["mid_low"] = F.call_function("div", last, F.lit(2))
-    ranks["mid_high"] = F.call_function("div", F.col("total"), F.lit(2))
-    ranks["min"] = F.lit(0)
-    ranks["max"] = last
-    return ranks
-
-
-def _holds(rank: Column) -> Column:
-    return (F.col("upto") - F.col("n") <= rank) & (rank < F.col("upto"))
+    listed = f"(dim = '{SERVER}' and rank <= {servers})"
+    listed += f" or (dim = '{CONNECTION}'" + (f" and rank <= {connections})" if connections else ")")
+    return ranked.groupBy("host_id", "period", "dim").agg(
+        F.expr("sum(n)").alias("n"),
+        F.expr("sum(num * n)").alias("sum"),
+        *[F.expr(f"max(case when {_holds(r)} then num end)").alias(name) for name, r in RANKS.items()],
+        F.expr(f"sort_array(collect_list(case when {listed} then struct(rank, txt) end))").alias("items"),
+    )
 
 
 def summaries(measurements: DataFrame, level: str) -> DataFrame:
@@ -106,42 +115,25 @@ def summaries(measurements: DataFrame, level: str) -> DataFrame:
     the exact sums the report jobs use.
     """
     settings = config.LEVELS[level]
-    is_metric = F.col("dim").isin(*METRICS)
-    keep_connections = (
-        F.lit(True) if level == "hourly" else F.col("rank") <= config.TOP_CONNECTIONS
+    hourly_level = level == "hourly"
+    dims = _per_dimension(
+        value_counts(measurements, level),
+        settings.top_servers,
+        None if hourly_level else config.TOP_CONNECTIONS,
     )
-    ranks = _wanted_ranks()
-    holds_any = F.lit(False)
-    for rank in ranks.values():
-        holds_any = holds_any | _holds(rank)
-    kept = _ranked(value_counts(measurements, level)).where(
-        F.when(is_metric, holds_any)
-        .when(F.col("dim") == SERVER, F.col("rank") <= settings.top_servers)
-        .when(F.col("dim") == CONNECTION, keep_connections)
-        .otherwise(F.lit(True))
+    numbers = "struct(n, sum, " + ", ".join(RANKS) + ")"
+    wide = (
+        dims.groupBy("host_id", "period")
+        .agg(
+            *[F.expr(f"max(case when dim = '{m}' then {numbers} end)").alias(m) for m in METRICS],
+            F.expr(f"max(case when dim = '{ERROR}' then n end)").alias("errors"),
+            F.expr(f"max(case when dim = '{SERVER}' then items.txt end)").alias("servers"),
+            F.expr(f"max(case when dim = '{CONNECTION}' then items.txt end)").alias("connections"),
+        )
+        .where("download_mbps.n > 0")
     )
-
-    picks: list[Column] = []
-    for metric in METRICS:
-        of = F.col("dim") == metric
-        picks += [
-            F.max(F.when(of, F.col("total"))).alias(f"{metric}_n"),
-            F.max(F.when(of, F.col("total_c"))).alias(f"{metric}_sum"),
-        ]
-        picks += [
-            F.max(F.when(of & _holds(rank), F.col("num"))).alias(f"{metric}_{name}")
-            for name, rank in ranks.items()
-        ]
-    item = F.struct("rank", "txt")
-    picks += [
-        F.max(F.when(F.col("dim") == ERROR, F.col("total"))).alias("errors"),
-        F.sort_array(F.collect_list(F.when(F.col("dim") == SERVER, item))).alias("servers"),
-        F.sort_array(F.collect_list(F.when(F.col("dim") == CONNECTION, item))).alias("connections"),
-    ]
-    wide = kept.groupBy("host_id", "period").agg(*picks).where(F.col("download_mbps_n") > 0)
-
-    texts = F.transform("connections", lambda x: x["txt"])
-    records = F.col("download_mbps_n")
+    types = F.coalesce("connections", F.array().cast("array<string>"))
+    records = F.col("download_mbps.n")
     out = wide.select(
         "host_id",
         "period",
@@ -149,26 +141,39 @@ def summaries(measurements: DataFrame, level: str) -> DataFrame:
         exact.percent(records, F.lit(settings.expected)).alias("completion_rate"),
         F.coalesce("errors", F.lit(0)).cast("bigint").alias("errors"),
         F.struct(*[_stats(metric).alias(metric) for metric in METRICS]).alias("overall"),
-        F.transform("servers", lambda x: x["txt"]).alias("servers_top"),
-        (F.array_sort(texts) if level == "hourly" else texts).alias("connection_types"),
-        F.try_element_at(texts, F.lit(1)).alias("top_connection"),
-        *[F.col(f"{m}_{s}") for m in METRICS for s in ("n", "sum", "min", "max")],
+        F.coalesce("servers", F.array().cast("array<string>")).alias("servers_top"),
+        (F.sort_array(types) if hourly_level else types).alias("connection_types"),
+        F.try_element_at(types, F.lit(1)).alias("top_connection"),
+        *[F.col(f"{m}.{s}").alias(f"{m}_{s}") for m in METRICS for s in ("n", "sum", "min", "max")],
     )
     return anomaly.with_period_anomalies(out, level)
 
 
+def completeness(measurements: DataFrame, level: str) -> DataFrame:
+    """Records, errors and the two data warnings alone: one aggregation, nothing ranked."""
+    settings = config.LEVELS[level]
+    per_host = measurements.groupBy(
+        "host_id", timeparts.period_of(F.col("bucket_start"), level).alias("period")
+    ).agg(F.count_if(is_valid()).alias("records"), F.count_if(~is_valid()).alias("errors"))
+    return (
+        with_all_hosts(per_host)
+        .groupBy("host_id", "period")
+        .agg(F.sum("records").alias("records"), F.sum("errors").alias("errors"))
+        .where("records > 0")
+        .withColumns(anomaly.data_warnings(settings.expected))
+    )
+
+
 def _stats(metric: str) -> Column:
-    def hundredth(c: Column) -> Column:
-        return exact.from_hundredths(c)
+    def hundredth(name: str) -> Column:
+        return exact.from_hundredths(F.col(f"{metric}.{name}"))
 
-    count, total = F.col(f"{metric}_n"), F.col(f"{metric}_sum")
-    middle = F.col(f"{metric}_mid_low") + F.col(f"{metric}_mid_high")
+    middle = F.col(f"{metric}.mid_low") + F.col(f"{metric}.mid_high")
+    mean = exact.mean_hundredths(F.col(f"{metric}.sum"), F.col(f"{metric}.n"))
     return F.struct(
-        hundredth(exact.mean_hundredths(total, count)).alias("avg"),
-        hundredth(exact.div_half_up(middle, F.lit(2).cast("bigint"))).alias("median"),
-        hundredth(F.col(f"{metric}_max")).alias("max"),
-        hundredth(F.col(f"{metric}_min")).alias("min"),
-        *[hundredth(F.col(f"{metric}_{p}")).alias(p) for p in PERCENTILES],
+        exact.from_hundredths(mean).alias("avg"),
+        exact.from_hundredths(exact.div_half_up(middle, F.lit(2).cast("bigint"))).alias("median"),
+        *[hundredth(name).alias(name) for name in ("max", "min", *PERCENTILES)],
     )
 
 
@@ -215,7 +220,7 @@ def coarser(means: DataFrame, level: str) -> DataFrame:
             mean("avg_download"),
             mean("avg_upload"),
             mean("avg_ping"),
-            F.array_sort(F.array_distinct(types)).alias("connection_types"),
+            F.sort_array(F.array_distinct(types)).alias("connection_types"),
         )
     )
 

@@ -7,11 +7,11 @@ start from landed parquet do not pay for parsing.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netpulse.config import LEGACY_HOST
-from netpulse.functions import exact, timeparts
+from netpulse.config import LEGACY_HOST, ZONE
+from netpulse.functions import timeparts
 from netpulse.sources.normalize import MEASUREMENT, with_label
 
 # Event type -> connection type.
@@ -29,99 +29,79 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _mod(c: str, n: int) -> Column:
-    return (F.col(c) % n).cast("string")
-
-
-def _named(prefix: str, c: str, n: int, blank: int | None = None) -> Column:
-    name = F.concat(F.lit(prefix), _mod(c, n))
-    return name if blank is None else F.when(F.col(c) % n == blank, F.lit("")).otherwise(name)
-
-
-def _host(c: str) -> Column:
-    return F.when(F.col(c) % 5 == 0, F.lit(LEGACY_HOST)).otherwise(F.concat(F.lit("host-"), _mod(c, 5)))
-
-
-def _attributes(df: DataFrame) -> DataFrame:
-    connection = F.lit(None).cast("string")
-    for event, kind in CONNECTIONS.items():
-        connection = F.when(F.col("event_type") == event, F.lit(kind)).otherwise(connection)
-    return df.withColumns(
-        {
-            "seq": F.col("event_id"),
-            "local_ts": timeparts.to_local(F.col("ts")),
-            "host_id": _host("user_id"),
-            "base_c": F.round(F.col("value") * 100).cast("bigint"),
-            "latency": F.get_json_object("props", "$.k"),
-            "server_name": _named("srv-", "user_id", 7),
-            "server_host": _named("node-", "user_id", 3),
-            "server_city": _named("city-", "user_id", 4, 0),
-            "server_country": _named("C", "user_id", 6, 0),
-            "result_url": F.when(F.col("event_id") % 11 == 0, F.lit("")).otherwise(
-                F.concat(F.lit("https://example.net/r/"), F.col("event_id").cast("string"))
-            ),
-            "public_ip": F.when(F.col("event_id") % 50 == 7, F.lit("Unknown")).otherwise(
-                F.concat_ws(
-                    ".", F.lit("10"), _mod("user_id", 3), _mod("user_id", 50), _mod("event_id", 250)
-                )
-            ),
-            "connection_type": connection,
-            "wifi_name": F.when(F.col("event_type").isin("view", "click"), F.lit("home")),
-            "host_name": _named("Host ", "user_id", 5),
-            "host_location": _named("site-", "user_id", 2),
-            "host_isp": _named("isp-", "user_id", 3),
-        }
-    )
+def _host(key: str) -> str:
+    return f"if({key} % 5 = 0, '{LEGACY_HOST}', concat('host-', {key} % 5))"
 
 
-def _bad_download() -> Column:
-    """Every 97th record carries a download that does not parse."""
-    return F.col("event_id") % 97 == 0
+def _attributes(events: DataFrame) -> DataFrame:
+    connection = " ".join(f"when '{event}' then '{kind}'" for event, kind in CONNECTIONS.items())
+    return events.selectExpr(
+        "event_id as seq",
+        "ts",
+        f"convert_timezone('UTC', '{ZONE}', ts) as local_ts",
+        f"{_host('user_id')} as host_id",
+        "cast(round(value * 100) as bigint) as base_c",
+        "get_json_object(props, '$.k') as latency",
+        "concat('srv-', user_id % 7) as server_name",
+        "concat('node-', user_id % 3) as server_host",
+        "if(user_id % 4 = 0, '', concat('city-', user_id % 4)) as server_city",
+        "if(user_id % 6 = 0, '', concat('C', user_id % 6)) as server_country",
+        "if(event_id % 11 = 0, '', concat('https://example.net/r/', event_id)) as result_url",
+        """if(event_id % 50 = 7, 'Unknown',
+            concat_ws('.', '10', user_id % 3, user_id % 50, event_id % 250)) as public_ip""",
+        f"case event_type {connection} end as connection_type",
+        "if(event_type in ('view', 'click'), 'home', null) as wifi_name",
+        "concat('Host ', user_id % 5) as host_name",
+        "concat('site-', user_id % 2) as host_location",
+        "concat('isp-', user_id % 3) as host_isp",
+    )
 
 
-def _no_ping() -> Column:
-    return F.col("event_id") % 89 == 0
+# Every 97th record carries a download that does not parse, every 89th no latency.
+BAD_DOWNLOAD = "seq % 97 = 0"
+NO_PING = "seq % 89 = 0"
 
 
 def measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` as normalised measurements."""
-    df = _attributes(table(spark, sf_dir, "events")).withColumns(
-        {
-            "bucket_start": timeparts.quarter_hour(F.col("local_ts")),
-            "download_c": F.when(~_bad_download(), F.col("base_c") * 4),
-            "upload_c": F.col("base_c") * 2,
-            "ping_c": F.when(~_no_ping(), F.col("latency").cast("bigint") * 100),
-        }
+    return as_measurements(table(spark, sf_dir, "events"))
+
+
+def as_measurements(events: DataFrame) -> DataFrame:
+    df = _attributes(events).selectExpr(
+        "*",
+        f"if({BAD_DOWNLOAD}, null, base_c * 4) as download_c",
+        "base_c * 2 as upload_c",
+        f"if({NO_PING}, null, cast(latency as bigint) * 100) as ping_c",
     )
+    df = df.withColumn("bucket_start", timeparts.quarter_hour(F.col("local_ts")))
     return with_label(df).select(*MEASUREMENT)
 
 
 def raw_measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` in the text form of collectors."""
 
-    def amount(factor: int, unit: str) -> Column:
-        value = (F.col("base_c") * factor).cast("decimal(18,0)") / 100
-        return F.concat(value.cast("decimal(18,2)").cast("string"), F.lit(unit))
+    def amount(factor: int) -> str:
+        return f"concat(cast(base_c * {factor} / cast(100 as decimal(3,0)) as decimal(18,2)), ' Mbps')"
 
-    df = _attributes(table(spark, sf_dir, "events"))
-    return df.select(
+    return _attributes(table(spark, sf_dir, "events")).selectExpr(
         "seq",
         "ts",
-        F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00")).alias("timestamp_utc"),
-        F.concat(F.date_format("local_ts", "yyyy-MM-dd HH:mm:ss"), F.lit(" IST")).alias("timestamp_ist"),
-        F.when(_bad_download(), F.lit("n/a")).otherwise(amount(4, " Mbps")).alias("download_mbps"),
-        amount(2, " Mbps").alias("upload_mbps"),
-        F.when(_no_ping(), F.lit("")).otherwise(F.concat("latency", F.lit(" ms"))).alias("ping_ms"),
+        """concat(date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), '+00:00') as timestamp_utc""",
+        "concat(date_format(local_ts, 'yyyy-MM-dd HH:mm:ss'), ' IST') as timestamp_ist",
+        f"if({BAD_DOWNLOAD}, 'n/a', {amount(4)}) as download_mbps",
+        f"{amount(2)} as upload_mbps",
+        f"if({NO_PING}, '', concat(latency, ' ms')) as ping_ms",
         "server_name",
         "server_city",
         "server_country",
         "server_host",
-        (F.col("seq") % 1000).cast("string").alias("server_id"),
+        "cast(seq % 1000 as string) as server_id",
         "result_url",
         "public_ip",
         "connection_type",
         "wifi_name",
-        F.nullif("host_id", F.lit(LEGACY_HOST)).alias("host_id"),
+        f"nullif(host_id, '{LEGACY_HOST}') as host_id",
         "host_name",
         "host_location",
         "host_isp",
@@ -130,19 +110,17 @@ def raw_measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def long_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``orders`` as measurements over several years."""
-    df = table(spark, sf_dir, "orders")
-    download = F.round(F.col("o_totalprice") / 10).cast("bigint")
-    return df.select(
-        F.col("o_orderkey").alias("seq"),
-        F.col("o_orderdate").alias("local_ts"),
-        F.col("o_orderdate").alias("bucket_start"),
-        F.concat(F.lit("host-"), _mod("o_custkey", 5)).alias("host_id"),
-        download.alias("download_c"),
-        F.call_function("div", download, F.lit(2)).alias("upload_c"),
-        (F.col("o_orderkey") % 60 * 100).alias("ping_c"),
-        _named("srv-", "o_custkey", 7).alias("server_label"),
-        F.concat_ws(".", F.lit("10.9"), _mod("o_custkey", 50), _mod("o_orderkey", 250)).alias("public_ip"),
-        F.col("o_orderpriority").alias("connection_type"),
+    return table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey as seq",
+        "o_orderdate as local_ts",
+        "o_orderdate as bucket_start",
+        "concat('host-', o_custkey % 5) as host_id",
+        "cast(round(o_totalprice / 10) as bigint) as download_c",
+        "cast(round(o_totalprice / 10) as bigint) div 2 as upload_c",
+        "o_orderkey % 60 * 100 as ping_c",
+        "concat('srv-', o_custkey % 7) as server_label",
+        "concat_ws('.', '10.9', o_custkey % 50, o_orderkey % 250) as public_ip",
+        "o_orderpriority as connection_type",
     )
 
 
@@ -152,35 +130,17 @@ def log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def as_log_events(events: DataFrame) -> DataFrame:
-    function = F.concat(F.lit("fn_"), _mod("user_id", 4))
-    group = F.element_at(
-        F.array(*[F.lit(g) for g in LOG_GROUPS]), (F.col("user_id") % 3 + 1).cast("int")
-    )
-    message = (
-        F.when(
-            F.col("event_type") == "purchase",
-            F.concat(F.lit("Completed successfully: "), function),
-        )
-        .when(
-            F.col("event_type") == "view",
-            F.concat(F.lit("Aggregated "), F.get_json_object("props", "$.k"), F.lit(" records")),
-        )
-        .otherwise(F.concat(F.lit("Failed: "), function))
-    )
-    level = (
-        F.when(F.col("event_type") == "error", F.lit("ERROR"))
-        .when(F.col("event_type") == "signup", F.lit("WARNING"))
-        .otherwise(F.lit("INFO"))
-    )
-    return events.select(
+    groups = ", ".join(f"'{g}'" for g in LOG_GROUPS)
+    return events.selectExpr(
         "event_id",
         "ts",
-        level.alias("level"),
-        message.alias("message"),
-        function.alias("function"),
-        group.alias("log_group"),
-        F.concat(F.lit("stream-"), _mod("user_id", 10)).alias("log_stream"),
-        F.when(
-            F.col("event_type") == "purchase", exact.hundredths(F.col("value"))
-        ).alias("elapsed_c"),
+        "case event_type when 'error' then 'ERROR' when 'signup' then 'WARNING' else 'INFO' end as level",
+        """case event_type
+            when 'purchase' then concat('Completed successfully: fn_', user_id % 4)
+            when 'view' then concat('Aggregated ', get_json_object(props, '$.k'), ' records')
+            else concat('Failed: fn_', user_id % 4) end as message""",
+        "concat('fn_', user_id % 4) as function",
+        f"element_at(array({groups}), cast(user_id % 3 + 1 as int)) as log_group",
+        "concat('stream-', user_id % 10) as log_stream",
+        "if(event_type = 'purchase', cast(round(value * 100) as bigint), null) as elapsed_c",
     )
