@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import functions as F
 
-MODULES = ("rollups",)
+MODULES = ("rollups", "views")
 
 
 def _gather(name: str) -> dict:
