@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import functions as F
 
-MODULES = ("rollups", "views")
+MODULES = ("rollups", "views", "quality")
 
 
 def _gather(name: str) -> dict:
