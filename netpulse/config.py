@@ -85,6 +85,8 @@ COUNTERS = [
     Counter("DataCollectionRuns", "aggregator", None, "Aggregated.*records"),
     Counter("WeeklyAggregationFailures", "aggregator", "ERROR", "Weekly aggregation failed"),
     Counter("MonthlyAggregationFailures", "aggregator", "ERROR", "Monthly aggregation failed"),
+    Counter("AggregatorFunctionErrors", "aggregator", "ERROR", "Failed"),
+    Counter("DashboardFunctionErrors", "dashboard", "ERROR", "Failed"),
 ]
 
 

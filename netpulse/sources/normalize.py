@@ -44,6 +44,8 @@ def normalize(raw: DataFrame, zone: str = ZONE) -> DataFrame:
     bucket = timeparts.quarter_hour(F.col("local_ts"))
     if "bucket_start" in have:  # the path is canonical, the completion time may fall later
         bucket = F.coalesce(F.col("bucket_start"), bucket)
+    if "path_start" in have:  # an unreadable record still belongs to its folder's period
+        bucket = F.coalesce(bucket, F.col("path_start"))
     out = out.withColumns(
         {
             "bucket_start": bucket,
