@@ -26,7 +26,9 @@ from netpulse.sources.normalize import is_valid
 
 METRICS = {"download_mbps": "download_c", "upload_mbps": "upload_c", "ping_ms": "ping_c"}
 PERCENTILES = {"p99": 0.99, "p95": 0.95, "p90": 0.90, "p50": 0.50}
-SERVER, CONNECTION, ERROR = "server", "connection", "error"
+# Dimensions of the value counts; codes keep the shuffled rows small.
+DIMS = {name: code for code, name in enumerate((*METRICS, "server", "connection", "error"))}
+SERVER, CONNECTION, ERROR = DIMS["server"], DIMS["connection"], DIMS["error"]
 
 
 def with_all_hosts(df: DataFrame) -> DataFrame:
@@ -38,20 +40,15 @@ def with_all_hosts(df: DataFrame) -> DataFrame:
 def value_counts(measurements: DataFrame, level: str) -> DataFrame:
     """``host_id, period, dim, num, txt, n, first_seq``: distinct values of each group."""
 
-    def entry(dim: str, num: Column, txt: Column) -> Column:
-        return F.struct(
-            F.lit(dim).alias("dim"), num.cast("bigint").alias("num"), txt.cast("string").alias("txt")
-        )
+    def entry(dim: int, num: str = "bigint(null)", txt: str = "string(null)") -> str:
+        return f"named_struct('dim', tinyint({dim}), 'num', {num}, 'txt', {txt})"
 
-    nothing = F.lit(None)
-    entries = F.when(
-        is_valid(),
-        F.array(
-            *[entry(metric, F.col(c), nothing) for metric, c in METRICS.items()],
-            entry(SERVER, nothing, F.col("server_label")),
-            entry(CONNECTION, nothing, F.nullif("connection_type", F.lit(""))),
-        ),
-    ).otherwise(F.array(entry(ERROR, F.lit(1), nothing)))
+    metrics = [entry(DIMS[metric], num=c) for metric, c in METRICS.items()]
+    texts = [entry(SERVER, txt="server_label"), entry(CONNECTION, txt="nullif(connection_type, '')")]
+    error = entry(ERROR, num="bigint(1)")
+    entries = F.when(is_valid(), F.expr(f"array({', '.join(metrics + texts)})")).otherwise(
+        F.expr(f"array({error})")
+    )
     narrow = measurements.select(
         "host_id",
         timeparts.period_of(F.col("bucket_start"), level).alias("period"),
@@ -97,8 +94,8 @@ def _per_dimension(counts: DataFrame, servers: int, connections: int | None) ->
             "total": F.sum("n").over(group),
         }
     )
-    listed = f"(dim = '{SERVER}' and rank <= {servers})"
-    listed += f" or (dim = '{CONNECTION}'" + (f" and rank <= {connections})" if connections else ")")
+    listed = f"(dim = {SERVER} and rank <= {servers})"
+    listed += f" or (dim = {CONNECTION}" + (f" and rank <= {connections})" if connections else ")")
     return ranked.groupBy("host_id", "period", "dim").agg(
         F.expr("sum(n)").alias("n"),
         F.expr("sum(num * n)").alias("sum"),
@@ -125,10 +122,10 @@ def summaries(measurements: DataFrame, level: str) -> DataFrame:
     wide = (
         dims.groupBy("host_id", "period")
         .agg(
-            *[F.expr(f"max(case when dim = '{m}' then {numbers} end)").alias(m) for m in METRICS],
-            F.expr(f"max(case when dim = '{ERROR}' then n end)").alias("errors"),
-            F.expr(f"max(case when dim = '{SERVER}' then items.txt end)").alias("servers"),
-            F.expr(f"max(case when dim = '{CONNECTION}' then items.txt end)").alias("connections"),
+            *[F.expr(f"max(case when dim = {DIMS[m]} then {numbers} end)").alias(m) for m in METRICS],
+            F.expr(f"max(case when dim = {ERROR} then n end)").alias("errors"),
+            F.expr(f"max(case when dim = {SERVER} then items.txt end)").alias("servers"),
+            F.expr(f"max(case when dim = {CONNECTION} then items.txt end)").alias("connections"),
         )
         .where("download_mbps.n > 0")
     )
