@@ -11,6 +11,7 @@ from netpulse.catalogue import sql
 from netpulse.functions import timeparts
 from netpulse.operators import downsample, quality, retention, rollup, validate, views
 from netpulse.plans import jobs
+from netpulse.sinks.tables import written
 from netpulse.sources import tables
 
 AS_OF = datetime(2024, 1, 31, 6, 0)
@@ -46,8 +47,9 @@ FROM m, LATERAL {FAN.format(t='m')} GROUP BY 1, 2""",
 
 def missing_periods(spark, sf_dir):
     m = tables.measurements(spark, sf_dir)
-    hours = quality.missing_periods(quality.period_keys(m, "hourly"), "hourly", "daily")
-    days = quality.missing_periods(quality.period_keys(m, "daily"), "daily", "weekly")
+    present = written(quality.period_keys(m, "hourly"), "hours")
+    hours = quality.missing_periods(present, "hourly", "daily")
+    days = quality.missing_periods(quality.coarser_keys(present, "daily"), "daily", "weekly")
     return hours.select("host_id", F.lit("hourly").alias("level"), "within", "period").unionByName(
         days.select("host_id", F.lit("daily").alias("level"), "within", F.col("period").cast("timestamp_ntz").alias("period"))
     )
@@ -159,8 +161,9 @@ ANTI JOIN (SELECT * FROM m WHERE seq % 2 = 0) b USING (host_id, bucket_start) WH
 
 def data_availability(spark, sf_dir):
     m = tables.measurements(spark, sf_dir)
-    keys = {level: quality.period_keys(m, level) for level in ("hourly", "daily", "weekly", "monthly", "yearly")}
-    return jobs.availability(m, keys)
+    hours = written(quality.period_keys(m, "hourly"), "hours")
+    keys = {level: quality.coarser_keys(hours, level) for level in ("daily", "weekly", "monthly", "yearly")}
+    return jobs.availability(m, {"hourly": hours, **keys})
 
 
 AVAILABILITY_SQL = sql.with_(sql.M, f"f AS (SELECT h.host AS host_id, bucket_start AS b FROM m, LATERAL {FAN.format(t='m')})") + " UNION ALL ".join(
@@ -376,7 +379,8 @@ VERIFY_SQL = (
 def _lossy(spark: SparkSession, sf_dir: str):
     """Days, months without some Mays, years without 1997."""
     o = tables.long_series(spark, sf_dir)
-    days, months, years = (quality.period_keys(o, level) for level in ("daily", "monthly", "yearly"))
+    days = written(quality.period_keys(o, "daily"), "days")
+    months, years = (quality.coarser_keys(days, level) for level in ("monthly", "yearly"))
     months = months.where(~((F.month("period") == 5) & (F.year("period") % 2 == 1)))
     return days, months, years.where(F.year("period") != 1997)
 
@@ -417,7 +421,8 @@ def backfill_missing(spark, sf_dir):
     """Months built again where the month table has none; the open month is left out."""
     o = tables.long_series(spark, sf_dir)
     _, months, _ = _lossy(spark, sf_dir)
-    return _backfilled(jobs.backfill("monthly", rollup.daily(o), LONG_AS_OF, existing=months), "monthly")
+    days = written(rollup.daily(o).select("host_id", "period", "overall", "connection_types"), "daily")
+    return _backfilled(jobs.backfill("monthly", days, LONG_AS_OF, existing=months), "monthly")
 
 
 def _key_sql(level: str) -> str:
@@ -467,7 +472,7 @@ MANIFEST_SQL = (
 def scheduled_runs(spark, sf_dir):
     """What a scheduled run at the as-of moment builds for days, weeks and months."""
     m = tables.measurements(spark, sf_dir)
-    days = rollup.daily(m)
+    days = written(rollup.daily(m).select("host_id", "period", "overall", "connection_types"), "daily")
     week = jobs.run("weekly", days, AS_OF)
     month = jobs.run("monthly", days, AS_OF)
     day = rollup.as_period_means(jobs.run("daily", m, AS_OF)).withColumn("days", F.lit(1).cast("bigint"))
@@ -498,9 +503,10 @@ PLAN_LEVELS = ("weekly", "monthly", "yearly")
 
 def _plan(spark, sf_dir, rule) -> DataFrame:
     o = tables.long_series(spark, sf_dir)
+    days = written(quality.period_keys(o, "daily"), "days")
     out = None
     for level in PLAN_LEVELS:
-        part = rule(quality.period_keys(o, level), level).select(
+        part = rule(quality.coarser_keys(days, level), level).select(
             F.lit(level).alias("level"), "host_id", "period", jobs.path_of(level).alias("key")
         )
         out = part if out is None else out.unionByName(part)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from netpulse.catalogue import sql
 from netpulse.functions import exact
 from netpulse.operators import anomaly, compare, dashboard, rollup, views
+from netpulse.sinks.tables import written
 from netpulse.sources import tables
 
 AS_OF = datetime(2024, 1, 31, 6, 0)  # local time just after the last event
@@ -24,13 +25,13 @@ def _minute(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _hourly(spark: SparkSession, sf_dir: str, with_ip: bool = False) -> DataFrame:
     m = tables.measurements(spark, sf_dir)
     ips = views.period_first_ip(m, "hourly") if with_ip else None
-    return views.view(rollup.hourly(m), "hourly", None, AS_OF, 60, ips)
+    return written(views.view(rollup.hourly(m), "hourly", None, AS_OF, 60, ips), "hourly-view")
 
 
 def _daily(spark: SparkSession, sf_dir: str, with_ip: bool = False) -> DataFrame:
     m = tables.measurements(spark, sf_dir)
     ips = views.period_first_ip(m, "daily") if with_ip else None
-    return views.view(rollup.daily(m), "daily", first_ips=ips)
+    return written(views.view(rollup.daily(m), "daily", first_ips=ips), "daily-view")
 
 
 def view_minute(spark, sf_dir):
@@ -49,7 +50,7 @@ def view_daily(spark, sf_dir):
 
 def view_weekly(spark, sf_dir):
     weeks = rollup.weekly(rollup.daily(tables.measurements(spark, sf_dir)))
-    return views.view_records(views.view(weeks, "weekly", None, AS_OF, 52))
+    return views.view_records(written(views.view(weeks, "weekly", None, AS_OF, 52), "weekly-view"))
 
 
 def _months(spark, sf_dir):
@@ -58,12 +59,12 @@ def _months(spark, sf_dir):
 
 def view_monthly(spark, sf_dir):
     months = _months(spark, sf_dir)
-    return views.view_records(views.view(months, "monthly", None, LONG_AS_OF, 120))
+    return views.view_records(written(views.view(months, "monthly", None, LONG_AS_OF, 120), "monthly-view"))
 
 
 def view_yearly(spark, sf_dir):
     years = rollup.yearly(_months(spark, sf_dir))
-    return views.view_records(views.view(years, "yearly", None, LONG_AS_OF, 10))
+    return views.view_records(written(views.view(years, "yearly", None, LONG_AS_OF, 10), "yearly-view"))
 
 
 def _c(name: str) -> str:
@@ -348,10 +349,10 @@ def latest_n(spark, sf_dir):
 
 
 def latest_periods(spark, sf_dir):
-    days = rollup.daily(tables.measurements(spark, sf_dir))
-    return views.latest_periods(days, 7).select(
+    days = rollup.daily(tables.measurements(spark, sf_dir)).select(
         "period", "host_id", "records", F.col("overall.download_mbps.avg").alias("avg_download")
     )
+    return views.latest_periods(written(days, "daily"), 7)
 
 
 LATEST_PERIODS_SQL = sql.dated(
@@ -363,10 +364,10 @@ LATEST_PERIODS_SQL = sql.dated(
 
 def latest_per_month(spark, sf_dir):
     """Months written twice: a first run and a later one; the later one counts."""
-    months = _months(spark, sf_dir).select("host_id", "period", "avg_download", "avg_upload", "avg_ping")
+    months = written(_months(spark, sf_dir).select("host_id", "period", "avg_download"), "monthly")
     path = F.concat_ws("/", F.lit("monthly"), "host_id", F.col("period").cast("string"))
 
-    def written(when: datetime, add: float) -> DataFrame:
+    def version(when: datetime, add: float) -> DataFrame:
         return months.select(
             "host_id",
             "period",
@@ -375,7 +376,7 @@ def latest_per_month(spark, sf_dir):
             path.alias("path"),
         )
 
-    both = written(datetime(2001, 8, 1), 0.0).unionByName(written(datetime(2001, 8, 2), 1000.0))
+    both = version(datetime(2001, 8, 1), 0.0).unionByName(version(datetime(2001, 8, 2), 1000.0))
     return views.latest_per_period(both).select("host_id", "period", "modified", "avg_download")
 
 

@@ -94,7 +94,8 @@ def with_period_anomalies(wide: DataFrame, level: str) -> DataFrame:
 def flag_rows(view: DataFrame) -> DataFrame:
     """``download_anomaly``, ``ping_anomaly`` against the means of the whole view, ``below_expected``.
 
-    The means are scalar subqueries over a one-row aggregate; rows are not moved.
+    The means come from one scalar subquery over a one-row aggregate; rows are not
+    moved. ``view`` is read twice, so it should be a table, not a chain of jobs.
     """
     down, ping = exact.hundredths(F.col("download_avg")), exact.hundredths(F.col("ping_avg"))
     whole = view.agg(
@@ -105,9 +106,9 @@ def flag_rows(view: DataFrame) -> DataFrame:
     )
 
     def scalar(name: str) -> Column:
-        return whole.select(name).scalar()
+        return F.col(f"_whole.{name}")
 
-    flagged = view.withColumns(
+    flagged = view.withColumn("_whole", whole.select(F.struct("*")).scalar()).withColumns(
         {
             "download_anomaly": F.coalesce(
                 down.cast(exact.WIDE) * 10 * scalar("down_n") < scalar("down_sum").cast(exact.WIDE) * 7,
@@ -119,7 +120,7 @@ def flag_rows(view: DataFrame) -> DataFrame:
             ),
         }
     )
-    return flag_below_expected(flagged)
+    return flag_below_expected(flagged.drop("_whole"))
 
 
 def flag_below_expected(view: DataFrame) -> DataFrame:

@@ -16,24 +16,25 @@ def _c(metric: str) -> Column:
     return exact.hundredths(F.col(f"{metric}_avg"))
 
 
-def _mean(metric: str) -> Column:
-    c = _c(metric)
-    return exact.from_hundredths(exact.mean_hundredths(F.sum(c), F.count(c)))
-
-
 def summary_stats(view: DataFrame) -> DataFrame:
     """One row: the three means, rows, rows below expectation and the most frequent server."""
-    servers = view.groupBy("top_server").agg(F.count(F.lit(1)).alias("n"))
-    # Most frequent, then smallest text: a minimum, not a sort.
-    top = servers.agg(F.min(F.struct(-F.col("n"), "top_server")).alias("best"))
-    means = view.agg(
-        *[_mean(m).alias(f"avg_{m}") for m in METRICS],
-        F.count(F.lit(1)).alias("total_tests"),
-        F.count_if("below_expected").alias("below_expected"),
+    servers = view.groupBy("top_server").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if("below_expected").alias("below"),
+        *[F.sum(_c(m)).alias(f"{m}_sum") for m in METRICS],
+        *[F.count(_c(m)).alias(f"{m}_n") for m in METRICS],
     )
-    return means.withColumn(
-        "top_server_over_period",
-        F.coalesce(top.select("best.top_server").scalar(), F.lit("N/A")),
+
+    def mean(m: str) -> Column:
+        return exact.from_hundredths(exact.mean_hundredths(F.sum(f"{m}_sum"), F.sum(f"{m}_n")))
+
+    # Most frequent, then smallest text: a minimum over the servers, not a sort.
+    best = F.min(F.when(F.col("top_server").isNotNull(), F.struct(-F.col("n"), "top_server")))
+    return servers.agg(
+        *[mean(m).alias(f"avg_{m}") for m in METRICS],
+        F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("total_tests"),
+        F.coalesce(F.sum("below"), F.lit(0)).cast("bigint").alias("below_expected"),
+        F.coalesce(best["top_server"], F.lit("N/A")).alias("top_server_over_period"),
     )
 
 
@@ -248,38 +249,49 @@ def cidr_groups(addresses: DataFrame) -> DataFrame:
     return nets.select(F.inline(F.when(F.size("blocks") >= 3, whole).otherwise(F.col("blocks"))))
 
 
+# Speed bands in Mbps, from and below.
+BANDS = {
+    "1: < 100": (None, 100),
+    "2: 100-150": (100, 150),
+    "3: 150-180": (150, 180),
+    "4: 180-200": (180, 200),
+    "5: >= 200": (200, None),
+}
+
+
 def speed_distribution(view: DataFrame) -> DataFrame:
-    """Five speed bands with their share, and the quartiles repeated on each row."""
+    """Speed bands with their share, and the quartiles repeated on each row: one aggregation."""
     c = _c("download")
-    band = (
-        F.when(c < 10000, F.lit("1: < 100"))
-        .when(c < 15000, F.lit("2: 100-150"))
-        .when(c < 18000, F.lit("3: 150-180"))
-        .when(c < 20000, F.lit("4: 180-200"))
-        .otherwise(F.lit("5: >= 200"))
-    )
-    known = view.where(c.isNotNull())
-    whole = known.agg(
-        F.count(F.lit(1)).alias("n"),
+
+    def inside(low: int | None, high: int | None) -> Column:
+        test = c.isNotNull()
+        if low is not None:
+            test = test & (c >= low * 100)
+        return test if high is None else test & (c < high * 100)
+
+    whole = view.agg(
+        F.count(c).alias("n"),
         F.sum(c).alias("total"),
         F.min(c).alias("low"),
         F.max(c).alias("high"),
         F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"),
-    ).select(
-        "n",
-        exact.from_hundredths(exact.mean_hundredths(F.col("total"), F.col("n"))).alias("mean"),
-        exact.from_hundredths(F.col("low")).alias("min"),
-        exact.from_hundredths(F.col("high")).alias("max"),
-        *[rounded_hundredths(F.get("q", F.lit(i))).alias(p) for i, p in enumerate(("p25", "p50", "p75"))],
+        F.array(
+            *[
+                F.struct(F.lit(name).alias("band"), F.count_if(inside(*limits)).alias("tests"))
+                for name, limits in BANDS.items()
+            ]
+        ).alias("bands"),
     )
-    stats = whole.select(F.struct("*")).scalar()
-    bands = known.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("tests"))
     return (
-        bands.withColumn("w", stats)
+        whole.select("*", F.inline("bands"))
+        .where("tests > 0")
         .select(
             "band",
             "tests",
-            exact.percent(F.col("tests"), F.col("w.n")).alias("share"),
-            *[F.col(f"w.{s}").alias(s) for s in ("mean", "p25", "p50", "p75", "min", "max")],
+            exact.percent(F.col("tests"), F.col("n")).alias("share"),
+            exact.from_hundredths(exact.mean_hundredths(F.col("total"), F.col("n"))).alias("mean"),
+            *[rounded_hundredths(F.get("q", F.lit(i))).alias(p) for i, p in enumerate(("p25", "p50", "p75"))],
+            exact.from_hundredths(F.col("low")).alias("min"),
+            exact.from_hundredths(F.col("high")).alias("max"),
         )
     )

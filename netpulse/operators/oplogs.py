@@ -161,13 +161,13 @@ def alarm_states(logs: DataFrame) -> DataFrame:
     spine = (
         spark.range(1)
         .select(F.inline(_alarm_rows()))
-        .withColumns({"lo": ends.select("lo").scalar(), "hi": ends.select("hi").scalar()})
-        .where("lo is not null")
-        .select(
+        .withColumn("ends", ends.select(F.struct("lo", "hi")).scalar())
+        .where("ends.lo is not null")
+        .selectExpr(
             "*",
-            F.explode(F.expr("sequence(lo - lo % period_s, hi - hi % period_s, period_s)")).alias("w"),
+            "explode(sequence(ends.lo - ends.lo % period_s, ends.hi - ends.hi % period_s, period_s)) as w",
         )
-        .drop("lo", "hi")
+        .drop("ends")
     )
     wanted = F.filter(_alarm_rows(), lambda a: a["metric"] == F.col("metric"))
     sums = (
@@ -199,19 +199,11 @@ def alarm_states(logs: DataFrame) -> DataFrame:
 def no_data_periods(measurements: DataFrame, periods: int = 2) -> DataFrame:
     """Hours in which a host has sent nothing for so many hours running.
 
-    The spine runs from a host's first to its last hour.
+    The silent hours lie between two neighbouring hours with data, so they are
+    generated from the pair; no spine and no join.
     """
-    seen = measurements.groupBy("host_id", timeparts.hour_start(F.col("bucket_start")).alias("hour")).agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    span = seen.groupBy("host_id").agg(F.min("hour").alias("lo"), F.max("hour").alias("hi"))
-    spine = span.select("host_id", F.explode(F.sequence("lo", "hi", F.expr("interval 1 hour"))).alias("hour"))
-    silent = F.sum(F.when(F.col("n").isNull(), 1).otherwise(0)).over(
-        W.partitionBy("host_id").orderBy("hour").rowsBetween(1 - periods, 0)
-    )
-    return (
-        spine.join(seen, ["host_id", "hour"], "left")
-        .withColumn("silent", silent)
-        .where(F.col("silent") >= periods)
-        .select("host_id", "hour")
-    )
+    hours = measurements.select("host_id", timeparts.hour_start(F.col("bucket_start")).alias("hour")).distinct()
+    step = F.expr("interval 1 hour")
+    before = F.lag("hour").over(W.partitionBy("host_id").orderBy("hour"))
+    gaps = hours.withColumn("from", before + step * periods).where(F.col("from") < F.col("hour"))
+    return gaps.select("host_id", F.explode(F.sequence("from", F.col("hour") - step, step)).alias("hour"))

@@ -154,6 +154,12 @@ def period_keys(measurements: DataFrame, level: str) -> DataFrame:
     return with_all_hosts(keys).distinct()
 
 
+def coarser_keys(keys: DataFrame, level: str) -> DataFrame:
+    """Host and period pairs of a coarser level, from those of a finer one."""
+    start = timeparts.period_of(F.col("period").cast("timestamp_ntz"), level)
+    return keys.select("host_id", start.alias("period")).distinct()
+
+
 def availability(levels: dict[str, tuple[DataFrame, Column]]) -> DataFrame:
     """Per level: rows, first and last period label. Values are (rows, label)."""
     parts = [

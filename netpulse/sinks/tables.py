@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netpulse.operators import quality
+from netpulse.session import fresh_folder
 
 PARTITIONS = {
     "hourly": ["year", "month", "day"],
@@ -42,6 +43,18 @@ def read_summaries(spark, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def written(df: DataFrame, purpose: str) -> DataFrame:
+    """The frame as a table in the shared folder, read back.
+
+    For results several jobs read: without it each reader would run the whole
+    chain from the raw table again. A lost executor costs nothing afterwards.
+    """
+    spark = df.sparkSession
+    folder = fresh_folder(spark, purpose)
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
 def as_documents(summaries: DataFrame, thresholds: bool = True) -> DataFrame:
     """Summaries as JSON text, for export beside the table."""
     drop = [c for c in ("low_data", "high_errors", "top_connection") if c in summaries.columns]
