@@ -346,7 +346,8 @@ def validation_report(spark, sf_dir):
 
 
 def validation_sample(spark, sf_dir):
-    docs = validate.sample(_hour_docs(spark, sf_dir, "hourly"), 200, "7")
+    # Written first: projections moved below the limit would turn the top-N into a full sort.
+    docs = written(validate.sample(_hour_docs(spark, sf_dir, "hourly"), 200, "7"), "sample")
     return _shown(validate.validate(docs, "hourly", 2024))
 
 

@@ -6,14 +6,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Accepted number and unit forms, address form, connection fallback.
-READING = r"^\s*(-?[0-9]+(?:\.[0-9]+)?)\s*(?:[A-Za-z][A-Za-z/]*)?\s*$"
+READING = r"^\s*([+-]?[0-9]*\.?[0-9]+)(?:\s*(?:Mbps|mbps|Mbit/s|ms))?(?:\s.*)?$"
 IPV4 = r"^(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(\.(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])){3}$"
 UNKNOWN = "Unknown"
 LABEL_SEPARATOR = " – "
 
 
 def reading(text: Column) -> Column:
-    """``"191.17 Mbps"`` or ``"6.58 ms"`` -> BIGINT hundredths; NULL when it does not parse."""
+    """``"191.17 Mbps"`` or ``"6.58 ms"`` -> BIGINT hundredths; NULL when it does not parse.
+
+    The number ends at a known unit or at a blank; more than two decimals are rounded.
+    """
     number = F.nullif(F.regexp_extract(text, READING, 1), F.lit(""))
     return (number.try_cast("decimal(18,2)") * 100).cast("bigint")
 
@@ -69,7 +72,8 @@ def cidr16(ip: Column) -> Column:
 
 def with_unit(value: Column, suffix: str) -> Column:
     """``12.30 Mbps`` or ``N/A``."""
-    return F.coalesce(F.format_string("%.2f" + suffix.replace("%", "%%"), value.cast("double")), F.lit("N/A"))
+    shown = F.format_string("%.2f" + suffix.replace("%", "%%"), value.cast("double"))
+    return F.when(value.isNotNull(), shown).otherwise(F.lit("N/A"))
 
 
 def severity(message: Column) -> Column:
