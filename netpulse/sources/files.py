@@ -187,10 +187,9 @@ def keyed_inventory(files: DataFrame) -> DataFrame:
 def documents(spark: SparkSession, root: str) -> DataFrame:
     """Summary documents as text, one row per file: ``key, doc``."""
     text = (
-        spark.read.option("wholetext", "true")
-        .option("pathGlobFilter", "*.json")
+        spark.read.option("pathGlobFilter", "*.json")
         .option("recursiveFileLookup", "true")
-        .text(root)
+        .text(root, wholetext=True)
     )
     return text.select(F.col("_metadata.file_path").alias("key"), F.col("value").alias("doc"))
 
