@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from netpulse.catalogue import sql
 from netpulse.functions import exact, text, timeparts
 from netpulse.operators import rollup
+from netpulse.sinks.tables import with_lists, written
 from netpulse.sources import tables
 from netpulse.sources.normalize import is_plausible, is_valid, normalize
 
@@ -119,6 +120,24 @@ WHERE i.item <> '' GROUP BY ALL"""
 )
 
 
+def daily_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily summaries with their lists nested, the form the export writes."""
+    m = tables.measurements(spark, sf_dir)
+    nested = with_lists(rollup.completeness(m, "daily"), written(rollup.members(m, "daily"), "members"))
+    lists = [F.array_join(c, "|").alias(c) for c in ("hosts_in_data", "public_ips", "result_urls")]
+    return nested.select("host_id", "period", "records", "lists_in_table", *lists)
+
+
+LISTS_SQL = (
+    sql.with_(sql.M)
+    + """SELECT h.host AS host_id, CAST(bucket_start AS DATE) AS period, count(*) AS records, FALSE AS lists_in_table,
+  string_agg(DISTINCT v.host_id, '|' ORDER BY v.host_id) AS hosts_in_data,
+  string_agg(DISTINCT public_ip, '|' ORDER BY public_ip) FILTER (WHERE public_ip <> '') AS public_ips,
+  string_agg(result_url, '|' ORDER BY seq) FILTER (WHERE result_url LIKE 'http%') AS result_urls
+FROM v, LATERAL (SELECT unnest([v.host_id, 'all']) AS host) h GROUP BY h.host, CAST(bucket_start AS DATE)"""
+)
+
+
 def weekly_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     weeks = rollup.weekly(rollup.daily(tables.measurements(spark, sf_dir)))
     return weeks.select(
@@ -230,6 +249,7 @@ QUERIES = {
     "daily_top_servers": _top("servers_top"),
     "daily_top_connections": _top("connection_types"),
     "daily_sets": daily_sets,
+    "daily_lists": daily_lists,
     "weekly_rollup": weekly_rollup,
     "monthly_rollup": monthly_rollup,
     "yearly_rollup": yearly_rollup,
@@ -244,6 +264,7 @@ ORACLES = {
     "daily_top_servers": sql.dated(_top_sql("server_label", 5), "period"),
     "daily_top_connections": sql.dated(_top_sql("connection_type", 3), "period"),
     "daily_sets": sql.dated(SETS_SQL, "period"),
+    "daily_lists": sql.dated(LISTS_SQL, "period"),
     "weekly_rollup": sql.dated(WEEKLY_SQL, "period", "week_end"),
     "monthly_rollup": sql.dated(MONTHLY_SQL, "period"),
     "yearly_rollup": sql.dated(YEARLY_SQL, "period"),

@@ -33,7 +33,8 @@ def period_column(level: str) -> str:
 def run(level: str, source: DataFrame, as_of: datetime, date: datetime | None = None) -> DataFrame:
     """The scheduled roll-up: the last completed period, or the day given for ``daily``.
 
-    Only that period's rows are read: the condition is on the partition column.
+    The condition is on the time of the rows and, where the source is a table
+    partitioned by ``day`` (``YYYYMMDD``), on that too, so other folders stay closed.
     """
     start = date if date is not None else timeparts.previous_period(level, as_of)
     end = {
@@ -49,6 +50,8 @@ def run(level: str, source: DataFrame, as_of: datetime, date: datetime | None =
         end = min(end, (as_of.replace(day=1) + timedelta(days=32)).replace(day=1))
     when = F.col(period_column(level)).cast("timestamp_ntz")
     within = (when >= F.lit(start).cast("timestamp_ntz")) & (when < F.lit(end).cast("timestamp_ntz"))
+    if "day" in source.columns and level in ("hourly", "daily"):
+        within = within & F.col("day").between(*[int(d.strftime("%Y%m%d")) for d in (start, end)])
     return build(level, source.where(within))
 
 
@@ -118,6 +121,27 @@ def manifest(built: DataFrame, level: str, as_of: datetime) -> DataFrame:
     )
 
 
+def view_for(
+    mode: str,
+    days: int | None,
+    tables: dict[str, DataFrame],
+    as_of: datetime,
+    host: str | None = None,
+) -> DataFrame:
+    """View rows with flags for a mode, as the data endpoint serves them.
+
+    ``tables`` holds the measurements under ``minute`` and the summary tables under
+    their level; ``days`` is turned into the unit of the mode. Days are not cut
+    unless asked for: the daily mode shows all of them when ``days`` is None.
+    """
+    if mode == "minute":
+        rows = views.minute_view(tables["minute"], as_of, days, host)
+    else:
+        back = None if days is None else timeparts.look_back(mode, days)
+        rows = views.view(tables[mode], mode, host, as_of, back)
+    return views.view_records(rows).orderBy("date_ist")
+
+
 def dashboard_bundle(view_rows: DataFrame, mode: str, tie_break: list[str]) -> dict[str, DataFrame]:
     """Every statistic of the dashboard over one view.
 

@@ -5,21 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from netpulse.functions import timeparts
 from netpulse.operators import quality
 from netpulse.session import fresh_folder
 
+# One partition per period: a run of one period replaces that period and nothing else.
 PARTITIONS = {
-    "hourly": ["year", "month", "day"],
-    "daily": ["year", "month"],
-    "weekly": ["year"],
-    "monthly": ["year"],
+    "hourly": ["year", "month", "day", "hour"],
+    "daily": ["year", "month", "day"],
+    "weekly": ["year", "week"],
+    "monthly": ["year", "month"],
     "yearly": ["year"],
 }
 _PARTS = {"year": "yyyy", "month": "yyyyMM", "day": "yyyyMMdd", "hour": "yyyyMMddHH", "minute": "yyyyMMddHHmm"}
 
 
 def _path_parts(start: Column, names: list[str]) -> dict[str, Column]:
-    return {name: F.date_format(start, _PARTS[name]) for name in names}
+    return {
+        name: timeparts.iso_week_label(start) if name == "week" else F.date_format(start, _PARTS[name])
+        for name in names
+    }
 
 
 def write_summaries(summaries: DataFrame, level: str, path: str) -> None:
@@ -55,6 +60,28 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def with_lists(summaries: DataFrame, members: DataFrame, max_items: int = 10_000) -> DataFrame:
+    """Summaries with the lists of the long-form member table nested, for export.
+
+    A list longer than ``max_items`` stays in the member table, where it is whole;
+    ``lists_in_table`` says so. Long lists are left out before anything is gathered.
+    """
+    keys = ["host_id", "period", "kind"]
+    wanted = members.where(F.col("kind").isin("host", "ip", "url"))
+    sizes = wanted.groupBy(*keys).agg(F.count(F.lit(1)).alias("items"))
+    short = wanted.join(sizes.where(F.col("items") <= max_items), keys, "left_semi")
+    in_order = F.sort_array(F.collect_list(F.struct(F.when(F.col("kind") == "url", F.col("first_seq")), "item")))
+    lists = short.groupBy(*keys).agg(F.transform(in_order, lambda x: x["item"]).alias("list"))
+    long_ones = sizes.groupBy("host_id", "period").agg((F.max("items") > max_items).alias("lists_in_table"))
+    nested = lists.groupBy("host_id", "period").agg(
+        F.max(F.when(F.col("kind") == "host", F.col("list"))).alias("hosts_in_data"),
+        F.max(F.when(F.col("kind") == "ip", F.col("list"))).alias("public_ips"),
+        F.max(F.when(F.col("kind") == "url", F.col("list"))).alias("result_urls"),
+    )
+    out = summaries.join(long_ones, ["host_id", "period"], "left").join(nested, ["host_id", "period"], "left")
+    return out.withColumn("lists_in_table", F.coalesce("lists_in_table", F.lit(False)))
+
+
 def as_documents(summaries: DataFrame, thresholds: bool = True) -> DataFrame:
     """Summaries as JSON text, for export beside the table."""
     drop = [c for c in ("low_data", "high_errors", "top_connection") if c in summaries.columns]
@@ -81,12 +108,24 @@ def land_raw(raw: DataFrame, path: str, depth: list[str], legacy: bool = False,
     rows.drop("bucket_start").hint("rebalance", *names).write.mode(mode).partitionBy(*names).json(path)
 
 
+def with_day(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("day", F.date_format("bucket_start", "yyyyMMdd").cast("int"))
+
+
 def land_new(incoming: DataFrame, landed: DataFrame, path: str) -> None:
-    """Append the first record of each host and bucket that is not there yet."""
-    fresh = quality.insert_if_absent(incoming, landed, ["host_id", "bucket_start"], ["ts", "seq"])
-    fresh.withColumn("day", F.date_format("bucket_start", "yyyyMMdd")).hint("rebalance", "day").write.mode(
-        "append"
-    ).partitionBy("day").parquet(path)
+    """Append the first record of each host and bucket that is not there yet.
+
+    ``landed`` is the table at ``path`` (partitioned by ``day``), or an empty frame of
+    its schema. Only the days the incoming rows touch are read from it.
+    """
+    incoming = with_day(incoming).persist()
+    try:
+        days = incoming.select("day").distinct()
+        touched = landed.join(days, "day", "left_semi")
+        fresh = quality.insert_if_absent(incoming, touched, ["host_id", "bucket_start"], ["ts", "seq"])
+        fresh.hint("rebalance", "day").write.mode("append").partitionBy("day").parquet(path)
+    finally:
+        incoming.unpersist()
 
 
 def append_manifest(manifest: DataFrame, path: str) -> None:

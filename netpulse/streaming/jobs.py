@@ -10,8 +10,10 @@ from __future__ import annotations
 
 from datetime import datetime
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from netpulse.functions import exact, timeparts
 from netpulse.operators import oplogs, quality, rollup
@@ -130,15 +132,14 @@ def land_first_writes(measurements: DataFrame, folder: str) -> None:
 
     A batch that is replayed after a failure finds its rows landed and adds none.
     """
-    spark = measurements.sparkSession
-    schema = measurements.schema
+    schema = T.StructType([*measurements.schema.fields, T.StructField("day", T.IntegerType())])
 
     def land(batch: DataFrame, _: int) -> None:
-        landed = spark.read.schema(schema).option("ignoreMissingFiles", "true")
+        spark = batch.sparkSession
         try:
-            there = landed.parquet(f"{folder}/data")
-        except Exception as problem:  # the first batch finds no folder yet
-            if "PATH_NOT_FOUND" not in str(problem):
+            there = spark.read.schema(schema).parquet(f"{folder}/data")
+        except AnalysisException as problem:  # the first batch finds no folder yet
+            if problem.getCondition() != "PATH_NOT_FOUND":
                 raise
             there = spark.createDataFrame([], schema)
         sinks.land_new(batch, there, f"{folder}/data")
@@ -153,24 +154,16 @@ def land_first_writes(measurements: DataFrame, folder: str) -> None:
 
 
 def refresh_days(landed: DataFrame, touched: DataFrame, table: str) -> None:
-    """Late data: build the days of the touched rows again and replace just those partitions.
-
-    The daily table is partitioned by month, so whole months are rebuilt.
-    """
-    months = touched.select(timeparts.period_of(F.col("bucket_start"), "monthly").alias("_m")).distinct()
-    rows = landed.withColumn("_m", timeparts.period_of(F.col("bucket_start"), "monthly"))
-    rows = rows.join(months, "_m", "left_semi").drop("_m")
+    """Late data: build the days of the touched rows again and replace just those partitions."""
+    days = touched.select(F.col("bucket_start").cast("date").alias("_day")).distinct()
+    rows = landed.withColumn("_day", F.col("bucket_start").cast("date"))
+    rows = rows.join(days, "_day", "left_semi").drop("_day")
     sinks.write_summaries(rollup.daily(rows), "daily", table)
 
 
 def reprocess_date(landed: DataFrame, date: datetime, table: str) -> None:
     """Manual run of one day: idempotent, other days keep their rows."""
-    when = F.col("bucket_start")
-    first = date.replace(day=1)
-    month = landed.where(
-        timeparts.period_of(when, "monthly") == F.lit(first.date())
-    )
-    sinks.write_summaries(jobs.build("daily", month), "daily", table)
+    sinks.write_summaries(jobs.run("daily", landed, date, date), "daily", table)
 
 
 def closed_and_open(measurements: DataFrame, as_of: datetime, minutes: int = 15) -> tuple[DataFrame, DataFrame]:

@@ -5,7 +5,7 @@ from datetime import date, datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from netpulse.operators import anomaly, compare, dashboard, views
+from netpulse.operators import anomaly, compare, dashboard, rollup, views
 from netpulse.plans import jobs
 from netpulse.sources import tables
 
@@ -98,6 +98,20 @@ def test_period_over_period(spark):
     assert (second["download_change"], second["upload_change"], second["ping_change"]) == (50.0, -50.0, None)
 
 
+def test_view_for_a_mode(spark, sf_dir):
+    m = tables.measurements(spark, sf_dir)
+    levels = {"minute": m, "daily": rollup.daily(m)}
+    levels["weekly"] = rollup.weekly(levels["daily"])
+    as_of = datetime(2024, 1, 31, 6)
+    every = jobs.view_for("daily", None, levels, as_of)
+    assert every.count() == 31 and {r["host_id"] for r in every.select("host_id").distinct().collect()} == {"all"}
+    assert jobs.view_for("daily", 7, levels, as_of, "host-1").count() == 8  # the cut-off day counts
+    assert jobs.view_for("weekly", 14, levels, as_of).count() == 2
+    week = jobs.view_for("minute", 7, levels, as_of, "_legacy")
+    assert week.agg(F.min("date_ist")).head()[0] >= as_of - timedelta(days=7)
+    assert {"download_anomaly", "ping_anomaly", "below_expected"} <= set(week.columns)
+
+
 @pytest.mark.parametrize("mode", ["minute", "daily"])
 def test_bundle(spark, sf_dir, mode):
     m = tables.measurements(spark, sf_dir)

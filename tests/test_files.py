@@ -110,7 +110,7 @@ def test_summary_partitions_are_replaced_alone(spark, tmp_path, sf_dir):
     assert after.where("period < date'2024-02-15'").count() == before
     # Deleting writes what remains as a new version.
     plan = retention.last_n(after.select("host_id", "period"), "daily", datetime(2024, 1, 31), 5)
-    sinks.write_version(retention.retained(after, plan), str(tmp_path / "v2"), ["year", "month"])
+    sinks.write_version(retention.retained(after, plan), str(tmp_path / "v2"), ["year", "month", "day"])
     assert spark.read.parquet(str(tmp_path / "v2")).count() == after.count() - plan.count()
 
 
@@ -163,3 +163,22 @@ def test_compaction_keeps_rows(spark, tmp_path, sf_dir):
     sinks.compact(m, str(tmp_path / "c"))
     back = spark.read.parquet(str(tmp_path / "c")).drop("month")
     assert back.count() == m.count() and back.exceptAll(m.select(*back.columns)).count() == 0
+
+
+def test_one_hour_replaces_only_itself(spark, tmp_path, sf_dir):
+    table = str(tmp_path / "hourly")
+    m = sinks.with_day(tables.measurements(spark, sf_dir))
+    sinks.write_summaries(rollup.hourly(m), "hourly", table)
+    before = sinks.read_summaries(spark, table).count()
+    sinks.write_summaries(jobs.run("hourly", m, datetime(2024, 1, 5, 8, 10)), "hourly", table)
+    again = sinks.read_summaries(spark, table)
+    assert again.count() == before and again.groupBy("host_id", "period").count().where("count > 1").count() == 0
+
+
+def test_long_lists_stay_in_the_member_table(spark, sf_dir):
+    m = tables.measurements(spark, sf_dir)
+    nested = sinks.with_lists(rollup.completeness(m, "daily"), rollup.members(m, "daily"), max_items=20)
+    of_all = nested.where("host_id = 'all'")
+    assert of_all.where("lists_in_table and result_urls is null and size(hosts_in_data) <= 5").count() > 0
+    for r in nested.where("not lists_in_table").collect():
+        assert r["public_ips"] == sorted(r["public_ips"]) and len(r["public_ips"]) <= 20
