@@ -6,8 +6,8 @@ host may hold a third of them. No group is ever gathered row by row:
 
 1. each measurement becomes one entry per dimension (three metrics, server,
    connection type), and entries are *counted per distinct value* with a
-   map-side combine. The shuffle key includes the value, so a hot host or the
-   ``all`` group spreads over all tasks;
+   map-side combine. The shuffle key includes the value, so a hot host spreads
+   over all tasks; ``all`` adds up the counts of the hosts, not the rows;
 2. ranks are running sums of those counts, in a window that sees one row per
    distinct reading instead of one per measurement;
 3. only the rows that hold a wanted rank go on to the last, small group-by.
@@ -55,12 +55,18 @@ def value_counts(measurements: DataFrame, level: str) -> DataFrame:
         "seq",
         F.explode(entries).alias("e"),
     ).where(F.col("e.num").isNotNull() | F.col("e.txt").isNotNull())
-    return (
-        with_all_hosts(narrow)
-        .select("host_id", "period", "seq", "e.*")
-        .groupBy("host_id", "period", "dim", "num", "txt")
+    value = ["period", "dim", "num", "txt"]
+    per_host = (
+        narrow.select("host_id", "period", "seq", "e.*")
+        .groupBy("host_id", *value)
         .agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first_seq"))
     )
+    # Both sides read the same exchange; the measurements are scanned once.
+    of_all = (
+        per_host.groupBy(F.lit(config.ALL_HOSTS).alias("host_id"), *value)
+        .agg(F.sum("n").alias("n"), F.min("first_seq").alias("first_seq"))
+    )
+    return per_host.unionByName(of_all)
 
 
 def floor_rank(p: float, count: str) -> str:
