@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from netpulse import config
-from netpulse.functions import exact, text
+from netpulse.functions import exact, text, timeparts
 from netpulse.operators import ordinal
+from netpulse.session import shared_folder
 
 METRICS = ("download", "upload", "ping")
 
@@ -84,39 +86,70 @@ def approximate_percentiles(view: DataFrame, accuracy: int = 10000) -> DataFrame
 
 
 def trend_halves(view: DataFrame, tie_break: list[str]) -> DataFrame:
-    """Change of the means between the earlier and the later half of the rows, in percent."""
-    narrow = view.select(
-        "date_ist", *tie_break, *[_c(m).alias(m) for m in METRICS]
+    """Change of the means between the earlier and the later half of the rows, in percent.
+
+    Rows are first summed per hour. Hours lie wholly in one half but for the one that
+    holds the middle; only the rows of that hour are put in order.
+    """
+    shared_folder(view.sparkSession)
+    half = F.call_function("div", F.col("n_all"), F.lit(2))
+    hour = timeparts.hour_start(F.col("date_ist").cast("timestamp_ntz"))
+    narrow = view.select(hour.alias("hour"), "date_ist", *tie_break, *[_c(m).alias(m) for m in METRICS])
+    per_hour = narrow.groupBy("hour").agg(
+        F.count(F.lit(1)).alias("rows"),
+        *[F.sum(m).alias(m) for m in METRICS],
+        *[F.count(m).alias(f"{m}_n") for m in METRICS],
+    )
+    # One row per hour of the calendar: small enough for a running sum in one task.
+    in_order = W.orderBy("hour")
+    hours = (
+        per_hour.withColumns(
+            {
+                "before": F.coalesce(F.sum("rows").over(in_order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)),
+                "n_all": F.sum("rows").over(W.partitionBy()),
+            }
+        )
+        .withColumn("middle", (F.col("before") < half) & (half < F.col("before") + F.col("rows")))
+        .checkpoint(eager=True)
     )
-    placed = ordinal.with_position(narrow, [], ["date_ist", *tie_break])
-    later = F.col("pos") >= F.call_function("div", F.col("n_rows"), F.lit(2))
+    middle = hours.where("middle").select("hour", "before", "n_all")
+    inside = narrow.where(F.col("hour") == middle.agg(F.max("hour")).scalar())
+    placed = ordinal.with_position(inside, [], ["date_ist", *tie_break]).join(middle, "hour")
+    whole = hours.where(~F.col("middle")).select(
+        (F.col("before") >= half).alias("later"), "rows", *METRICS, *[f"{m}_n" for m in METRICS]
+    )
+    split = placed.select(
+        (F.col("before") + F.col("pos") >= half).alias("later"),
+        F.lit(1).cast("bigint").alias("rows"),
+        *METRICS,
+        *[F.col(m).isNotNull().cast("bigint").alias(f"{m}_n") for m in METRICS],
+    )
+
+    def of(part: bool, c: str) -> Column:
+        return F.sum(F.when(F.col("later") == part, F.col(c)))
+
+    sums = whole.unionByName(split).agg(
+        of(True, "rows").alias("n_now"),
+        of(False, "rows").alias("n_before"),
+        *[of(True, c).alias(f"{c}_now") for m in METRICS for c in (m, f"{m}_n")],
+        *[of(False, c).alias(f"{c}_before") for m in METRICS for c in (m, f"{m}_n")],
+    ).where("n_now + n_before > 1")
 
     def wide(c: Column) -> Column:
         return c.cast(exact.WIDE)
 
-    sums = placed.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(later).alias("n_now"),
-        F.count_if(~later).alias("n_before"),
-        *[F.sum(F.when(later, F.col(m))).alias(f"{m}_now") for m in METRICS],
-        *[F.sum(F.when(~later, F.col(m))).alias(f"{m}_before") for m in METRICS],
-        *[F.count(F.when(later, F.col(m))).alias(f"{m}_n_now") for m in METRICS],
-        *[F.count(F.when(~later, F.col(m))).alias(f"{m}_n_before") for m in METRICS],
-    ).where("n > 1")
-
     def change(now: Column, n_now: Column, before: Column, n_before: Column) -> Column:
         base = wide(before) * wide(n_now)
         moved = (wide(now) * wide(n_before) - base) * 1000
         tenths = exact.div_half_up(moved, base)
-        return (F.coalesce(tenths.cast("double"), F.lit(0.0)) / 10.0)
+        return F.coalesce(tenths.cast("double"), F.lit(0.0)) / 10.0
+
+    def of_metric(m: str) -> Column:
+        parts = (f"{m}_now", f"{m}_n_now", f"{m}_before", f"{m}_n_before")
+        return change(*[F.col(c) for c in parts]).alias(f"{m}_change")
 
     return sums.select(
-        *[
-            change(*[F.col(f"{m}_{part}") for part in ("now", "n_now", "before", "n_before")]).alias(
-                f"{m}_change"
-            )
-            for m in METRICS
-        ],
+        *[of_metric(m) for m in METRICS],
         change(F.col("n_now"), F.lit(1), F.col("n_before"), F.lit(1)).alias("tests_change"),
     )
 
