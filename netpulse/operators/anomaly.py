@@ -55,6 +55,7 @@ def with_period_anomalies(wide: DataFrame, level: str) -> DataFrame:
     avg_ping = _two_decimals(exact.mean_hundredths(ping_total, ping_n))
     limit = _two_decimals(limit_c)
 
+    # The message texts and the limits in them.
     def message(fmt: str, *parts: Column) -> Column:
         return F.format_string(fmt, *parts)
 

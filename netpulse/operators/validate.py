@@ -109,6 +109,7 @@ def range_message(path: str, low: int, high: int, label: str) -> str:
     )
 
 
+# The message texts below are fixed values too.
 def _messages(level: str, as_of_year: int) -> tuple[list[str], list[str]]:
     rules = RULES[level]
     errors, warnings = [], []

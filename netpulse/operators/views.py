@@ -11,7 +11,6 @@ from __future__ import annotations
 from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from netpulse import config
@@ -148,9 +147,10 @@ def view_records(view_rows: DataFrame) -> DataFrame:
 
 
 def latest_per_period(files: DataFrame) -> DataFrame:
-    """Keep the most recently written row of each host and period."""
-    newest = W.partitionBy("host_id", "period").orderBy(F.desc("modified"), F.desc("path"))
-    return files.withColumn("_r", F.row_number().over(newest)).where("_r = 1").drop("_r")
+    """Keep the most recently written row of each host and period, by a map-side combined maximum."""
+    columns = [c for c in files.columns if c not in ("host_id", "period")]
+    newest = F.max_by(F.struct(*columns), F.struct("modified", "path")).alias("_newest")
+    return files.groupBy("host_id", "period").agg(newest).select("host_id", "period", "_newest.*")
 
 
 def prefer_all_hosts(summaries: DataFrame) -> DataFrame:
