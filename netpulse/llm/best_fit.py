@@ -109,8 +109,8 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataF
         end = np.array([end_id], np.uint32)
         for batch in batches:
             out = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                ids = np.concatenate([encoder.ids(text), end])
+            for doc_id, ids in zip(batch["doc_id"], encoder.ids_of(batch["text"].tolist()), strict=True):
+                ids = np.concatenate([ids, end])
                 doc = None if pd.isna(doc_id) else int(doc_id)
                 for piece, start in enumerate(range(0, len(ids), capacity)):
                     part_ids = ids[start : start + capacity]

@@ -188,9 +188,9 @@ def write_shards(
         path = f"{folder}/shard-{shard:06d}-{uuid.uuid4().hex}.tpl"
         end = np.array([end_id], np.uint32)
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+            for doc_id, ids in zip(batch["doc_id"], encoder.ids_of(batch["text"].tolist()), strict=True):
                 writer = writer or ShardWriter(path, kind, block)
-                writer.add(None if pd.isna(doc_id) else int(doc_id), np.concatenate([encoder.ids(text), end]))
+                writer.add(None if pd.isna(doc_id) else int(doc_id), np.concatenate([ids, end]))
         if writer:
             size = writer.close()
             yield pd.DataFrame([(shard, path, len(writer.docs), writer.total, size)], columns=["shard", "path", "n_docs", "n_ids", "n_bytes"])
