@@ -112,23 +112,21 @@ def edited_texts(docs: DataFrame) -> DataFrame:
     # Ascending positions: the next document in descending order is one lower, and before the first is the last.
     order = with_position(one, ["all"], ["key"])
     order = order.select("key", "tie", "n", "pos", F.pmod(F.col("pos") - 1, F.col("n_rows")).alias("next_pos"))
-    after = order.select(F.col("key").alias("next_key"), F.col("tie").alias("next_tie"), F.col("pos").alias("next_pos"))
+    after = order.select(F.col("key").alias("next_key"), F.col("pos").alias("next_pos"))
+    before = order.select(F.col("key").alias("of"), F.col("n").alias("n_of"), F.col("next_pos").alias("pos"))
     plan = written(
-        order.join(after, "next_pos").select("key", "tie", "next_key", "next_tie", F.expr("int(n div 3)").alias("cut")),
+        order.join(after, "next_pos").join(before, "pos").select(
+            "key", F.col("tie").alias("wanted"), "next_key", F.expr("int(n div 3)").alias("cut"), "of", F.expr("int(n_of div 3)").alias("cut_of")
+        ),
         "edits",
     )
-
-    def only(pairs: DataFrame, keys: list[str]) -> DataFrame:
-        # Rows that repeat a document are alike by now; one of them stays.
-        same = W.partitionBy(*keys).orderBy(*keys)
-        return pairs.withColumn("_row", F.row_number().over(same)).where("_row = 1").drop("_row")
-
-    wanted = plan.select(F.col("next_key").alias("key"), F.col("next_tie").alias("wanted"), F.col("key").alias("of"), "cut")
-    heads = only(rows.join(wanted, "key").where("tie = wanted"), ["key"]).select(
-        F.col("of").alias("key"), F.substring("text", F.lit(1), F.col("cut")).alias("head")
-    )
-    own = plan.select("key", F.col("tie").alias("wanted"), "next_key", "cut")
-    both = only(rows.join(own, "key").where("tie = wanted"), ["key"]).join(heads, "key")
+    # Every document is some other one's next: the texts are shuffled once, and their beginnings once more.
+    # Not an equality of columns, or it would become a join key and the next window need another shuffle.
+    found = rows.join(plan, "key").where("(tie ^ wanted) = 0")
+    same = W.partitionBy("key").orderBy("key")
+    found = found.withColumn("_row", F.row_number().over(same)).where("_row = 1")
+    heads = found.select(F.col("of").alias("key"), F.substring("text", F.lit(1), F.col("cut_of")).alias("head"))
+    both = found.select("key", "next_key", "text", "cut").join(heads, "key")
     length = F.char_length("text")
     kept = F.substring("text", F.lit(1), length - F.col("cut"))
     return both.select(
@@ -145,17 +143,19 @@ def multiset_hash(docs: DataFrame) -> DataFrame:
     texts = edited_texts(docs).withColumn("sha", F.sha2("edited", 256))
     version = F.explode(F.array(F.struct(F.lit(0).alias("version"), F.col("text").alias("body")), F.struct(F.lit(1).alias("version"), F.col("edited").alias("body"))))
     bodies = texts.select("key", "next_key", "n_chars", "sha", version.alias("v")).select("key", "next_key", "n_chars", "sha", "v.*")
-    prints = written(fingerprints(bodies, ["key", "next_key", "n_chars", "sha", "version"], "body"), "fingerprints")
-    plain = prints.where("version = 0")
-    edited = prints.where("version = 1").select("key", F.col("exact").alias("exact_e"), F.col("like").alias("like_e"))
-    following = plain.select(F.col("key").alias("next_key"), F.col("like").alias("like_n"))
-    both = plain.join(edited, "key").join(following, "next_key")
+    prints = fingerprints(bodies, ["key", "next_key", "n_chars", "sha", "version"], "body")
+    # Both versions of a document are in one task already; this pairs them without a shuffle.
+    plain = F.max(F.when(F.col("version") == 0, F.struct("exact", "like"))).alias("plain")
+    edited = F.max(F.when(F.col("version") == 1, F.struct("exact", "like"))).alias("edited")
+    paired = written(prints.groupBy("key", "next_key", "n_chars", "sha").agg(plain, edited), "fingerprints")
+    following = paired.select(F.col("key").alias("next_key"), F.col("plain.like").alias("like_n"))
+    both = paired.join(following, "next_key")
     return both.select(
         F.nullif("key", F.lit(_NO_ID)).alias("doc_id"),
         "n_chars",
         F.col("sha").alias("edited_sha256"),
-        as_text(F.col("exact"), F.col("like")).alias("fingerprint"),
-        as_text(F.col("exact_e"), F.col("like_e")).alias("edited_fingerprint"),
-        likeness(F.col("like"), F.col("like_e")).alias("near_edited"),
-        likeness(F.col("like"), F.col("like_n")).alias("near_next"),
+        as_text(F.col("plain.exact"), F.col("plain.like")).alias("fingerprint"),
+        as_text(F.col("edited.exact"), F.col("edited.like")).alias("edited_fingerprint"),
+        likeness(F.col("plain.like"), F.col("edited.like")).alias("near_edited"),
+        likeness(F.col("plain.like"), F.col("like_n")).alias("near_next"),
     )
