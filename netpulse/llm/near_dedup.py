@@ -1,13 +1,13 @@
 """MinHash near-duplicates by a multi-index Hamming join of b-bit signatures.
 
-A signature has 72 min-hashes of 9 bits, six to a 64-bit chunk, twelve chunks.
-Its distance is the number of min-hashes that differ. By the pigeonhole
-principle two signatures at a distance of at most 23 agree, in at least one of
-the twelve chunks, on all but at most one of six min-hashes. So each chunk is
-indexed with each of its allowed errors left out (72 keys a signature), and
+A signature has 112 min-hashes of 6 bits, eight to a 64-bit chunk, fourteen
+chunks. Its distance is the number of min-hashes that differ. By the pigeonhole
+principle two signatures at a distance of at most 27 agree, in at least one of
+the fourteen chunks, on all but at most one of eight min-hashes. So each chunk is
+indexed with each of its allowed errors left out (112 keys a signature), and
 every pair within the distance shares a key. Pairs further apart mostly do too:
 at a Jaccard similarity of exactly 0.8 a pair without a common key has a
-probability of 3e-6.
+probability of 6e-5, at 0.85 of 3e-7.
 
 Documents with equal shingle sets are one class from the start. Classes that
 share a key are linked without listing all pairs:
@@ -15,12 +15,13 @@ share a key are linked without listing all pairs:
 1. every member is compared with the leader of its bucket, for each of the
    ``ORDERS`` ways to choose leaders, and what the leaders join is one component;
 2. the remaining pairs of a bucket, those between different components, are
-   compared all. Unrelated documents seldom share a bucket; one that still has
-   more than ``BUCKET`` components is split by a second chunk and so on, which
-   by the same principle keeps every pair up to a distance of 21.
+   compared by signature inside the tasks, and only near ones come out. A bucket
+   of more than ``BUCKET`` components is split by a second chunk and so on, which
+   by the same principle keeps every pair up to a distance of 25; a bucket of many
+   members is dealt to cells of about ``CELL`` members each.
 
 Every link is confirmed on the full sets. Distances above ``FAR`` (a pair of
-similarity 0.8 gets there once in ten million) are not compared further.
+similarity 0.8 gets there once in a hundred thousand) are not compared further.
 """
 
 from __future__ import annotations
@@ -36,12 +37,15 @@ from pyspark.sql import functions as F
 from netpulse.llm.text import mix64, shingle_set
 from netpulse.sinks.tables import written
 
-CHUNKS, LANES, BITS = 12, 6, 9
+CHUNKS, LANES, BITS = 14, 8, 6
 LANE = BITS + 1  # a spare bit, so that lanes can be compared by one addition
 LANE_MAX = (1 << BITS) - 1
-ORDERS = 3
-FAR = 34
-BUCKET = 500
+ORDERS = 4
+FAR = 42
+BUCKET = 1000
+CELL = 4096
+# Ids or keys up to this number (32 MB) may be broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 
 _LOW = sum(LANE_MAX << (LANE * j) for j in range(LANES))
 _HIGH = sum(1 << (LANE * j + BITS) for j in range(LANES))
@@ -55,15 +59,16 @@ def _seeds() -> np.ndarray:
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
-    """Twelve chunks of six 9-bit min-hashes of a non-empty set of 64-bit hashes."""
+    """The chunks of 6-bit min-hashes of a non-empty set of 64-bit hashes."""
     seeds = _seeds()
-    lows = np.full(len(seeds), np.iinfo(np.uint64).max, np.uint64)
-    odd = seeds | np.uint64(1)
-    for at in range(0, len(shingles), _SLICE):
-        # Products of mixed 64-bit values with an odd number: their order is the permutation.
-        products = (shingles[None, at : at + _SLICE] ^ seeds[:, None]) * odd[:, None]
+    add, odd = (seeds >> np.uint64(32)).astype(np.uint32), seeds.astype(np.uint32) | np.uint32(1)
+    folded = (shingles >> np.uint64(32)).astype(np.uint32)
+    lows = np.full(len(seeds), np.iinfo(np.uint32).max, np.uint32)
+    for at in range(0, len(folded), _SLICE):
+        # Products of mixed 32-bit values with an odd number: their order is the permutation.
+        products = (folded[None, at : at + _SLICE] ^ add[:, None]) * odd[:, None]
         lows = np.minimum(lows, products.min(axis=1))
-    lanes = (mix64(lows) & np.uint64(LANE_MAX)).reshape(CHUNKS, LANES)
+    lanes = (mix64(lows.astype(np.uint64) + seeds) & np.uint64(LANE_MAX)).reshape(CHUNKS, LANES)
     return (lanes << (np.arange(LANES, dtype=np.uint64) * np.uint64(LANE))).sum(axis=1, dtype=np.uint64).view(np.int64)
 
 
@@ -108,16 +113,25 @@ def distance(left: str, right: str) -> Column:
 
 
 def _keys() -> Column:
-    """Chunk number and key of each chunk with each lane left out."""
-    entries = []
+    """Key of each chunk with each lane left out; the lowest four bits of a key are the chunk's number."""
+    keys = []
     for i in range(CHUNKS):
         for j in range(LANES):
             kept = F.col(f"s{i}").bitwiseAND(F.lit(_LOW & ~(LANE_MAX << (LANE * j))))
-            entries.append(F.struct(F.lit(i).alias("chunk"), F.xxhash64(F.lit(i * LANES + j), kept).alias("key")))
-    return F.array(*entries)
+            keys.append(F.xxhash64(F.lit(i * LANES + j), kept).bitwiseAND(F.lit(-16)).bitwiseOR(F.lit(i)))
+    return F.array(*keys)
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def _chunk(key: Column) -> Column:
+    return key.bitwiseAND(F.lit(15))
+
+
+def _checked(small: DataFrame) -> DataFrame:
+    """A written table of one BIGINT column, to be broadcast only where its counted rows are few."""
+    return F.broadcast(small) if small.count() <= BROADCAST_ROWS else small
+
+
+def components(edges: DataFrame) -> DataFrame:
     """node, component (smallest node reachable) for every node that has an edge.
 
     Labels fall to the smallest label among the neighbours and then jump to the
@@ -150,10 +164,11 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    wanted = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
-    sets = shingle_sets(wanted.groupBy("doc_id").agg(F.min("text").alias("text")), width)
+    """The pairs (a, b) whose full shingle sets are similar enough; ``pairs`` is a written table."""
+    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "paired")
+    wanted = docs.select("doc_id", "text").join(_checked(ids), "doc_id", "left_semi")
+    # Rows that share a doc_id: the first set in order stands for them.
+    sets = written(shingle_sets(wanted, width), "sets").groupBy("doc_id").agg(F.min("shingles").alias("shingles"))
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_of_a"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_of_b"))
     both = pairs.join(left, "a").join(right, "b")
@@ -183,20 +198,22 @@ def _with_signature(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def star_pairs(members: DataFrame, order: int) -> DataFrame:
-    """Each bucket member with the leader of its bucket; one pair a member and leader.
+    """One pair a member: with the smallest leader of its buckets, or the one it shares most buckets with.
 
-    Order 0 takes the smallest id, so that a tight group has one leader; the
-    other orders draw leaders per chunk, for groups whose members are only similar
-    to some of the others.
+    Order 0 leads buckets by the smallest id, so that a tight group has one leader;
+    the other orders draw leaders per chunk, for groups whose members are only
+    similar to some of the others, and a member is compared with the likeliest.
     """
-    rank = F.lit(0) if order == 0 else F.xxhash64(F.lit(order), "chunk", "id")
+    rank = F.lit(0) if order == 0 else F.xxhash64(F.lit(order), _chunk(F.col("key")), "id")
     ranked = members.withColumn("at", F.struct(rank.alias("rank"), F.col("id"), F.col("component")))
     leaders = ranked.groupBy("key").agg(F.min("at").alias("leader"))
     pairs = ranked.join(leaders, "key").where(F.col("component") != F.col("leader.component"))
     if order == 0:
         pairs = pairs.groupBy("id").agg(F.min("leader.id").alias("b"))
         return pairs.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b"))
-    ends = pairs.select(F.least("id", "leader.id").alias("a"), F.greatest("id", "leader.id").alias("b"))
+    shared = pairs.groupBy("id", F.col("leader.id").alias("other")).agg(F.count(F.lit(1)).alias("n"))
+    best = shared.groupBy("id").agg(F.max(F.struct("n", "other")).alias("best"))
+    ends = best.select(F.least("id", "best.other").alias("a"), F.greatest("id", "best.other").alias("b"))
     return ends.distinct()
 
 
@@ -207,47 +224,103 @@ def split_large(members: DataFrame, classes: DataFrame, bucket: int) -> list[Dat
     chunk. After ``CHUNKS`` levels the members agree almost everywhere and are
     compared as they are.
     """
-    out, level = [], members.withColumn("used", F.array("chunk"))
+    out, level = [], members.withColumn("used", F.array(_chunk(F.col("key"))))
     for depth in range(CHUNKS):
-        sizes = level.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
-        large = sizes.where(F.col("size") > bucket).select("key")
+        sizes = level.groupBy("key").agg(F.count_distinct("component").alias("size"))
+        large = written(sizes.where(F.col("size") > bucket).select("key"), "large")
         if depth == CHUNKS - 1 or not large.limit(1).count():
             out.append(level.select("key", "id", "component"))
             break
-        small = level.join(large, "key", "left_anti")
-        out.append(small.select("key", "id", "component"))
+        out.append(level.join(large, "key", "left_anti").select("key", "id", "component"))
         again = level.join(large, "key", "left_semi").join(classes.select("id", *SIGNATURE), "id")
-        finer = again.select("id", "component", "used", F.col("key").alias("outer"), F.explode(_keys()).alias("k")).where(
-            ~F.array_contains("used", F.col("k.chunk"))
-        )
-        finer = finer.select(
-            F.xxhash64("outer", "k.key").alias("key"), "id", "component", F.array_append("used", F.col("k.chunk")).alias("used")
+        finer = again.select("id", "component", "used", F.col("key").alias("outer"), F.explode(_keys()).alias("k"))
+        chunk = _chunk(F.col("k"))
+        finer = finer.where(~F.array_contains("used", chunk)).select(
+            F.xxhash64("outer", "k").bitwiseAND(F.lit(-16)).bitwiseOR(chunk).alias("key"), "id", "component", F.array_append("used", chunk).alias("used")
         )
         several = finer.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
         level = written(finer.join(several.select("key"), "key", "left_semi"), "split")
     return out
 
 
-def cross_pairs(members: DataFrame, classes: DataFrame, bucket: int) -> DataFrame:
-    """All pairs of a bucket that lie in different components and are near by signature."""
-    pairs = None
+def near_in_cell(cell: pd.DataFrame) -> pd.DataFrame:
+    """Pairs (a, b) between components of a cell at most FAR apart; ``cell`` holds whole cells, in order of component."""
+    chunks = cell[SIGNATURE].to_numpy(np.int64)
+    ids, part = cell["id"].to_numpy(np.int64), cell["part"].to_numpy(np.int64)
+    same_part = (cell["low"] == cell["high"]).to_numpy()
+    place = np.arange(len(cell))
+    marks = cell[["key", "low", "high"]].to_numpy(np.int64)
+    new_cell = np.r_[True, (marks[1:] != marks[:-1]).any(axis=1)]
+    new_block = new_cell | np.r_[True, np.diff(cell["component"].to_numpy(np.int64)) != 0]
+
+    def ends(starts: np.ndarray) -> np.ndarray:
+        first = np.flatnonzero(starts)
+        return np.r_[first[1:], len(cell)][np.cumsum(starts) - 1]
+
+    # The partners of a row are those of its cell after its component.
+    after, until = ends(new_block), ends(new_cell)
+    many = until - after
+    out, at = [], 0
+    while at < len(cell):
+        upto = max(at + 1, int(np.searchsorted(np.cumsum(many[at:]), 2_000_000, "right")) + at)
+        n = many[at:upto]
+        left = np.repeat(place[at:upto], n)
+        right = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(after[at:upto], n)
+        fits = same_part[left] | (part[left] != part[right])
+        left, right = left[fits], right[fits]
+        far = np.zeros(len(left), np.int64)
+        for i in range(CHUNKS):
+            lanes = ((chunks[left, i] ^ chunks[right, i]) + _LOW) & _HIGH
+            far += np.bitwise_count(lanes)
+        near = far <= FAR
+        a, b = ids[left[near]], ids[right[near]]
+        out.append(pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}))
+        at = upto
+    return pd.concat(out).drop_duplicates() if out else pd.DataFrame({"a": [], "b": []}, dtype="int64")
+
+
+def cross_pairs(members: DataFrame, classes: DataFrame, bucket: int, cell: int) -> DataFrame:
+    """All pairs of a bucket that lie in different components and are near by signature.
+
+    Rows are sorted by cell; a task holds one cell (or many small ones) at a time.
+    """
+    rows = None
     for part in split_large(members, classes, bucket):
-        left = part.select("key", F.col("id").alias("a"), F.col("component").alias("ca"))
-        right = part.select("key", F.col("id").alias("b"), F.col("component").alias("cb"))
-        found = left.join(right, (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")))
-        found = found.select("a", "b")
-        pairs = found if pairs is None else pairs.union(found)
-    return pairs.distinct()
+        rows = part if rows is None else rows.union(part)
+    sizes = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / cell).alias("parts"))
+    dealt = rows.join(sizes, "key").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    dealt = dealt.withColumn("other", other).select(
+        "key", "id", "component", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high")
+    )
+    dealt = dealt.join(classes.select("id", *SIGNATURE), "id")
+    order = ["key", "low", "high"]
+
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in batches:
+            held = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            marks = held[order].to_numpy(np.int64)
+            # The last cell may go on in the next batch.
+            whole = np.flatnonzero((marks != marks[-1]).any(axis=1))
+            if len(whole):
+                yield near_in_cell(held.iloc[: whole[-1] + 1])
+                held = held.iloc[whole[-1] + 1 :].reset_index(drop=True)
+        if held is not None and len(held):
+            yield near_in_cell(held)
+
+    sorted_rows = dealt.repartition(*order).sortWithinPartitions(*order, "component", "id")
+    return sorted_rows.mapInPandas(task, "a long, b long").distinct()
 
 
 def near_duplicates(
-    docs: DataFrame, width: int = 5, percent: int = 80, bucket: int = BUCKET, orders: int = ORDERS
+    docs: DataFrame, width: int = 5, percent: int = 80, bucket: int = BUCKET, cell: int = CELL, orders: int = ORDERS
 ) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document.
 
     Null, empty or wordless text: no shingles, linked with nothing. Rows that
-    share a doc_id with different texts are one node with the links of its
-    smallest text. A null doc_id takes no part: component_id null, kept true.
+    share a doc_id with different texts are one node, linked by one of their
+    sets. A null doc_id takes no part: component_id null, kept true.
     An empty table gives no row; columns but doc_id and text are left out.
     """
     docs = docs.select("doc_id", "text")
@@ -258,20 +331,26 @@ def near_duplicates(
     classes = written(
         usable.groupBy(*same_set).agg(F.min("doc_id").alias("id"), *[F.min(s).alias(s) for s in SIGNATURE]), "classes"
     )
-    keyed = classes.select("id", F.explode(_keys()).alias("k")).select("id", "k.chunk", "k.key")
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    buckets = written(keyed.join(shared, "key", "left_semi"), "buckets")
+    keyed = classes.select("id", F.explode(_keys()).alias("key"))
+    shared = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "shared")
+    members = written(keyed.join(_checked(shared), "key", "left_semi"), "buckets")
     links, labels = None, None
     for step in range(orders + 1):
-        members = written(_labelled(buckets, labels), "members")
+        members = written(_labelled(members.select("key", "id"), labels), "members")
         if not members.limit(1).count():
             break
-        found = star_pairs(members, step) if step < orders else cross_pairs(members, classes, bucket)
-        near = written(_with_signature(found, classes), "near")
+        if step < orders:
+            found = _with_signature(star_pairs(members, step), classes)
+        else:
+            found = cross_pairs(members, classes, bucket, cell)
+        near = written(found, "near")
+        if not near.limit(1).count():
+            continue
         fresh = written(confirm(near, docs, width, percent), "links")
+        if not fresh.limit(1).count():
+            continue
         links = fresh if links is None else links.union(fresh)
-        labels = components(classes, links)
-        buckets = members.select("key", "chunk", "id")
+        labels = components(links)
     lowest = classes.select(*same_set, F.col("id").alias("class_id"))
     out = signed.join(lowest, same_set, "left")
     if labels is not None:
