@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from netpulse.catalogue import sql
 from netpulse.functions import exact, text, timeparts
 from netpulse.operators import rollup
-from netpulse.sinks.tables import with_lists, written
 from netpulse.sources import tables
 from netpulse.sources.normalize import is_plausible, is_valid, normalize
 
@@ -121,20 +120,21 @@ WHERE i.item <> '' GROUP BY ALL"""
 
 
 def daily_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily summaries with their lists nested, the form the export writes."""
-    m = tables.measurements(spark, sf_dir)
-    nested = with_lists(rollup.completeness(m, "daily"), written(rollup.members(m, "daily"), "members"))
-    lists = [F.array_join(c, "|").alias(c) for c in ("hosts_in_data", "public_ips", "result_urls")]
-    return nested.select("host_id", "period", "records", "lists_in_table", *lists)
+    """The lists of the daily summaries as rows: item, and for urls the place by arrival (others: -1, in order of text)."""
+    members = rollup.members(tables.measurements(spark, sf_dir), "daily")
+    lists = members.where(F.col("kind").isin("host", "ip", "url"))
+    place = F.when(F.col("kind") == "url", F.col("first_seq")).otherwise(F.lit(-1)).alias("place")
+    return lists.select("host_id", "period", "kind", "item", place)
 
 
 LISTS_SQL = (
     sql.with_(sql.M)
-    + """SELECT h.host AS host_id, CAST(bucket_start AS DATE) AS period, count(*) AS records, FALSE AS lists_in_table,
-  string_agg(DISTINCT v.host_id, '|' ORDER BY v.host_id) AS hosts_in_data,
-  string_agg(DISTINCT public_ip, '|' ORDER BY public_ip) FILTER (WHERE public_ip <> '') AS public_ips,
-  string_agg(result_url, '|' ORDER BY seq) FILTER (WHERE result_url LIKE 'http%') AS result_urls
-FROM v, LATERAL (SELECT unnest([v.host_id, 'all']) AS host) h GROUP BY h.host, CAST(bucket_start AS DATE)"""
+    + """SELECT h.host AS host_id, CAST(bucket_start AS DATE) AS period, i.kind, i.item,
+  CAST(min(CASE WHEN i.kind = 'url' THEN seq ELSE -1 END) AS BIGINT) AS place
+FROM v, LATERAL (SELECT unnest([v.host_id, 'all']) AS host) h, LATERAL (
+  SELECT 'host' AS kind, v.host_id AS item UNION ALL SELECT 'ip', v.public_ip
+  UNION ALL SELECT 'url', CASE WHEN v.result_url LIKE 'http%' THEN v.result_url END) i
+WHERE i.item <> '' GROUP BY ALL"""
 )
 
 

@@ -18,14 +18,14 @@ LONG_AS_OF = datetime(2001, 8, 2)
 METRICS = ("download", "upload", "ping")
 
 
-def _minute(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.minute_view(tables.measurements(spark, sf_dir), AS_OF, 60)
+def _minute(spark: SparkSession, sf_dir: str, look_back: int | None = None) -> DataFrame:
+    return views.minute_view(tables.measurements(spark, sf_dir), AS_OF, look_back)
 
 
-def _hourly(spark: SparkSession, sf_dir: str, with_ip: bool = False) -> DataFrame:
+def _hourly(spark: SparkSession, sf_dir: str, with_ip: bool = False, look_back: int | None = None) -> DataFrame:
     m = tables.measurements(spark, sf_dir)
     ips = views.period_first_ip(m, "hourly") if with_ip else None
-    return written(views.view(rollup.hourly(m), "hourly", None, AS_OF, 60, ips), "hourly-view")
+    return written(views.view(rollup.hourly(m), "hourly", None, AS_OF, look_back, ips), "hourly-view")
 
 
 def _daily(spark: SparkSession, sf_dir: str, with_ip: bool = False) -> DataFrame:
@@ -35,13 +35,13 @@ def _daily(spark: SparkSession, sf_dir: str, with_ip: bool = False) -> DataFrame
 
 
 def view_minute(spark, sf_dir):
-    return views.view_records(_minute(spark, sf_dir)).withColumn(
+    return views.view_records(_minute(spark, sf_dir, 60)).withColumn(
         "result_urls", F.array_join("result_urls", "|")
     )
 
 
 def view_hourly(spark, sf_dir):
-    return views.view_records(_hourly(spark, sf_dir, True))
+    return views.view_records(_hourly(spark, sf_dir, True, 60))
 
 
 def view_daily(spark, sf_dir):
@@ -89,7 +89,8 @@ x AS (SELECT seq, local_ts AS date_ist, strftime(local_ts, '%Y-%m-%d %H:%M') AS
     upload_c AS ul_c, ping_c, server_name || ' – ' || server_host || ' – ' || server_city || ' (' || server_country || ')'
     AS top_server, public_ip, coalesce(connection_type, 'Unknown') AS connection_type,
     coalesce(wifi_name, '') AS wifi_name, result_url AS result_urls, host_id, host_name, host_location, host_isp
-  FROM v WHERE local_ts >= TIMESTAMP '2024-01-31 06:00:00' - INTERVAL 60 DAY)"""
+  FROM v)"""
+X_MINUTE_60 = X_MINUTE.replace("FROM v)", "FROM v WHERE local_ts >= TIMESTAMP '2024-01-31 06:00:00' - INTERVAL 60 DAY)")
 
 
 def _x_period(level: str) -> str:
@@ -417,7 +418,7 @@ QUERIES = {
     "latest_per_month": latest_per_month,
 }
 ORACLES = {
-    "view_minute": MINUTE + ALL,
+    "view_minute": sql.with_(sql.M, X_MINUTE_60, FLAGS) + ALL,
     "view_hourly": HOURLY + ALL,
     "view_daily": sql.dated(DAILY + ALL, "date_ist"),
     "view_weekly": sql.dated(WEEKLY + ALL, "date_ist"),

@@ -181,11 +181,13 @@ def alarm_states(logs: DataFrame) -> DataFrame:
         .otherwise(F.col("n") > F.col("threshold"))
     )
     ordered = W.partitionBy("alarm").orderBy("w")
-    recent = F.sum("breach").over(ordered.rowsBetween(-1, 0))  # no alarm looks further back than two
+    # Each alarm looks back over as many periods as it asks for.
+    widths = sorted({a.periods for a in config.ALARMS})
+    recent = F.coalesce(*[F.when(F.col("periods") == n, F.sum("breach").over(ordered.rowsBetween(1 - n, 0))) for n in widths])
     return (
         spine.join(sums, ["alarm", "w"], "left")
         .withColumn("breach", breach.cast("int"))
-        .withColumn("breaches", F.when(F.col("periods") == 1, F.col("breach")).otherwise(recent))
+        .withColumn("breaches", recent)
         .select(
             "alarm",
             as_time(F.col("w")).alias("window_start"),

@@ -60,26 +60,12 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
-def with_lists(summaries: DataFrame, members: DataFrame, max_items: int = 10_000) -> DataFrame:
-    """Summaries with the lists of the long-form member table nested, for export.
+def write_members(members: DataFrame, path: str) -> None:
+    """The lists of summaries as rows, by kind; whole at every size.
 
-    A list longer than ``max_items`` stays in the member table, where it is whole;
-    ``lists_in_table`` says so. Long lists are left out before anything is gathered.
+    A list of ``all`` is as long as the raw table, so it is never gathered.
     """
-    keys = ["host_id", "period", "kind"]
-    wanted = members.where(F.col("kind").isin("host", "ip", "url"))
-    sizes = wanted.groupBy(*keys).agg(F.count(F.lit(1)).alias("items"))
-    short = wanted.join(sizes.where(F.col("items") <= max_items), keys, "left_semi")
-    in_order = F.sort_array(F.collect_list(F.struct(F.when(F.col("kind") == "url", F.col("first_seq")), "item")))
-    lists = short.groupBy(*keys).agg(F.transform(in_order, lambda x: x["item"]).alias("list"))
-    long_ones = sizes.groupBy("host_id", "period").agg((F.max("items") > max_items).alias("lists_in_table"))
-    nested = lists.groupBy("host_id", "period").agg(
-        F.max(F.when(F.col("kind") == "host", F.col("list"))).alias("hosts_in_data"),
-        F.max(F.when(F.col("kind") == "ip", F.col("list"))).alias("public_ips"),
-        F.max(F.when(F.col("kind") == "url", F.col("list"))).alias("result_urls"),
-    )
-    out = summaries.join(long_ones, ["host_id", "period"], "left").join(nested, ["host_id", "period"], "left")
-    return out.withColumn("lists_in_table", F.coalesce("lists_in_table", F.lit(False)))
+    members.hint("rebalance", "kind").write.mode("overwrite").partitionBy("kind").parquet(path)
 
 
 def as_documents(summaries: DataFrame, thresholds: bool = True) -> DataFrame:

@@ -3,10 +3,11 @@
 import pytest
 
 import __spark_entry__ as contract
+from netpulse import catalogue
 from tools.check import compare, oracle_connection
 
-QUERIES = contract.queries()
-ORACLES = contract.oracle_sql()
+QUERIES = catalogue.queries()
+ORACLES = catalogue.oracles()
 
 
 @pytest.fixture(scope="module")
@@ -31,6 +32,10 @@ def test_every_check_has_a_query():
     assert set(QUERIES) - set(ORACLES) == {"downsample_minute", "downsample_hourly"}
 
 
+def test_contract_holds_the_catalogue():
+    assert set(QUERIES) <= set(contract.queries()) and set(ORACLES) <= set(contract.oracle_sql())
+
+
 def test_entry(spark):
     assert contract.entry(spark).count() > 0
 
