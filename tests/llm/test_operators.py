@@ -191,7 +191,7 @@ def test_near_dedup(spark, awkward, empty):
     rng = np.random.default_rng(3)
     vocabulary = [f"w{i}" for i in range(900)]
     texts = []
-    for _ in range(25):
+    for _ in range(15):
         base = list(rng.choice(vocabulary, rng.integers(5, 200)))
         texts.append(" ".join(base))
         for _ in range(rng.integers(0, 6)):
@@ -201,12 +201,12 @@ def test_near_dedup(spark, awkward, empty):
             texts.append(" ".join(base).upper() if rng.random() < 0.3 else "  ".join(base))
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     sizes, groups = brute_groups(texts, list(range(len(texts))), 4, 80)
-    # The smaller limits force buckets to be split and dealt to cells.
-    for limits in ({}, {"bucket": 3, "cell": 2, "orders": 0}):
+    # The small cell forces buckets to be dealt to several cells.
+    for limits in ({"orders": 1}, {"cell": 2, "orders": 0}):
         got = near_dedup.near_duplicates(frame, 4, 80, **limits).toPandas().sort_values("doc_id")
         assert got["n_shingles"].tolist() == sizes and got["component_id"].tolist() == groups
     assert (got["kept"] == (got["doc_id"] == got["component_id"])).all()
-    rows = {r["doc_id"]: r for r in near_dedup.near_duplicates(awkward, 4).collect()}
+    rows = {r["doc_id"]: r for r in near_dedup.near_duplicates(awkward, 4, orders=0).collect()}
     assert rows[4]["component_id"] == 3 and rows[1]["n_shingles"] == 0 and rows[6]["kept"] and rows[None]["component_id"] is None and rows[None]["kept"]
     kept = near_dedup.keep_one(awkward)
     assert kept.columns == awkward.columns and sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 2, 3, 5, 6, 7, 8]
