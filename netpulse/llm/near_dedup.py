@@ -15,13 +15,17 @@ share a key are linked without listing all pairs:
 1. every member is compared with the leader of its bucket, for each of the
    ``ORDERS`` ways to choose leaders, and what the leaders join is one component;
 2. the remaining pairs of a bucket, those between different components, are
-   compared by signature inside the tasks, and only near ones come out. A bucket
+   compared inside the tasks by a wider signature of ``WIDE`` min-hashes of one
+   bit, made for these members alone, and only near ones come out. A bucket
    of more than ``BUCKET`` components is split by a second chunk and so on, which
    by the same principle keeps every pair up to a distance of 25; a bucket of many
    members is dealt to cells of about ``CELL`` members each.
 
 Every link is confirmed on the full sets. Distances above ``FAR`` (a pair of
-similarity 0.8 gets there once in a hundred thousand) are not compared further.
+similarity 0.8 gets there once in a hundred thousand) are not compared further,
+nor are wider signatures that differ in more than ``WIDE_FAR`` bits, or in more
+than ``FIRST_FAR`` of the first ``FIRST`` bits: both are 4.5 standard deviations
+beyond the mean of a pair of similarity 0.8 (less than once in a hundred thousand).
 """
 
 from __future__ import annotations
@@ -42,6 +46,8 @@ LANE = BITS + 1  # a spare bit, so that lanes can be compared by one addition
 LANE_MAX = (1 << BITS) - 1
 ORDERS = 4
 FAR = 42
+WIDE, WIDE_FAR = 2048, 266
+FIRST, FIRST_FAR = 512, 82
 BUCKET = 1000
 CELL = 4096
 # Ids or keys up to this number (32 MB) may be broadcast; more are joined by a shuffle.
@@ -54,13 +60,9 @@ SIGNATURE = [f"s{i}" for i in range(CHUNKS)]
 _SLICE = 1 << 11
 
 
-def _seeds() -> np.ndarray:
-    return mix64(np.arange(1, CHUNKS * LANES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-
-
-def signature(shingles: np.ndarray) -> np.ndarray:
-    """The chunks of 6-bit min-hashes of a non-empty set of 64-bit hashes."""
-    seeds = _seeds()
+def _min_hashes(shingles: np.ndarray, first: int, number: int) -> np.ndarray:
+    """64-bit min-hashes of a non-empty set of 64-bit hashes, by the hash functions from ``first`` on."""
+    seeds = mix64(np.arange(first, first + number, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     add, odd = (seeds >> np.uint64(32)).astype(np.uint32), seeds.astype(np.uint32) | np.uint32(1)
     folded = (shingles >> np.uint64(32)).astype(np.uint32)
     lows = np.full(len(seeds), np.iinfo(np.uint32).max, np.uint32)
@@ -68,10 +70,37 @@ def signature(shingles: np.ndarray) -> np.ndarray:
         # Products of mixed 32-bit values with an odd number: their order is the permutation.
         products = (folded[None, at : at + _SLICE] ^ add[:, None]) * odd[:, None]
         lows = np.minimum(lows, products.min(axis=1))
-    lanes = (mix64(lows.astype(np.uint64) + seeds) & np.uint64(LANE_MAX)).reshape(CHUNKS, LANES)
+    return mix64(lows.astype(np.uint64) + seeds)
+
+
+def signature(shingles: np.ndarray) -> np.ndarray:
+    """The chunks of 6-bit min-hashes of a non-empty set of 64-bit hashes."""
+    hashes = _min_hashes(shingles, 1, CHUNKS * LANES)
+    lanes = (hashes & np.uint64(LANE_MAX)).reshape(CHUNKS, LANES)
     return (lanes << (np.arange(LANES, dtype=np.uint64) * np.uint64(LANE))).sum(axis=1, dtype=np.uint64).view(np.int64)
 
 
+def wide_signature(shingles: np.ndarray) -> bytes:
+    """WIDE min-hashes of one bit, by other hash functions than those of the signature."""
+    hashes = _min_hashes(shingles, 1 + CHUNKS * LANES, WIDE)
+    return np.packbits((hashes & np.uint64(1)).astype(np.uint8)).tobytes()
+
+
+def sign_wide(docs: DataFrame, width: int) -> DataFrame:
+    """id and wide signature of every document that has shingles; rows that share a doc_id give one each."""
+
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+                s = shingle_set(text, width)
+                if len(s):
+                    out.append((doc_id, wide_signature(s)))
+            yield pd.DataFrame(out, columns=["id", "wide"])
+
+    return docs.select("doc_id", "text").mapInPandas(task, "id long, wide binary").distinct()
+
+
 def sign(docs: DataFrame, width: int = 4) -> DataFrame:
     """doc_id, set size, a 128-bit fingerprint of the set and the signature of every document."""
 
@@ -244,8 +273,11 @@ def split_large(members: DataFrame, classes: DataFrame, bucket: int) -> list[Dat
 
 
 def near_in_cell(cell: pd.DataFrame) -> pd.DataFrame:
-    """Pairs (a, b) between components of a cell at most FAR apart; ``cell`` holds whole cells, in order of component."""
-    chunks = cell[SIGNATURE].to_numpy(np.int64)
+    """Pairs (a, b) between components of a cell that are near by wide signature.
+
+    ``cell`` holds whole cells, in order of component.
+    """
+    words = np.frombuffer(b"".join(cell["wide"]), np.uint64).reshape(len(cell), WIDE // 64).T.copy()
     ids, part = cell["id"].to_numpy(np.int64), cell["part"].to_numpy(np.int64)
     same_part = (cell["low"] == cell["high"]).to_numpy()
     place = np.arange(len(cell))
@@ -268,19 +300,21 @@ def near_in_cell(cell: pd.DataFrame) -> pd.DataFrame:
         right = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(after[at:upto], n)
         fits = same_part[left] | (part[left] != part[right])
         left, right = left[fits], right[fits]
-        far = np.zeros(len(left), np.int64)
-        for i in range(CHUNKS):
-            lanes = ((chunks[left, i] ^ chunks[right, i]) + _LOW) & _HIGH
-            far += np.bitwise_count(lanes)
-        near = far <= FAR
-        a, b = ids[left[near]], ids[right[near]]
+        for until_word, most in ((FIRST // 64, FIRST_FAR), (WIDE // 64, WIDE_FAR)):
+            far = np.zeros(len(left), np.int64)
+            for word in words[:until_word]:
+                far += np.bitwise_count(word[left] ^ word[right])
+            left, right = left[far <= most], right[far <= most]
+        a, b = ids[left], ids[right]
         out.append(pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}))
         at = upto
     return pd.concat(out).drop_duplicates() if out else pd.DataFrame({"a": [], "b": []}, dtype="int64")
 
 
-def cross_pairs(members: DataFrame, classes: DataFrame, bucket: int, cell: int) -> DataFrame:
-    """All pairs of a bucket that lie in different components and are near by signature.
+def cross_pairs(
+    members: DataFrame, classes: DataFrame, docs: DataFrame, width: int, bucket: int, cell: int
+) -> DataFrame:
+    """All pairs of a bucket that lie in different components and are near by wide signature.
 
     Rows are sorted by cell; a task holds one cell (or many small ones) at a time.
     """
@@ -293,7 +327,9 @@ def cross_pairs(members: DataFrame, classes: DataFrame, bucket: int, cell: int)
     dealt = dealt.withColumn("other", other).select(
         "key", "id", "component", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high")
     )
-    dealt = dealt.join(classes.select("id", *SIGNATURE), "id")
+    ids = written(members.select(F.col("id").alias("doc_id")).distinct(), "residual")
+    wide = written(sign_wide(docs.join(_checked(ids), "doc_id", "left_semi"), width), "wide")
+    dealt = dealt.join(wide, "id")
     order = ["key", "low", "high"]
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -342,7 +378,7 @@ def near_duplicates(
         if step < orders:
             found = _with_signature(star_pairs(members, step), classes)
         else:
-            found = cross_pairs(members, classes, bucket, cell)
+            found = cross_pairs(members, classes, docs, width, bucket, cell)
         near = written(found, "near")
         if not near.limit(1).count():
             continue
