@@ -12,6 +12,7 @@ from netpulse.catalogue import sql
 from netpulse.config import ALARMS, COUNTERS
 from netpulse.functions import exact, timeparts
 from netpulse.operators import oplogs, rollup
+from netpulse.plans import jobs
 from netpulse.sinks import tables as sinks
 from netpulse.sources import files, tables
 from netpulse.sources.normalize import is_valid, normalize
@@ -179,6 +180,20 @@ SUMMARY_TABLE_SQL = sql.dated(
     "period",
 )
 
+
+def backfill_write(spark, sf_dir):
+    """A daily table that lacks one host on one day, filled by a backfill, written and read back."""
+    folder = session.fresh_folder(spark, "backfilled")
+    m = tables.measurements(spark, sf_dir)
+    lacking = ~((F.col("host_id") == "host-1") & (F.col("period") == F.lit(datetime(2024, 1, 10)).cast("date")))
+    sinks.write_summaries(rollup.daily(m).where(lacking), "daily", folder)
+    present = sinks.read_summaries(spark, folder).select("host_id", "period")
+    built = jobs.backfill("daily", m, datetime(2024, 2, 1), sinks.written(present, "present"), force=True)
+    sinks.write_summaries(built, "daily", folder)
+    back = sinks.read_summaries(spark, folder)
+    return back.select("host_id", "period", "records", F.col("overall.download_mbps.avg").alias("avg_download"))
+
+
 # --- streams ----------------------------------------------------------------
 
 
@@ -273,6 +288,7 @@ QUERIES = {
     "no_data_alarm": no_data_alarm,
     "layouts_roundtrip": layouts_roundtrip,
     "summary_table": summary_table,
+    "backfill_write": backfill_write,
     "stream_hourly": stream_hourly,
     "stream_daily": stream_daily,
     "stream_dedup": stream_dedup,
@@ -305,6 +321,7 @@ UNION ALL SELECT * FROM (SELECT 'aggregated', event_id, ts, message FROM l WHERE
     "no_data_alarm": NO_DATA_SQL,
     "layouts_roundtrip": LAYOUTS_SQL,
     "summary_table": SUMMARY_TABLE_SQL,
+    "backfill_write": SUMMARY_TABLE_SQL,
     "stream_hourly": _window_sql("hour"),
     "stream_daily": _window_sql("day"),
     "stream_dedup": "SELECT event_id, ts, event_type FROM events",

@@ -66,8 +66,10 @@ def backfill(
     """All periods of a level that can be built, in one job.
 
     Open periods are left out unless forced, ``last`` keeps the last N periods,
-    and periods present in ``existing`` (``host_id, period``) are not built again.
-    Source rows of periods with nothing to build are dropped before the roll-up.
+    and periods that ``existing`` (``host_id, period``) holds in full are not built
+    again. A period that lacks any host is built whole, all hosts together included,
+    since a written period replaces all rows of the one before. Source rows of
+    periods with nothing to build are dropped before the roll-up.
     """
     when = F.col(period_column(level)).cast("timestamp_ntz")
     period = timeparts.period_of(when, level)
@@ -88,7 +90,7 @@ def backfill(
         keys = rollup.with_all_hosts(keys).distinct()
     absent = keys.join(have, ["host_id", "period"], "left_anti").select(F.col("period").alias("_period")).distinct()
     rows = rows.join(absent, "_period", "left_semi")
-    return build(level, rows.drop("_period")).join(have, ["host_id", "period"], "left_anti")
+    return build(level, rows.drop("_period"))
 
 
 def path_of(level: str) -> Column:

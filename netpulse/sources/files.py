@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,7 +34,8 @@ def _layout(
     multiline: bool,
     modified_after: datetime | None,
     name_pattern: str,
-) -> DataFrame:
+) -> DataFrame | None:
+    """Records of one layout, or None where no folder has it."""
     fields = list(RAW_MEASUREMENT.fields) + [T.StructField(CORRUPT, T.StringType())]
     if host:
         fields.append(T.StructField("host", T.StringType()))
@@ -49,7 +51,12 @@ def _layout(
         reader = reader.option("multiLine", "true")
     if modified_after is not None:
         reader = reader.option("modifiedAfter", modified_after.strftime("%Y-%m-%dT%H:%M:%S"))
-    df = reader.json(f"{root}/{pattern}")
+    try:
+        df = reader.json(f"{root}/{pattern}")
+    except AnalysisException as absent:
+        if absent.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
     return df.withColumns(
         {
             "path": F.col("_metadata.file_path"),
@@ -73,13 +80,17 @@ def read_raw(
 
     ``depth`` names the path levels below the host. ``bucket_start`` comes from the
     path when it reaches the minute; ``path_start`` is the start of the deepest level.
-    ``modified_after`` reads newer files only.
+    ``modified_after`` reads newer files only. A root may hold one layout or both;
+    one that holds neither is an error.
     """
     parts = []
     if host_layout:
         parts.append(_layout(spark, root, "host=*", True, depth, multiline, modified_after, name_pattern))
     if legacy_layout:
         parts.append(_layout(spark, root, "year=*", False, depth, multiline, modified_after, name_pattern))
+    parts = [part for part in parts if part is not None]
+    if not parts:
+        raise FileNotFoundError(f"no raw records below {root}")
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part, allowMissingColumns=True)

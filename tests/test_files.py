@@ -4,6 +4,7 @@ import json
 import os
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from netpulse.operators import quality, retention, rollup, validate
@@ -74,6 +75,18 @@ def test_both_layouts_read_as_one(spark, tmp_path):
     assert labels == {"s1 (Land)"}
 
 
+def test_one_layout_is_enough(spark, tmp_path):
+    at = datetime(2025, 12, 29, 14, 0)
+    hosts, legacy = str(tmp_path / "hosts"), str(tmp_path / "legacy")
+    put(hosts, at, record(at, "h1"), "h1")
+    put(legacy, at, record(at))
+    for root, host in ((hosts, "h1"), (legacy, "_legacy")):
+        found = files.read_raw(spark, root).select("host", "bucket_start").collect()
+        assert [tuple(r) for r in found] == [(host, at)]
+    with pytest.raises(FileNotFoundError):
+        files.read_raw(spark, str(tmp_path / "none"))
+
+
 def test_day_filter_prunes_folders(spark, tmp_path):
     root = str(tmp_path)
     fixture(root)
