@@ -129,6 +129,20 @@ SELECT host_id, hour FROM (SELECT *, lag(silent) OVER (PARTITION BY host_id ORDE
 )
 
 
+def ongoing_outage(spark, sf_dir):
+    """Silent hours of every host up to the end of January, after its last record too."""
+    return oplogs.no_data_periods(tables.measurements(spark, sf_dir), as_of=datetime(2024, 2, 1))
+
+
+ONGOING_SQL = (
+    sql.with_(sql.M)
+    + """, k AS (SELECT DISTINCT host_id, date_trunc('hour', bucket_start) AS hour FROM m WHERE bucket_start < TIMESTAMP '2024-02-01'),
+s AS (SELECT host_id, unnest(generate_series(min(hour), TIMESTAMP '2024-01-31 23:00:00', INTERVAL 1 HOUR)) AS hour FROM k GROUP BY host_id),
+q AS (SELECT s.host_id, s.hour, k.hour IS NULL AS silent FROM s LEFT JOIN k ON s.host_id = k.host_id AND s.hour = k.hour)
+SELECT host_id, hour FROM (SELECT *, lag(silent) OVER (PARTITION BY host_id ORDER BY hour) AS before FROM q) WHERE silent AND before"""
+)
+
+
 # --- files ------------------------------------------------------------------
 
 
@@ -286,6 +300,7 @@ QUERIES = {
     "monitoring_5m": monitoring_5m,
     "alarm_states": alarm_states,
     "no_data_alarm": no_data_alarm,
+    "ongoing_outage": ongoing_outage,
     "layouts_roundtrip": layouts_roundtrip,
     "summary_table": summary_table,
     "backfill_write": backfill_write,
@@ -319,6 +334,7 @@ UNION ALL SELECT * FROM (SELECT 'aggregated', event_id, ts, message FROM l WHERE
   count(*) FILTER (WHERE level = 'ERROR') AS errors, {sql.hundredth(sql.mean('elapsed_c'))} AS avg_seconds FROM l GROUP BY 1, 2""",
     "alarm_states": _alarm_sql(),
     "no_data_alarm": NO_DATA_SQL,
+    "ongoing_outage": ONGOING_SQL,
     "layouts_roundtrip": LAYOUTS_SQL,
     "summary_table": SUMMARY_TABLE_SQL,
     "backfill_write": SUMMARY_TABLE_SQL,

@@ -198,13 +198,19 @@ def alarm_states(logs: DataFrame) -> DataFrame:
     )
 
 
-def no_data_periods(measurements: DataFrame, periods: int = 2) -> DataFrame:
+def no_data_periods(measurements: DataFrame, periods: int = 2, as_of: datetime | None = None) -> DataFrame:
     """Hours in which a host has sent nothing for so many hours running.
 
     The silent hours lie between two neighbouring hours with data, so they are
-    generated from the pair; no spine and no join.
+    generated from the pair; no spine and no join. With ``as_of`` the hour it falls
+    in ends the last gap of every host, so an outage that goes on is found too, and
+    later records are not looked at.
     """
     hours = measurements.select("host_id", timeparts.hour_start(F.col("bucket_start")).alias("hour")).distinct()
+    if as_of is not None:
+        end = F.lit(as_of.replace(minute=0, second=0, microsecond=0)).cast("timestamp_ntz")
+        hours = hours.where(F.col("hour").cast("timestamp_ntz") < end)
+        hours = hours.union(hours.select("host_id", end.cast(hours.schema["hour"].dataType).alias("hour")).distinct())
     step = F.expr("interval 1 hour")
     before = F.lag("hour").over(W.partitionBy("host_id").orderBy("hour"))
     gaps = hours.withColumn("from", before + step * periods).where(F.col("from") < F.col("hour"))

@@ -60,6 +60,10 @@ def test_silent_hours(spark):
     m = spark.createDataFrame([("h", h) for h in hours], "host_id string, bucket_start timestamp_ntz")
     assert sorted(r["hour"].hour for r in oplogs.no_data_periods(m).collect()) == [3, 9, 10]
     assert sorted(r["hour"].hour for r in oplogs.no_data_periods(m, 3).collect()) == [10]
+    ongoing = oplogs.no_data_periods(m, as_of=datetime(2025, 1, 1, 15, 20))
+    assert sorted(r["hour"].hour for r in ongoing.collect()) == [3, 9, 10, 13, 14]
+    before = oplogs.no_data_periods(m, as_of=datetime(2025, 1, 1, 10))
+    assert sorted(r["hour"].hour for r in before.collect()) == [3, 9]
 
 
 def test_coverage(spark):
