@@ -108,3 +108,23 @@ def parse_since(text: str) -> timedelta:
         return timedelta(minutes=5)
     unit = {"m": "minutes", "h": "hours", "d": "days"}[found.group(2)]
     return timedelta(**{unit: int(found.group(1))})
+
+
+# Partition columns of stored tables, finest first, with the value a moment has in them.
+_FOLDERS = (("day", "%Y%m%d"), ("month", "%Y%m"), ("year", "%Y"))
+
+
+def in_folders(columns: list[str], start: datetime, end: datetime | None = None) -> Column:
+    """True in the folders (``year``, ``month``, ``day``) that hold rows from ``start`` up to ``end``.
+
+    The condition on the time of the rows decides; this one, beside it, keeps other
+    folders closed. A frame without such columns has no folders: always true.
+    """
+    within = F.lit(True)
+    for name, pattern in _FOLDERS:
+        if name in columns:
+            low, high = (int(d.strftime(pattern)) if d is not None else None for d in (start, end))
+            within = within & (F.col(name) >= low)
+            if high is not None:
+                within = within & (F.col(name) <= high)
+    return within

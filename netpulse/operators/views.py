@@ -75,19 +75,24 @@ def period_first_ip(measurements: DataFrame, level: str) -> DataFrame:
     )
 
 
-def _cut(level: str, as_of: datetime | None, look_back: int | None) -> Column | None:
-    """Look-back condition on ``period``; None keeps everything."""
-    if look_back is None:
-        return None
-    if level == "hourly":
-        return F.col("period") >= F.lit(as_of - timedelta(days=look_back)).cast("timestamp_ntz")
-    if level == "daily":
-        return F.col("period") >= F.lit((as_of - timedelta(days=look_back)).date())
+def _first_shown(level: str, as_of: datetime, look_back: int) -> datetime:
+    """Start of a look-back."""
+    if level in ("hourly", "daily"):
+        return as_of - timedelta(days=look_back)
     if level == "weekly":
-        return F.col("period") >= F.lit((as_of - timedelta(weeks=look_back)).date())
+        return as_of - timedelta(weeks=look_back)
     if level == "monthly":
-        return F.col("period") >= F.lit((as_of.replace(day=1) - timedelta(days=30 * look_back)).date())
-    return F.year("period") >= as_of.year - look_back
+        return as_of.replace(day=1) - timedelta(days=30 * look_back)
+    return as_of.replace(year=as_of.year - look_back, month=1, day=1)
+
+
+def _cut(columns: list[str], level: str, as_of: datetime | None, look_back: int | None) -> Column | None:
+    """Look-back condition on ``period`` and on the folders of a stored table; None keeps everything."""
+    if look_back is None:
+        return None
+    first = _first_shown(level, as_of, look_back)
+    bound = F.lit(first).cast("timestamp_ntz") if level == "hourly" else F.lit(first.date())
+    return (F.col("period") >= bound) & timeparts.in_folders(columns, first)
 
 
 def view(
@@ -103,7 +108,7 @@ def view(
     ``look_back`` counts days for hours and days, else weeks, months or years.
     """
     df = for_host(summaries, host)
-    cut = _cut(level, as_of, look_back)
+    cut = _cut(df.columns, level, as_of, look_back)
     if cut is not None:
         df = df.where(cut)
     common = [

@@ -33,8 +33,8 @@ def period_column(level: str) -> str:
 def run(level: str, source: DataFrame, as_of: datetime, date: datetime | None = None) -> DataFrame:
     """The scheduled roll-up: the last completed period, or the day given for ``daily``.
 
-    The condition is on the time of the rows and, where the source is a table
-    partitioned by ``day`` (``YYYYMMDD``), on that too, so other folders stay closed.
+    The condition is on the time of the rows and on the folders of a source that is
+    a stored table (``year``, ``month`` as YYYYMM, ``day`` as YYYYMMDD).
     """
     start = date if date is not None else timeparts.previous_period(level, as_of)
     end = {
@@ -50,8 +50,7 @@ def run(level: str, source: DataFrame, as_of: datetime, date: datetime | None =
         end = min(end, (as_of.replace(day=1) + timedelta(days=32)).replace(day=1))
     when = F.col(period_column(level)).cast("timestamp_ntz")
     within = (when >= F.lit(start).cast("timestamp_ntz")) & (when < F.lit(end).cast("timestamp_ntz"))
-    if "day" in source.columns and level in ("hourly", "daily"):
-        within = within & F.col("day").between(*[int(d.strftime("%Y%m%d")) for d in (start, end)])
+    within = within & timeparts.in_folders(source.columns, start, end)
     return build(level, source.where(within))
 
 
@@ -82,6 +81,7 @@ def backfill(
         first = timeparts.cutoff_of_last(level, as_of, last, level == "yearly")
         bound = F.lit(first).cast("timestamp_ntz")
         rows = rows.where(F.col("_period") >= (bound if level == "hourly" else bound.cast("date")))
+        rows = rows.where(timeparts.in_folders(source.columns, first))
     if existing is None:
         return build(level, rows.drop("_period"))
     have = existing.select("host_id", "period").distinct()

@@ -68,14 +68,38 @@ def write_members(members: DataFrame, path: str) -> None:
     members.hint("rebalance", "kind").write.mode("overwrite").partitionBy("kind").parquet(path)
 
 
-def as_documents(summaries: DataFrame, thresholds: bool = True) -> DataFrame:
-    """Summaries as JSON text, for export beside the table."""
-    drop = [c for c in ("low_data", "high_errors", "top_connection") if c in summaries.columns]
-    drop += [c for c in summaries.columns if c.endswith(("_n", "_sum", "_min", "_max"))]
+# What a summary carries for other jobs and its document does not show.
+_INTERNAL = [
+    "low_data",
+    "high_errors",
+    "top_connection",
+    *[f"{m}_{s}" for m in ("download_mbps", "upload_mbps", "ping_ms") for s in ("n", "sum", "min", "max")],
+]
+
+
+def _period_fields(level: str) -> dict[str, Column]:
+    """The fields that name the period in a document of the level."""
+    start = F.col("period")
+    return {
+        "hourly": {"hour_ist": timeparts.period_label(start, "hourly")},
+        "daily": {"date_ist": timeparts.period_label(start, "daily")},
+        "weekly": {
+            "week_start": F.date_format(start, "yyyy-MM-dd"),
+            "week_end": F.date_format(F.date_add(start, 6), "yyyy-MM-dd"),
+        },
+        "monthly": {"month": F.date_format(start, _PARTS["month"])},
+        "yearly": {"year": F.year(start)},
+    }[level]
+
+
+def as_documents(summaries: DataFrame, level: str, thresholds: bool = True) -> DataFrame:
+    """Summaries as JSON text, for export beside the table. Fields without a value stay, as null."""
+    drop = list(_INTERNAL)
     if not thresholds:
         drop.append("connection_type_thresholds")
-    body = summaries.drop(*drop)
-    return body.select("host_id", "period", F.to_json(F.struct("*")).alias("doc"))
+    body = summaries.drop(*drop).withColumns(_period_fields(level))
+    doc = F.to_json(F.struct("*"), {"ignoreNullFields": "false"})
+    return body.select("host_id", "period", doc.alias("doc"))
 
 
 def land_raw(raw: DataFrame, path: str, depth: list[str], legacy: bool = False, mode: str = "append") -> None:

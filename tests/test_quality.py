@@ -131,9 +131,7 @@ def test_missing_parts_and_broken_text(spark):
 
 def test_own_summaries_validate(spark, sf_dir):
     days = rollup.daily(tables.measurements(spark, sf_dir))
-    docs = sinks.as_documents(
-        days.withColumn("date_ist", F.date_format("period", "yyyy-MM-dd"))
-    ).select(F.concat_ws("/", "host_id", F.col("period").cast("string")).alias("key"), "doc")
+    docs = sinks.as_documents(days, "daily").select(F.concat_ws("/", "host_id", F.col("period").cast("string")).alias("key"), "doc")
     results = validate.validate(docs, "daily", 2024)
     assert results.where("not valid").count() == 0 and results.count() == days.count()
 
