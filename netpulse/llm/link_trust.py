@@ -3,11 +3,18 @@
 Rules decide the urls they fit. The hosts of allowed urls are trusted seeds, the
 hosts of blocked ones distrusted seeds. Trust follows links (personalised PageRank
 from the trusted seeds), distrust follows them backwards (from the blocked seeds):
-whom good hosts link to is good, who links to bad hosts is bad. A host whose
-distrust exceeds its trust by ``margin`` is blocked.
-
-Scores are whole numbers of 1e-12 and every division is whole, so that results
-do not depend on the order of a sum.
+whom good hosts link to is good, who links to bad hosts is bad.
+
+Two measures go through the links together. The verdict comes from ``seeds``, where
+every seed has the weight 1, whatever the number of seeds and hosts: a host whose
+distrust exceeds its trust by ``margin`` of one seed is blocked. It is divided once a
+link, in units of 1 / ``SEED``, and rounds go on until all changes of a round come to
+``BOUND`` or less; what could still come after is less than six times that, a
+sixteenth of the margin. ``score``, whose sum over the seeds of a kind is UNIT, is
+what the columns trust and distrust give, after ``rounds`` rounds.
+
+Both are whole numbers and every division is whole, so that results do not depend
+on the order of a sum.
 """
 
 from __future__ import annotations
@@ -27,7 +34,10 @@ RULES = (
 UNIT = 10**12
 DAMPING = 85
 ROUNDS = 10
-MARGIN = UNIT // 1000
+MARGIN = UNIT // 1000  # of one seed, in units of UNIT
+# A long holds what 92 million seeds would give to one host.
+SEED = 10**11
+BOUND = SEED // 10**5
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LINK = r"""(?i)\bhref\s*=\s*["']?([^"'\s>]+)"""
 
@@ -80,12 +90,13 @@ def host_links(pages: DataFrame) -> DataFrame:
 
 
 def propagate(links: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """host, kind, score after ``rounds``; kinds: ``trust`` along the links, ``distrust`` against them.
+    """host, kind, score and seeds; kinds: ``trust`` along the links, ``distrust`` against them.
 
-    ``seeds``: host, kind; the seeds of a kind share UNIT. A host passes on 85 % of
-    its score by its link counts; what hosts without a way on hold is not passed
-    on. Each round is written to the shared folder; when no score changes any
-    more, later rounds would not either.
+    ``seeds``: host, kind; the seeds of a kind share UNIT in ``score`` (after ``rounds``
+    rounds) and have SEED each in ``seeds`` (after as many rounds as it takes). A host
+    passes on 85 % of what it has by its link counts; what hosts without a way on hold
+    is not passed on. Each round is written to the shared folder. ``seeds`` only grows
+    from round to round and is bounded, so the rounds end.
     """
     ways = links.select(F.lit("trust").alias("kind"), F.col("from_host").alias("here"), F.col("to_host").alias("there"), "links").union(
         links.select(F.lit("distrust").alias("kind"), F.col("to_host").alias("here"), F.col("from_host").alias("there"), "links")
@@ -94,23 +105,36 @@ def propagate(links: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataF
     ways = written(ways.join(out, ["kind", "here"]), "host-ways")
     many = seeds.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
     start = written(seeds.join(F.broadcast(many), "kind").select("host", "kind", F.expr(f"{UNIT}L div n").alias("base")), "seeds")
-    scores = start.withColumnRenamed("base", "score")
-    for _ in range(rounds):
+    own = SEED * (100 - DAMPING) // 100
+    scores = start.select("host", "kind", F.col("base").alias("score"), F.lit(own).cast("long").alias("seeds"))
+    done = 0
+    while True:
         sent = ways.join(scores.withColumnRenamed("host", "here"), ["kind", "here"])
         # score <= UNIT and links are divided first by their total in parts per million.
         share = F.expr(f"(score * {DAMPING} div 100) * (links * 1000000 div all_links) div 1000000")
-        heard = sent.select(F.col("there").alias("host"), "kind", share.alias("part")).groupBy("host", "kind").agg(F.sum("part").alias("part"))
+        whole = F.expr(f"CAST(seeds AS DECIMAL(19)) * CAST(links * {DAMPING} AS DECIMAL(18)) div CAST(all_links * 100 AS DECIMAL(19))")
+        heard = (
+            sent.select(F.col("there").alias("host"), "kind", share.alias("part"), whole.alias("seeds_part"))
+            .groupBy("host", "kind")
+            .agg(F.sum("part").alias("part"), F.sum("seeds_part").alias("seeds_part"))
+        )
         base = F.expr(f"base * {100 - DAMPING} div 100")
+        grown = F.when(F.col("base").isNull(), 0).otherwise(own) + F.coalesce("seeds_part", F.lit(0))
         later = start.join(heard, ["host", "kind"], "full").select(
-            "host", "kind", (F.coalesce(base, F.lit(0)) + F.coalesce("part", F.lit(0))).alias("score")
+            "host", "kind", (F.coalesce(base, F.lit(0)) + F.coalesce("part", F.lit(0))).alias("score"), grown.cast("long").alias("seeds")
         )
+        if done >= rounds:
+            later = later.drop("score").join(scores.select("host", "kind", "score"), ["host", "kind"], "left")
+            later = later.select("host", "kind", F.coalesce("score", F.lit(0)).cast("long").alias("score"), "seeds")
         later = written(later, "host-scores")
-        old = scores.withColumnRenamed("score", "before")
-        changed = later.join(old, ["host", "kind"], "full").where(~F.col("score").eqNullSafe(F.col("before"))).limit(1).count()
-        scores = later
-        if not changed:
-            break
-    return scores
+        old = scores.select("host", "kind", F.col("score").alias("before"), F.col("seeds").alias("seeds_before"))
+        moved = later.join(old, ["host", "kind"], "full").agg(
+            F.count_if(~F.col("score").eqNullSafe(F.col("before"))).alias("scores"),
+            F.sum(F.coalesce("seeds", F.lit(0)) - F.coalesce("seeds_before", F.lit(0))).alias("seeds"),
+        ).first()
+        scores, done = later, done + 1
+        if (moved["seeds"] or 0) <= BOUND and (done >= rounds or not moved["scores"]):
+            return scores
 
 
 def url_verdicts(pages: DataFrame, rules: tuple = RULES, rounds: int = ROUNDS, margin: int = MARGIN) -> DataFrame:
@@ -118,16 +142,20 @@ def url_verdicts(pages: DataFrame, rules: tuple = RULES, rounds: int = ROUNDS, m
 
     Null url, or one without ``://``: empty host and path, no rule, allowed. Null
     html: no links. Hosts that nothing reaches are allowed. Repeated rows and null
-    ids are pages of their own. An empty table gives no row.
+    ids are pages of their own. An empty table gives no row. ``margin`` is in units of
+    UNIT for one seed.
     """
     rows = judged(pages, rules)
     seeds = rows.where("decided IS NOT NULL AND host <> ''").groupBy("host").agg(F.max(F.col("decided") == "block").alias("bad"), F.max(F.col("decided") == "allow").alias("good"))
     # A host with both kinds of urls vouches for neither side.
     seeds = seeds.where("bad <> good").select("host", F.when(F.col("bad"), "distrust").otherwise("trust").alias("kind"))
     scores = propagate(host_links(pages), seeds, rounds)
+    kinds = ("trust", "distrust")
     by_host = scores.groupBy("host").agg(
-        F.max(F.when(F.col("kind") == "trust", F.col("score"))).alias("trust"), F.max(F.when(F.col("kind") == "distrust", F.col("score"))).alias("distrust")
+        *[F.max(F.when(F.col("kind") == k, F.col("score"))).alias(k) for k in kinds],
+        *[F.max(F.when(F.col("kind") == k, F.col("seeds"))).alias(f"{k}_seeds") for k in kinds],
     )
-    out = rows.join(by_host, "host", "left").withColumns({n: F.coalesce(n, F.lit(0)).cast("long") for n in ("trust", "distrust")})
-    method = F.when(F.col("distrust") > F.col("trust") + margin, "block").otherwise("allow")
-    return out.select("page_id", "host", "path", "rule", F.coalesce("decided", method).alias("verdict"), "trust", "distrust")
+    columns = [*kinds, *[f"{k}_seeds" for k in kinds]]
+    out = rows.join(by_host, "host", "left").withColumns({n: F.coalesce(n, F.lit(0)).cast("long") for n in columns})
+    method = F.when(F.col("distrust_seeds") > F.col("trust_seeds") + margin * SEED // UNIT, "block").otherwise("allow")
+    return out.select("page_id", "host", "path", "rule", F.coalesce("decided", method).alias("verdict"), *kinds)

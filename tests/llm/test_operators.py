@@ -285,6 +285,19 @@ def test_link_trust(spark):
     assert link_trust.url_verdicts(pages.limit(0)).count() == 0
 
 
+def test_link_trust_does_not_depend_on_the_number_of_seeds(spark):
+    def pages(n):
+        # n blocked hosts, each with a host that links to it alone; then a way of 12 hosts to the first of them.
+        rows = [(i, f"http://s{i}.net/", None) for i in range(n)]
+        rows += [(n + i, f"http://f{i}.com/", f'<a href="http://s{i}.net/">') for i in range(n)]
+        rows += [(2 * n + i, f"http://c{i}.com/", f'<a href="http://{f"c{i - 1}" if i else "f0"}.com/">') for i in range(12)]
+        return spark.createDataFrame(rows, "page_id long, url string, html string")
+
+    for n in (1, 400):
+        got = link_trust.url_verdicts(pages(n)).toPandas()
+        assert (got["verdict"] == "block").sum() == len(got) == 2 * n + 12
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_oracles(spark, sf_dir, name):
     assert compare(queries.QUERIES[name](spark, sf_dir).toPandas(), oracle_connection(sf_dir).sql(queries.ORACLES[name]).df()) == "ok"
