@@ -8,6 +8,13 @@ its exact inner product in double precision. For inner products of vectors of
 unlike length the vectors are lifted to a sphere by one more coordinate first, so
 that the largest product is the nearest direction; queries get a zero there.
 
+How many buckets a share of true neighbours needs depends on the dimension and on
+the spread of norms. So the recall is measured in the job: about ``DRAWN`` queries are
+compared with every vector, and the probes are widened until the true neighbours of
+these queries lie in probed buckets to ``RECALL``, two standard errors of the draw
+left. Where that takes as many buckets as one table has, or more, one table is read
+whole instead, which costs no more and finds all.
+
 Groups of buckets are cut into cells of about ``CELL`` vectors by ``CELL`` queries,
 by their counts (at most tables x axes rows), so a bucket that holds a third of all
 vectors is many tasks of a known size. A cell returns the best ``k`` of each query,
@@ -28,6 +35,8 @@ from netpulse.sinks.tables import written
 
 TABLES = 6
 PROBES = 36
+RECALL = 0.9
+DRAWN = 200
 # Buckets that one task ranks together, and the vectors and queries of a task at most (about).
 GROUP = 16
 CELL = 4096
@@ -63,6 +72,12 @@ class Rotations:
         axis = np.abs(y).argmax(axis=1)
         return axis + self.size * (y[np.arange(len(y)), axis] < 0)
 
+    def places(self, x: np.ndarray, table: int, axis: np.ndarray) -> np.ndarray:
+        """Number of probes that reach the signed axis given for each row."""
+        y = self.rotate(x, table)
+        both = np.concatenate([y, -y], axis=1)
+        return (both >= both[np.arange(len(both)), axis][:, None]).sum(axis=1)
+
     def probes(self, x: np.ndarray, table: int, n: int) -> np.ndarray:
         """The ``n`` nearest signed axes of each row."""
         y = self.rotate(x, table)
@@ -101,8 +116,8 @@ def index_rows(rows: DataFrame, rotations: Rotations, longest: float, lift: bool
     return rows.select("vec_id", "v").mapInPandas(task, "vec_id long, v array<double>, table_no int, bucket_group int, bucket int")
 
 
-def query_rows(rows: DataFrame, rotations: Rotations, probes: int) -> DataFrame:
-    """vec_id, v, table_no, bucket_group and probed (a bit for each bucket of the group) of every query."""
+def query_rows(rows: DataFrame, rotations: Rotations, probes: int, tables: int) -> DataFrame:
+    """vec_id, v, table_no, bucket_group and probed (a bit for each bucket of the group) of every query, for the first ``tables``."""
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -111,7 +126,7 @@ def query_rows(rows: DataFrame, rotations: Rotations, probes: int) -> DataFrame:
             x = np.stack(batch["v"].to_numpy())
             x /= np.linalg.norm(x, axis=1, keepdims=True)
             groups = -(-2 * rotations.size // GROUP)
-            for table in range(len(rotations.signs)):
+            for table in range(tables):
                 found = rotations.probes(x, table, probes)
                 masks = np.zeros((len(x), groups), np.int64)
                 np.bitwise_or.at(masks, (np.arange(len(x))[:, None], found // GROUP), np.int64(1) << (found % GROUP))
@@ -161,11 +176,42 @@ def _dealt(rows: DataFrame, sizes: DataFrame, last: str, own: str, other: str) -
     return joined.select(*columns, own_part.alias(own), others.alias(other))
 
 
+def probes_needed(drawn: DataFrame, truth: DataFrame, index: DataFrame, rotations: Rotations, whole: bool) -> int:
+    """Smallest number of probes that reaches ``RECALL`` of the true neighbours of the drawn queries.
+
+    A neighbour is found as soon as its bucket is probed in one table, so one look at
+    the true neighbours gives the recall of every number of probes. The driver gets
+    the drawn queries and the buckets of their neighbours. ``whole``: these are all
+    queries, so the draw has no error.
+    """
+    axis = (F.col("bucket_group") * GROUP + F.col("bucket")).alias("axis")
+    near = truth.select("query_id", "vec_id").join(index.select("vec_id", "table_no", axis), "vec_id").toPandas()
+    if not len(near):
+        return 0
+    queries = drawn.select("vec_id", "v").toPandas()
+    place = dict(zip(queries["vec_id"], range(len(queries)), strict=True))
+    x = np.stack(queries["v"].to_numpy())
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    parts = []
+    for table, rows in near.groupby("table_no"):
+        asking = x[rows["query_id"].map(place).to_numpy()]
+        parts.append(rows[["query_id", "vec_id"]].assign(look=rotations.places(asking, int(table), rows["axis"].to_numpy())))
+    looks = pd.concat(parts).groupby(["query_id", "vec_id"])["look"].min()
+    for look in np.unique(looks):
+        found = (looks <= look).groupby(level="query_id").mean()
+        error = 0.0 if whole or len(found) < 2 else found.std() / np.sqrt(len(found))
+        if found.mean() - 2 * error >= RECALL:
+            return int(look)
+    return 2 * rotations.size
+
+
 def nearest(
     vectors: DataFrame, query: Column, k: int = 20, tables: int = TABLES, probes: int = PROBES, seed: int = 5, cell: int = CELL
 ) -> DataFrame:
     """query_id, rank, vec_id and score of the ``k`` nearest found of every row that ``query`` selects.
 
+    ``probes`` is the least number of buckets looked into; the measured recall may ask for more.
+
     Candidates are all rows but the query's own. Vectors that cannot take part
     (``usable``) are neither queries nor candidates. Rows that share a vec_id count
     once, with the smallest vector. All vectors must have one length; others raise.
@@ -174,7 +220,7 @@ def nearest(
     """
     rows = usable(vectors)
     rows = written(rows.groupBy("vec_id").agg(F.min("v").alias("v"), F.min("norm").alias("norm")), "vectors")
-    shape = rows.agg(F.max("norm").alias("longest"), F.min("norm").alias("shortest"), F.max(F.size("v")).alias("d"), F.min(F.size("v")).alias("least"), F.count(F.lit(1)).alias("n")).first()
+    shape = rows.agg(F.max("norm").alias("longest"), F.min("norm").alias("shortest"), F.max(F.size("v")).alias("d"), F.min(F.size("v")).alias("least"), F.count(F.lit(1)).alias("n"), F.count_if(query).alias("asking")).first()
     empty = rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if shape["d"] is None:
         return empty
@@ -185,8 +231,8 @@ def nearest(
     index = written(index_rows(rows, rotations, shape["longest"], lift), "index")
     counts = index.groupBy("table_no", "bucket_group").agg(F.count(F.lit(1)).alias("n"))
 
-    def search(asking: DataFrame, look: int) -> DataFrame:
-        asked = written(query_rows(asking, rotations, look), "probes")
+    def search(asking: DataFrame, look: int, used: int = tables) -> DataFrame:
+        asked = written(query_rows(asking, rotations, look, used), "probes")
         asks = asked.groupBy("table_no", "bucket_group").agg(F.count(F.lit(1)).alias("m"))
         # One row per table and group of axes at most.
         sizes = counts.join(asks, ["table_no", "bucket_group"]).select(
@@ -200,12 +246,20 @@ def nearest(
         best = found.withColumn("rank", place).where(F.col("rank") <= k)
         return written(best.select("query_id", "rank", "vec_id", "score").distinct(), "nearest")
 
-    asking = rows.where(query)
+    asking, every = rows.where(query), 2 * rotations.size
+    if probes < every:
+        share = max(1, shape["asking"] // DRAWN)
+        drawn = written(asking.where(F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(share)) == 0), "drawn")
+        # Every vector is once in each table.
+        look = probes_needed(drawn, search(drawn, every, 1), index, rotations, share == 1)
+        if look > probes and look * tables >= every:
+            return search(asking, every, 1)
+        probes = max(probes, look)
     best = search(asking, probes)
     full = best.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min(k, shape["n"] - 1))
     short = written(asking.join(full, asking["vec_id"] == full["query_id"], "left_anti"), "short")
     if short.limit(1).count():
         # Too little in the probed buckets: these queries look into every bucket.
-        rest = search(short, 2 * rotations.size)
+        rest = search(short, every)
         best = best.join(short, best["query_id"] == short["vec_id"], "left_anti").union(rest)
     return best

@@ -257,6 +257,25 @@ def test_nearest_of_awkward_vectors(spark):
     assert cross_polytope.nearest(spark.createDataFrame([], kind), F.col("vec_id") % 20 == 0).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["norms", "outlier", "dimensions"])
+def test_nearest_of_unlike_norms_and_other_dimensions(spark, kind):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(500, 384 if kind == "dimensions" else 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if kind == "norms":
+        x *= rng.lognormal(0, 0.3, (500, 1))
+    elif kind == "outlier":
+        x[7] *= 5
+    frame = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
+    got = cross_polytope.nearest(frame, F.col("vec_id") % 20 == 0, k=20).toPandas()
+    hits = []
+    for i in range(0, 500, 20):
+        scores = x @ x[i]
+        scores[i] = -np.inf
+        hits.append(len(set(got[got["query_id"] == i]["vec_id"]) & set(np.argsort(-scores)[:20])) / 20)
+    assert np.mean(hits) >= 0.9
+
+
 PAGES = [
     (1, "http://Good.ORG/fr/x?q#f", '<a href="http://b.com/1"><a href=/own><a href="//c.com">', 0),
     (2, "https://b.com/p", "<a HREF='https://d.com'>", 0),
