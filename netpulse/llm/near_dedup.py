@@ -16,10 +16,9 @@ share a key are linked without listing all pairs:
    ``ORDERS`` ways to choose leaders, and what the leaders join is one component;
 2. the remaining pairs of a bucket, those between different components, are
    compared inside the tasks by a wider signature of ``WIDE`` min-hashes of one
-   bit, made for these members alone, and only near ones come out. A bucket
-   of more than ``BUCKET`` components is split by a second chunk and so on, which
-   by the same principle keeps every pair up to a distance of 25; a bucket of many
-   members is dealt to cells of about ``CELL`` members each.
+   bit, made for these members alone, and only near ones come out. A large bucket
+   is dealt to cells of about ``CELL`` members or ``BUCKET`` components each, every
+   cell with every other, so that all its pairs are compared whatever its size.
 
 Every link is confirmed on the full sets. Distances above ``FAR`` (a pair of
 similarity 0.8 gets there once in a hundred thousand) are not compared further,
@@ -246,32 +245,6 @@ def star_pairs(members: DataFrame, order: int) -> DataFrame:
     return ends.distinct()
 
 
-def split_large(members: DataFrame, classes: DataFrame, bucket: int) -> list[DataFrame]:
-    """Buckets of at most ``bucket`` components; larger ones split by further chunks.
-
-    A member of a large bucket goes to one bucket for each key of every other
-    chunk. After ``CHUNKS`` levels the members agree almost everywhere and are
-    compared as they are.
-    """
-    out, level = [], members.withColumn("used", F.array(_chunk(F.col("key"))))
-    for depth in range(CHUNKS):
-        sizes = level.groupBy("key").agg(F.count_distinct("component").alias("size"))
-        large = written(sizes.where(F.col("size") > bucket).select("key"), "large")
-        if depth == CHUNKS - 1 or not large.limit(1).count():
-            out.append(level.select("key", "id", "component"))
-            break
-        out.append(level.join(large, "key", "left_anti").select("key", "id", "component"))
-        again = level.join(large, "key", "left_semi").join(classes.select("id", *SIGNATURE), "id")
-        finer = again.select("id", "component", "used", F.col("key").alias("outer"), F.explode(_keys()).alias("k"))
-        chunk = _chunk(F.col("k"))
-        finer = finer.where(~F.array_contains("used", chunk)).select(
-            F.xxhash64("outer", "k").bitwiseAND(F.lit(-16)).bitwiseOR(chunk).alias("key"), "id", "component", F.array_append("used", chunk).alias("used")
-        )
-        several = finer.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
-        level = written(finer.join(several.select("key"), "key", "left_semi"), "split")
-    return out
-
-
 def near_in_cell(cell: pd.DataFrame) -> pd.DataFrame:
     """Pairs (a, b) between components of a cell that are near by wide signature.
 
@@ -311,18 +284,15 @@ def near_in_cell(cell: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(out).drop_duplicates() if out else pd.DataFrame({"a": [], "b": []}, dtype="int64")
 
 
-def cross_pairs(
-    members: DataFrame, classes: DataFrame, docs: DataFrame, width: int, bucket: int, cell: int
-) -> DataFrame:
+def cross_pairs(members: DataFrame, docs: DataFrame, width: int, bucket: int, cell: int) -> DataFrame:
     """All pairs of a bucket that lie in different components and are near by wide signature.
 
     Rows are sorted by cell; a task holds one cell (or many small ones) at a time.
     """
-    rows = None
-    for part in split_large(members, classes, bucket):
-        rows = part if rows is None else rows.union(part)
-    sizes = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / cell).alias("parts"))
-    dealt = rows.join(sizes, "key").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+    blocks = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    most = F.greatest(F.sum("n") / cell, F.count(F.lit(1)) / bucket)
+    sizes = blocks.groupBy("key").agg(F.ceil(most).alias("parts"))
+    dealt = members.join(sizes, "key").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
     dealt = dealt.withColumn("other", other).select(
         "key", "id", "component", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high")
@@ -378,7 +348,7 @@ def near_duplicates(
         if step < orders:
             found = _with_signature(star_pairs(members, step), classes)
         else:
-            found = cross_pairs(members, classes, docs, width, bucket, cell)
+            found = cross_pairs(members, docs, width, bucket, cell)
         near = written(found, "near")
         if not near.limit(1).count():
             continue

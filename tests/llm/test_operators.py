@@ -213,6 +213,16 @@ def test_near_dedup(spark, awkward, empty):
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
+def test_near_dedup_compares_all_pairs_of_a_large_bucket(spark, monkeypatch):
+    # All documents share one key and no second one; seven components are more than the bucket has.
+    monkeypatch.setattr(near_dedup, "_keys", lambda: F.array(F.lit(16).cast("long")))
+    words = [f"w{i}" for i in range(120)]
+    texts = [" ".join([*words[:60], f"x{i}", *words[61:]]) for i in range(4)] + [" ".join(f"y{i}{j}" for j in range(50)) for i in range(3)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = near_dedup.near_duplicates(frame, 4, 80, bucket=2, orders=0).toPandas().sort_values("doc_id")
+    assert got["component_id"].tolist() == brute_groups(texts, list(range(7)), 4, 80)[1] == [0, 0, 0, 0, 4, 5, 6]
+
+
 def test_language_id(spark, sf_dir, docs, awkward, empty):
     got = queries.op4_language_id(spark, sf_dir).toPandas().merge(docs, on="doc_id")
     held = got[got["held_out"]]
