@@ -116,6 +116,25 @@ def _alarm_sql() -> str:
     )
 
 
+def alarms_to_date(spark, sf_dir):
+    """Alarms up to the morning of the 29th of January, all logs having stopped on the 25th."""
+    logs = _logs(spark, sf_dir).where(F.col("ts") < F.lit(datetime(2024, 1, 25)).cast("timestamp_ntz"))
+    return oplogs.alarm_states(logs, datetime(2024, 1, 29, 10, 30))
+
+
+def _alarms_to_date_sql() -> str:
+    end = 1706524200  # 2024-01-29 10:30:00 UTC
+    out = _alarm_sql()
+    for old, new in (
+        ("FROM events)", "FROM events WHERE ts < TIMESTAMP '2024-01-25')"),
+        ("CAST(floor(epoch(max(ts))) AS BIGINT) AS hi", f"{end - 1} AS hi"),
+        ("CASE WHEN n.n IS NULL THEN missing", f"CASE WHEN w + p > {end} AND (below OR n.n IS NULL) THEN false WHEN n.n IS NULL THEN missing"),
+    ):
+        assert out.count(old) == 1, old
+        out = out.replace(old, new)
+    return out
+
+
 def no_data_alarm(spark, sf_dir):
     return oplogs.no_data_periods(tables.measurements(spark, sf_dir))
 
@@ -299,6 +318,7 @@ QUERIES = {
     "metric_counters": metric_counters,
     "monitoring_5m": monitoring_5m,
     "alarm_states": alarm_states,
+    "alarms_to_date": alarms_to_date,
     "no_data_alarm": no_data_alarm,
     "ongoing_outage": ongoing_outage,
     "layouts_roundtrip": layouts_roundtrip,
@@ -333,6 +353,7 @@ UNION ALL SELECT * FROM (SELECT 'aggregated', event_id, ts, message FROM l WHERE
     + f"""SELECT source, time_bucket(INTERVAL 5 MINUTE, ts) AS window_start, count(*) AS invocations,
   count(*) FILTER (WHERE level = 'ERROR') AS errors, {sql.hundredth(sql.mean('elapsed_c'))} AS avg_seconds FROM l GROUP BY 1, 2""",
     "alarm_states": _alarm_sql(),
+    "alarms_to_date": _alarms_to_date_sql(),
     "no_data_alarm": NO_DATA_SQL,
     "ongoing_outage": ONGOING_SQL,
     "layouts_roundtrip": LAYOUTS_SQL,

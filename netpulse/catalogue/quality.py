@@ -69,6 +69,34 @@ SELECT host_id, 'daily', CAST(date_trunc('week', p) AS DATE), CAST(p AS TIMESTAM
 )
 
 
+def missing_to_date(spark, sf_dir):
+    """Missing hours and days up to a morning in February; one host is silent from the 20th of January on."""
+    as_of, stop = datetime(2024, 2, 3, 6, 20), F.lit(datetime(2024, 1, 20)).cast("timestamp_ntz")
+    m = tables.measurements(spark, sf_dir).where((F.col("host_id") != "host-3") | (F.col("bucket_start") < stop))
+    present = written(quality.period_keys(m, "hourly"), "hours")
+    hours = quality.missing_periods(present, "hourly", "daily", as_of)
+    days = quality.missing_periods(quality.coarser_keys(present, "daily"), "daily", "weekly", as_of)
+    return hours.select("host_id", F.lit("hourly").alias("level"), "within", "period").unionByName(
+        days.select("host_id", F.lit("daily").alias("level"), "within", F.col("period").cast("timestamp_ntz").alias("period"))
+    )
+
+
+MISSING_TO_DATE_SQL = sql.dated(
+    sql.with_(sql.M)
+    + f""", k AS (SELECT DISTINCT h.host AS host_id, date_trunc('hour', bucket_start) AS hr FROM m, LATERAL {FAN.format(t='m')}
+  WHERE (m.host_id <> 'host-3' OR bucket_start < TIMESTAMP '2024-01-20') AND bucket_start < TIMESTAMP '2024-02-03 06:00:00'),
+bh AS (SELECT host_id, min(hr) AS lo FROM k GROUP BY host_id),
+bd AS (SELECT host_id, min(hr) AS lo FROM k WHERE hr < TIMESTAMP '2024-02-03' GROUP BY host_id),
+sh AS (SELECT host_id, unnest(generate_series(date_trunc('day', lo), TIMESTAMP '2024-02-03 05:00:00', INTERVAL 1 HOUR)) AS p FROM bh),
+sd AS (SELECT host_id, unnest(generate_series(CAST(date_trunc('week', lo) AS TIMESTAMP), TIMESTAMP '2024-02-02', INTERVAL 1 DAY)) AS p FROM bd)
+SELECT host_id, 'hourly' AS level, CAST(p AS DATE) AS within, CAST(p AS TIMESTAMP) AS period FROM sh ANTI JOIN k ON sh.host_id = k.host_id AND sh.p = k.hr
+UNION ALL
+SELECT host_id, 'daily', CAST(date_trunc('week', p) AS DATE), CAST(p AS TIMESTAMP) FROM sd ANTI JOIN k
+  ON sd.host_id = k.host_id AND sd.p = date_trunc('day', k.hr)""",
+    "within",
+)
+
+
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measurement files and, as daily files, every order day: both hold copies."""
     o = tables.long_series(spark, sf_dir)
@@ -564,6 +592,7 @@ QUERIES = {
     "hourly_coverage": hourly_coverage,
     "daily_coverage": daily_coverage,
     "missing_periods": missing_periods,
+    "missing_to_date": missing_to_date,
     "duplicate_buckets": duplicate_buckets,
     "duplicate_totals": duplicate_totals,
     "duplicate_removal_plan": duplicate_removal_plan,
@@ -593,6 +622,7 @@ ORACLES = {
     "hourly_coverage": COVERAGE_SQL,
     "daily_coverage": DAILY_COVERAGE_SQL,
     "missing_periods": MISSING_SQL,
+    "missing_to_date": MISSING_TO_DATE_SQL,
     "duplicate_buckets": _INV + "SELECT level, host_id, period_key, files, path AS oldest_path FROM r WHERE files > 1 AND r = 1",
     "duplicate_totals": _INV + "SELECT level, count(*) FILTER (WHERE r = 1) AS buckets, count(*) FILTER (WHERE r > 1) AS duplicates FROM r WHERE files > 1 GROUP BY level",
     "duplicate_removal_plan": _INV + "SELECT level, host_id, period_key, path FROM r WHERE r > 1",

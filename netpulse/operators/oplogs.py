@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -146,18 +146,27 @@ def _alarm_rows() -> Column:
     )
 
 
-def alarm_states(logs: DataFrame) -> DataFrame:
+def alarm_states(logs: DataFrame, as_of: datetime | None = None) -> DataFrame:
     """State of each alarm in each of its periods.
 
     Lines are counted once per five minutes; alarm periods are sums of those
     counts, laid on a spine of all periods between the first and the last line.
+    With ``as_of`` the spine ends with the period before it or around it, so missing
+    data is found when all logs stop, and later lines are not looked at. In a period
+    that is not over, too little or nothing is no breach yet; too much is.
     """
+    if as_of is not None:
+        logs = logs.where(F.col("ts") < F.lit(as_of).cast("timestamp_ntz"))
+        # Seconds, rounded up.
+        until = -((datetime(1970, 1, 1) - as_of) // timedelta(seconds=1))
     counts = metric_counters(logs)
     spark = logs.sparkSession
     ends = logs.agg(
         F.min(F.unix_seconds(F.col("ts").cast("timestamp"))).alias("lo"),
         F.max(F.unix_seconds(F.col("ts").cast("timestamp"))).alias("hi"),
     )
+    if as_of is not None:
+        ends = ends.withColumn("hi", F.lit(until - 1).cast("bigint"))
     spine = (
         spark.range(1)
         .select(F.inline(_alarm_rows()))
@@ -180,6 +189,9 @@ def alarm_states(logs: DataFrame) -> DataFrame:
         .when(F.col("below"), F.col("n") < F.col("threshold"))
         .otherwise(F.col("n") > F.col("threshold"))
     )
+    if as_of is not None:
+        early = (F.col("w") + F.col("period_s") > until) & (F.col("below") | F.col("n").isNull())
+        breach = F.when(early, F.lit(False)).otherwise(breach)
     ordered = W.partitionBy("alarm").orderBy("w")
     # Each alarm looks back over as many periods as it asks for.
     widths = sorted({a.periods for a in config.ALARMS})

@@ -42,19 +42,25 @@ def coverage_by_date(hours: DataFrame) -> DataFrame:
     )
 
 
-def missing_periods(present: DataFrame, level: str, within: str) -> DataFrame:
+def missing_periods(present: DataFrame, level: str, within: str, as_of: datetime | None = None) -> DataFrame:
     """Periods of ``level`` a host lacks inside the coarser periods its data spans.
 
     ``present`` has ``host_id`` and ``period``. The spine is the calendar times the
-    hosts, never a product of data rows.
+    hosts, never a product of data rows. With ``as_of`` the spine of every host ends
+    before the hour or day it falls in, so an outage that goes on is listed too, and
+    later periods are not looked at.
     """
     step = F.expr("interval 1 hour" if level == "hourly" else "interval 1 day")
     local = F.col("period").cast("timestamp_ntz")
+    if as_of is not None:
+        hour = as_of.replace(minute=0, second=0, microsecond=0)
+        until = F.lit(hour if level == "hourly" else hour.replace(hour=0)).cast("timestamp_ntz")
+        present = present.where(local < until)
     span = present.groupBy("host_id").agg(F.min(local).alias("first"), F.max(local).alias("last"))
     first = timeparts.period_of(F.col("first"), within).cast("timestamp_ntz")
     last = timeparts.period_of(F.col("last"), within).cast("timestamp_ntz")
     unit = {"daily": "1 day", "weekly": "7 days", "monthly": "1 month", "yearly": "1 year"}[within]
-    end = last + F.expr(f"interval {unit}") - step
+    end = (last + F.expr(f"interval {unit}") if as_of is None else until) - step
     spine = span.select("host_id", F.explode(F.sequence(first, end, step)).alias("period"))
     if level != "hourly":
         spine = spine.withColumn("period", F.col("period").cast("date"))

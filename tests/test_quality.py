@@ -55,6 +55,32 @@ def test_missing_days_of_weeks_and_months(spark):
     assert months.count() == 62 - 3
 
 
+def test_missing_periods_go_on_to_as_of(spark):
+    present = spark.createDataFrame([("h", date(2025, 1, 1)), ("g", date(2025, 1, 14)), ("late", date(2025, 1, 15))], "host_id string, period date")
+    got = quality.missing_periods(present, "daily", "weekly", datetime(2025, 1, 15, 9)).collect()
+    assert {r["host_id"]: sum(x["host_id"] == r["host_id"] for x in got) for r in got} == {"h": 15, "g": 1}
+    assert max(r["period"] for r in got) == date(2025, 1, 14)
+
+
+def test_missing_data_alarm_fires_when_all_logs_stop(spark):
+    rows = [(i, datetime(2025, 1, d, 5), "INFO", "Aggregated 3 records", "/app/netpulse-aggregator-prod") for i, d in enumerate((1, 2, 2))]
+    rows += [(9 + i, datetime(2025, 1, 5, 8), "ERROR", "x", "/app/netpulse-dashboard-prod") for i in range(6)]
+    logs = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, level string, message string, log_group string")
+
+    def states(logs, as_of, alarm):
+        rows = oplogs.alarm_states(logs, as_of).where(F.col("alarm") == alarm).orderBy("window_start").collect()
+        return [(r["window_start"].day, r["state"]) for r in rows]
+
+    stopped = logs.where("event_id < 9")
+    # The 5th is not over at half past eight: nothing yet is no breach.
+    days = states(stopped, datetime(2025, 1, 5, 8, 30), "data-collection-failure")
+    assert days == [(1, "OK"), (2, "OK"), (3, "OK"), (4, "ALARM"), (5, "OK")]
+    # Too many errors are one at once; later lines are not looked at.
+    hours = oplogs.alarm_states(logs, datetime(2025, 1, 5, 8, 30)).where("alarm = 'dashboard-errors' AND breaching")
+    assert [r["value"] for r in hours.collect()] == [6]
+    assert oplogs.alarm_states(logs, datetime(2025, 1, 5, 8)).where("alarm = 'dashboard-errors' AND breaching").count() == 0
+
+
 def test_silent_hours(spark):
     hours = [datetime(2025, 1, 1, h) for h in (0, 1, 4, 5, 7, 11)]
     m = spark.createDataFrame([("h", h) for h in hours], "host_id string, bucket_start timestamp_ntz")
