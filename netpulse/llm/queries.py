@@ -7,12 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netpulse.llm.best_fit import best_fit_pack
+from netpulse.llm.collocations import BEST, LEAST, collocations
 from netpulse.llm.cross_polytope import nearest
 from netpulse.llm.language_id import language_id
 from netpulse.llm.line_spread import MIN_SITES, line_dedup
 from netpulse.llm.link_trust import DAMPING, MARGIN, ROUNDS, RULES, UNIT, url_verdicts
 from netpulse.llm.multiset_hash import multiset_hash
 from netpulse.llm.near_dedup import near_duplicates
+from netpulse.llm.prefix_trie import prefix_trie
 from netpulse.llm.quality_qda import quality_scores
 from netpulse.llm.source_mix import source_mix
 from netpulse.llm.token_planes import token_planes
@@ -67,11 +69,20 @@ def op10_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents"), longest=3, least=LEAST, best=BEST)
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_token_planes, op2_source_mix, op3_near_dedup, op4_language_id, op5_cross_polytope,
         op6_link_trust, op7_line_spread, op8_multiset_hash, op9_best_fit, op10_quality_qda,
+        op11_collocations, op12_prefix_trie,
     )
 }
 
@@ -151,4 +162,68 @@ SELECT page_id, j.host AS host, path, rule, coalesce(decided,
 FROM judged j LEFT JOIN by_host b ON j.host = b.host"""
 
 
-ORACLES = {"op6_link_trust": _link_trust_sql(), "op7_line_spread": _line_spread_sql()}
+def _collocations_sql() -> str:
+    return f"""
+WITH low AS (SELECT coalesce(lang, 'und') AS lang, doc_id, translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+pieces AS (SELECT lang, row_number() OVER () AS piece, text FROM
+  (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\\x0A-\\x0D]')) AS text FROM low)),
+words AS (SELECT lang, piece, unnest(w) AS w, unnest(range(len(w))) AS place
+  FROM (SELECT lang, piece, regexp_extract_all(text, '[^\\x20\\x09]+') AS w FROM pieces)),
+windows AS (SELECT lang, w, lead(w) OVER (PARTITION BY piece ORDER BY place) AS w2,
+    lead(w, 2) OVER (PARTITION BY piece ORDER BY place) AS w3 FROM words),
+f1 AS (SELECT lang, w AS p1, count(*) AS f FROM windows GROUP BY ALL),
+f2 AS (SELECT lang, w AS p1, w2 AS p2, count(*) AS f FROM windows WHERE w2 IS NOT NULL GROUP BY ALL),
+f3 AS (SELECT lang, w AS p1, w2 AS p2, w3 AS p3, count(*) AS f FROM windows WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= {LEAST}),
+cuts AS (
+  SELECT f2.lang, f2.p1, f2.p2, NULL AS p3, f2.f AS a, x.f AS l, y.f AS r, 1 AS k FROM f2
+    JOIN f1 x ON x.lang = f2.lang AND x.p1 = f2.p1 JOIN f1 y ON y.lang = f2.lang AND y.p1 = f2.p2 WHERE f2.f >= {LEAST}
+  UNION ALL SELECT f3.lang, f3.p1, f3.p2, f3.p3, f3.f, x.f, y.f, 1 FROM f3
+    JOIN f1 x ON x.lang = f3.lang AND x.p1 = f3.p1 JOIN f2 y ON y.lang = f3.lang AND y.p1 = f3.p2 AND y.p2 = f3.p3
+  UNION ALL SELECT f3.lang, f3.p1, f3.p2, f3.p3, f3.f, x.f, y.f, 2 FROM f3
+    JOIN f2 x ON x.lang = f3.lang AND x.p1 = f3.p1 AND x.p2 = f3.p2 JOIN f1 y ON y.lang = f3.lang AND y.p1 = f3.p3),
+scored AS (SELECT *, 1000000::HUGEINT * a * a // (l::HUGEINT * r) AS score FROM cuts),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, p1, p2, p3 ORDER BY score, k) = 1),
+longer AS (SELECT lang, p1, p2, max(f) AS f FROM
+  (SELECT lang, p1, p2, f FROM f3 UNION ALL SELECT lang, p2, p3, f FROM f3) GROUP BY lang, p1, p2),
+kept AS (SELECT c.*, concat_ws(' ', c.p1, c.p2, c.p3) AS phrase FROM lowest c
+  LEFT JOIN longer g ON c.p3 IS NULL AND g.lang = c.lang AND g.p1 = c.p1 AND g.p2 = c.p2 WHERE g.f IS NULL OR 100 * g.f < 50 * c.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM f1 GROUP BY lang)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN totals USING (lang) WHERE rank <= {BEST}"""
+
+
+def _prefix_trie_sql() -> str:
+    return r"""
+WITH turns AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT conv_id, conv_id - conv_id % 20 AS base FROM turns GROUP BY conv_id),
+bits AS (SELECT conv_id, base, list_reduce(list_prepend(4294967295::BIGINT,
+    list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+    lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), [1, 2, 3, 4, 5, 6, 7, 8]::BIGINT[]),
+      lambda x, i: xor(x // 2, CASE WHEN x % 2 = 1 THEN 3988292384 ELSE 0 END))) AS crc FROM convs),
+plan AS (SELECT conv_id, base, xor(crc, 4294967295) % 4 AS h FROM bits),
+rebuilt AS (SELECT p.conv_id, pos, 0 AS part, role, text FROM plan p JOIN turns t ON t.conv_id = p.base WHERE pos < h
+  UNION ALL SELECT p.conv_id, pos, 1, role, text FROM plan p JOIN turns t USING (conv_id) WHERE pos >= h),
+placed AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY part, pos) AS depth, role, text FROM rebuilt),
+lists AS (SELECT conv_id, list([role, text] ORDER BY depth) AS turns FROM placed GROUP BY conv_id),
+prefixes AS (SELECT conv_id, depth, to_json(turns[1:depth])::VARCHAR AS key, turns[depth][2] AS last
+    FROM (SELECT *, unnest(range(1, len(turns) + 1)) AS depth FROM lists)
+  UNION ALL SELECT conv_id, 0, '', '' FROM plan),
+nodes AS (SELECT key, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+    (count(*) - 1) * len(regexp_extract_all(any_value(last), '[^\x20\x09-\x0D]+')) AS own FROM prefixes GROUP BY key, depth),
+ups AS (SELECT n.key, u.key AS up_key, u.conv_id AS up_id FROM nodes n
+  JOIN prefixes p ON p.conv_id = n.conv_id AND p.depth = n.depth - 1 JOIN nodes u ON u.key = p.key),
+children AS (SELECT up_key AS key, count(*) AS n_children FROM ups GROUP BY up_key),
+marked AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN children USING (key)),
+sums AS (SELECT p.key, sum(CASE WHEN m.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum(m.own) AS saved_tokens
+  FROM marked m JOIN prefixes p ON p.conv_id = m.conv_id AND p.depth <= m.depth GROUP BY p.key),
+ends AS (SELECT key, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids FROM prefixes
+  JOIN (SELECT conv_id, max(depth) AS depth FROM prefixes GROUP BY conv_id) USING (conv_id, depth) GROUP BY key)
+SELECT m.conv_id, m.depth::BIGINT AS depth, up_id AS parent_conv_id, n_convs::BIGINT AS n_convs, m.n_children::BIGINT AS n_children,
+  n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM marked m JOIN sums USING (key) LEFT JOIN ups USING (key) LEFT JOIN ends USING (key)"""
+
+
+ORACLES = {"op11_collocations": _collocations_sql(), "op12_prefix_trie": _prefix_trie_sql(), "op6_link_trust": _link_trust_sql(), "op7_line_spread": _line_spread_sql()}

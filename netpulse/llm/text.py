@@ -94,6 +94,22 @@ def hashed_words(data: bytes, marks_apart: bool) -> tuple[np.ndarray, np.ndarray
     return mix64((sums[stops] - sums[starts]) * inverses[starts]), starts, stops
 
 
+def hashed_runs(data: bytes, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, start, end) of the runs of bytes that ``inside`` (by byte) allows, A-Z lower-cased.
+
+    ``data`` ends in a byte that is not allowed.
+    """
+    raw = np.frombuffer(data, np.uint8)
+    word = inside[raw]
+    edges = np.flatnonzero(np.diff(np.r_[False, word].astype(np.int8)))
+    starts, stops = edges[::2], edges[1::2]
+    size = 1 << max(16, int(len(raw)).bit_length())
+    powers, inverses = _powers(size) if size > 2 * SLICE else _powers(2 * SLICE)
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum((_LOWER[raw].astype(np.uint64) + np.uint64(1)) * powers[: len(raw)], out=sums[1:])
+    return mix64((sums[stops] - sums[starts]) * inverses[starts]), starts, stops
+
+
 def word_hashes(text: str | None) -> np.ndarray:
     """64-bit hashes of the words of a whole text in order (null: none)."""
     if not text:
