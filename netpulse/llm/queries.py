@@ -10,6 +10,7 @@ from netpulse.llm.best_fit import best_fit_pack
 from netpulse.llm.collocations import BEST, LEAST, collocations
 from netpulse.llm.cross_polytope import nearest
 from netpulse.llm.language_id import language_id
+from netpulse.llm.lm_score import lm_scores
 from netpulse.llm.line_spread import MIN_SITES, line_dedup
 from netpulse.llm.link_trust import DAMPING, MARGIN, ROUNDS, RULES, UNIT, url_verdicts
 from netpulse.llm.multiset_hash import multiset_hash
@@ -77,12 +78,16 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(_table(spark, sf_dir, "conversations"))
 
 
+def op13_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_token_planes, op2_source_mix, op3_near_dedup, op4_language_id, op5_cross_polytope,
         op6_link_trust, op7_line_spread, op8_multiset_hash, op9_best_fit, op10_quality_qda,
-        op11_collocations, op12_prefix_trie,
+        op11_collocations, op12_prefix_trie, op13_lm_score,
     )
 }
 
