@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from netpulse.llm.count_automata import CountAutomaton, summed, union
+from netpulse.llm.count_automata import CountAutomaton, Sequences, summed, union
 from netpulse.llm.text import hashed_runs
 from netpulse.sinks.tables import written
 
@@ -33,7 +33,7 @@ LONGEST, LEAST, BEST = 3, 10, 2000
 BREAKS = b".,;:!?\x0a\x0b\x0c\x0d"
 BLANKS = b"\x20\x09"
 # Words of one automaton in a task, windows of one range, and bounds drawn from an automaton.
-CHUNK, RANGE, DRAWN = 1 << 21, 1 << 22, 64
+CHUNK, RANGE, DRAWN = 1 << 19, 1 << 21, 64
 _SLICE = 1 << 20
 _INSIDE = np.ones(256, bool)
 _INSIDE[list(BREAKS + BLANKS)] = False
@@ -124,7 +124,7 @@ def shard_automata(docs: DataFrame, longest: int) -> DataFrame:
             at = size = 0
             for i, text in enumerate(texts):
                 size += len(text)
-                if size >= 4 * _SLICE or i == len(texts) - 1:
+                if size >= _SLICE or i == len(texts) - 1:
                     held.add(tags[at : i + 1], texts[at : i + 1])
                     at, size = i + 1, 0
                     if held.size >= CHUNK:
@@ -197,9 +197,9 @@ def united(shards: DataFrame, bounds: list[tuple], longest: int, least: int) ->
                     if bucket is not None:
                         yield close()
                     bucket, whole, waiting, size = number, None, [], 0
-                waiting.append(CountAutomaton.from_bytes(data))
-                size += len(waiting[-1].levels[-1][1])
-                if len(waiting) > 1 and size > max(RANGE // 4, len(whole.levels[-1][1]) if whole else 0):
+                waiting.append(Sequences.of(CountAutomaton.from_bytes(data)))
+                size += len(waiting[-1].weight)
+                if len(waiting) > 1 and size > max(RANGE // 4, len(whole.weight) if whole else 0):
                     whole, waiting, size = union(waiting + ([whole] if whole else [])), [], 0
         if bucket is not None:
             yield close()
@@ -208,7 +208,7 @@ def united(shards: DataFrame, bounds: list[tuple], longest: int, least: int) ->
     return parts.repartition(len(bounds) + 1, "bucket").sortWithinPartitions("bucket").mapInPandas(unite, FOUND)
 
 
-def frequent(bucket: int, counts: CountAutomaton, longest: int, least: int, bounds: list[tuple]) -> pd.DataFrame:
+def frequent(bucket: int, counts: Sequences, longest: int, least: int, bounds: list[tuple]) -> pd.DataFrame:
     """What a range knows: phrases of two words and more with their counts, their parts by range, words of each lang, and counts of frequent prefixes."""
     rows: list[tuple] = []
     kept, kept_weight = [], []

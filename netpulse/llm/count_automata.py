@@ -11,6 +11,7 @@ the last prefix wait. All arrays are numpy's, and an automaton travels as bytes.
 from __future__ import annotations
 
 import json
+from typing import NamedTuple
 
 import numpy as np
 import zstandard
@@ -54,7 +55,9 @@ class _Level:
     """The states of one level under construction."""
 
     def __init__(self) -> None:
-        self.register: dict[tuple[int, int], int] = {}
+        self.register: dict[int, int] = {}
+        self.second: list[np.ndarray] = []
+        self.states = 0
         self.label: list[np.ndarray] = []
         self.value: list[np.ndarray] = []
         self.size: list[np.ndarray] = []
@@ -77,17 +80,23 @@ class _Level:
         sizes = np.diff(np.r_[starts, len(label)])
         arc = mix64(label.astype(np.uint64) * _K1 + mix64(value.astype(np.uint64) + _K2))
         one, two = np.add.reduceat(arc, starts), np.add.reduceat(mix64(arc ^ _K2), starts)
-        both = np.empty(len(starts), [("a", np.uint64), ("b", np.uint64)])
-        both["a"], both["b"] = one, two
-        kinds, first, which = np.unique(both, return_index=True, return_inverse=True)
-        number, fresh = np.empty(len(kinds), np.int64), []
-        for i, name in enumerate(zip(kinds["a"].tolist(), kinds["b"].tolist(), strict=True)):
-            state = self.register.get(name)
-            if state is None:
-                state = self.register[name] = len(self.register)
-                fresh.append(first[i])
-            number[i] = state
-        fresh = np.array(fresh, np.int64)
+        kinds, first, which = np.unique(one, return_index=True, return_inverse=True)
+        if (two[first][which] != two).any():
+            both = np.stack([one, two], axis=1)
+            _, first, which = np.unique(both, axis=0, return_index=True, return_inverse=True)
+            which = which.reshape(-1)
+        names = one[first].tolist()
+        number = np.fromiter((self.register.get(name, -1) for name in names), np.int64, len(names))
+        known = number >= 0
+        second = np.concatenate([*self.second, np.zeros(0, np.uint64)]) if known.any() else one[:0]
+        # A state whose first hash alone is known stays a state of its own.
+        known[known] = second[number[known]] == two[first[known]]
+        fresh = np.flatnonzero(~known)
+        number[fresh] = self.states + np.arange(len(fresh))
+        self.register.update((names[i], n) for i, n in zip(fresh.tolist(), number[fresh].tolist(), strict=True) if names[i] not in self.register)
+        self.second.append(two[first[fresh]])
+        self.states += len(fresh)
+        fresh = first[fresh]
         taken = ranges(starts[fresh], sizes[fresh])
         self.label.append(label[taken])
         self.value.append(value[taken])
@@ -186,17 +195,6 @@ class CountAutomaton:
         cut = [np.searchsorted(tags, rows[0]), *[np.where(r > 0, np.searchsorted(used, r) + 1, 0) for r in rows[1:]]]
         return CountAutomaton.build(cut, counts, self.words[used - 1], self.tags[tags])
 
-    def prefixes(self, size: int) -> tuple[list[np.ndarray], np.ndarray]:
-        """The distinct prefixes of ``size`` labels after the first, and the sums of their ranges of counts."""
-        columns, weight = self.sequences()
-        whole = columns[size] > 0
-        columns, weight = [c[whole] for c in columns[: size + 1]], weight[whole]
-        if not len(weight):
-            return columns, weight
-        key = lexicographic(columns)
-        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        return [c[first] for c in columns], np.add.reduceat(weight, first)
-
     def compose(self, other: CountAutomaton) -> tuple[list[np.ndarray], np.ndarray]:
         """The sequences of this automaton that ``other`` accepts too, with the counts there.
 
@@ -230,17 +228,37 @@ def _places(names: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.array([place.get(name, -1) for name in wanted.tolist()], np.int64)
 
 
-def union(automata: list[CountAutomaton]) -> CountAutomaton:
-    """The sequences of all automata, counts of equal ones summed."""
-    if len(automata) == 1:
-        return automata[0]
-    words = np.unique(np.concatenate([a.words for a in automata]))
-    tags = np.unique(np.concatenate([a.tags for a in automata]))
-    columns, weights = [], []
-    for a in automata:
-        own, weight = a.sequences()
-        word = np.r_[0, _places(words, a.words) + 1]
-        columns.append([_places(tags, a.tags)[own[0]], *[word[c] for c in own[1:]]])
-        weights.append(weight)
-    rows, weight = summed([np.concatenate(c) for c in zip(*columns, strict=True)], np.concatenate(weights))
-    return CountAutomaton.build(rows, weight, words, tags)
+class Sequences(NamedTuple):
+    """Sorted distinct sequences, their counts, and the words and tags they number."""
+
+    columns: list[np.ndarray]
+    weight: np.ndarray
+    words: np.ndarray
+    tags: np.ndarray
+
+    @staticmethod
+    def of(automaton: CountAutomaton) -> Sequences:
+        return Sequences(*automaton.sequences(), automaton.words, automaton.tags)
+
+    def prefixes(self, size: int) -> tuple[list[np.ndarray], np.ndarray]:
+        """The distinct prefixes of ``size`` labels after the first, and the sums of their ranges of counts."""
+        whole = self.columns[size] > 0
+        columns, weight = [c[whole] for c in self.columns[: size + 1]], self.weight[whole]
+        if not len(weight):
+            return columns, weight
+        first = np.flatnonzero(np.r_[True, np.any([c[1:] != c[:-1] for c in columns], axis=0)])
+        return [c[first] for c in columns], np.add.reduceat(weight, first)
+
+
+def union(parts: list[Sequences]) -> Sequences:
+    """The sequences of all parts, counts of equal ones summed."""
+    if len(parts) == 1:
+        return parts[0]
+    words = np.unique(np.concatenate([p.words for p in parts]))
+    tags = np.unique(np.concatenate([p.tags for p in parts]))
+    columns = []
+    for p in parts:
+        word = np.r_[0, _places(words, p.words) + 1]
+        columns.append([_places(tags, p.tags)[p.columns[0]], *[word[c] for c in p.columns[1:]]])
+    rows, weight = summed([np.concatenate(c) for c in zip(*columns, strict=True)], np.concatenate([p.weight for p in parts]))
+    return Sequences(rows, weight, words, tags)
