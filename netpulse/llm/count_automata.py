@@ -51,6 +51,35 @@ def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
+class Names(NamedTuple):
+    """The spelling of words: their sorted hashes, sizes in bytes, and the bytes one after the other."""
+
+    hashes: np.ndarray
+    sizes: np.ndarray
+    body: np.ndarray
+
+    @staticmethod
+    def none() -> Names:
+        return Names(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8))
+
+    @staticmethod
+    def of(spelled: dict[int, bytes]) -> Names:
+        hashes = np.array(sorted(spelled), np.int64)
+        words = [spelled[h] for h in hashes.tolist()]
+        return Names(hashes, np.array([len(w) for w in words], np.int64), np.frombuffer(b"".join(words), np.uint8))
+
+    def some(self, wanted: np.ndarray) -> Names:
+        """The names of those of the sorted ``wanted`` hashes that are here."""
+        at = places(self.hashes, wanted)
+        at = at[at >= 0]
+        starts = np.cumsum(self.sizes) - self.sizes
+        return Names(self.hashes[at], self.sizes[at], self.body[ranges(starts[at], self.sizes[at])])
+
+    def spelled(self) -> dict[int, bytes]:
+        data, ends = self.body.tobytes(), np.cumsum(self.sizes)
+        return {h: data[a:b] for h, a, b in zip(self.hashes.tolist(), (ends - self.sizes).tolist(), ends.tolist(), strict=True)}
+
+
 class _Level:
     """The states of one level under construction."""
 
@@ -119,28 +148,33 @@ class Builder:
         for k in range(len(self.levels) - 1, -1, -1):
             rows, value = self.levels[k].push(rows[:, :k], rows[:, k], value, last)
 
-    def finish(self, words: np.ndarray, tags: np.ndarray) -> CountAutomaton:
+    def finish(self, words: np.ndarray, tags: np.ndarray, names: Names | None = None) -> CountAutomaton:
         depth = len(self.levels)
         self.add([np.zeros(0, np.int64)] * depth, np.zeros(0, np.int64), last=True)
-        return CountAutomaton([level.arrays() for level in self.levels], words, tags)
+        return CountAutomaton([level.arrays() for level in self.levels], words, tags, names)
 
 
 class CountAutomaton:
     """Levels of (first arc of each state, arc labels, arc targets or, in the last level, counts).
 
-    A label of the first level is a place in ``tags``; one of the others is a
-    place in ``words`` plus one. Both are sorted arrays of bytes.
+    A label of the first level is a place in ``tags`` (sorted bytes); one of the
+    others is a place in ``words`` (sorted 64-bit hashes) plus one. ``names`` spells
+    the words that begin a sequence.
     """
 
-    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]], words: np.ndarray, tags: np.ndarray) -> None:
-        self.levels, self.words, self.tags = levels, words, tags
+    def __init__(
+        self, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]], words: np.ndarray, tags: np.ndarray, names: Names | None = None
+    ) -> None:
+        self.levels, self.words, self.tags, self.names = levels, words, tags, names or Names.none()
 
     @staticmethod
-    def build(columns: list[np.ndarray], weight: np.ndarray, words: np.ndarray, tags: np.ndarray, block: int = 1 << 17) -> CountAutomaton:
+    def build(
+        columns: list[np.ndarray], weight: np.ndarray, words: np.ndarray, tags: np.ndarray, names: Names | None = None, block: int = 1 << 17
+    ) -> CountAutomaton:
         builder = Builder(len(columns))
         for at in range(0, len(weight), block):
             builder.add([c[at : at + block] for c in columns], weight[at : at + block])
-        return builder.finish(words, tags)
+        return builder.finish(words, tags, names)
 
     def sequences(self) -> tuple[list[np.ndarray], np.ndarray]:
         """All sequences in order, as one column per level, and their counts."""
@@ -153,17 +187,16 @@ class CountAutomaton:
         return columns, states
 
     def to_bytes(self) -> bytes:
-        arrays = [a for level in self.levels for a in level]
         head, planes = [], []
-        for a in [*arrays, np.array([len(w) for w in self.words]), np.array([len(t) for t in self.tags])]:
-            a = a.astype(np.int64)
+        sizes = np.array([len(t) for t in self.tags], np.int64)
+        for a in [*(a for level in self.levels for a in level), self.words, self.names.hashes, self.names.sizes, sizes]:
+            a = a.astype(np.int64).view(np.uint64)
             width = max(1, (int(a.max()).bit_length() + 7) // 8) if len(a) else 1
             head.append([len(a), width])
             # Byte planes: high bytes are mostly alike and compress well.
             planes.append(a.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes())
-        names = b"".join([*self.words, *self.tags])
         front = json.dumps({"arrays": head, "depth": len(self.levels)}).encode()
-        body = len(front).to_bytes(4, "little") + front + b"".join(planes) + names
+        body = len(front).to_bytes(4, "little") + front + b"".join(planes) + self.names.body.tobytes() + b"".join(self.tags)
         return zstandard.ZstdCompressor(level=3).compress(body)
 
     @staticmethod
@@ -177,31 +210,35 @@ class CountAutomaton:
             wide[:, :width] = np.frombuffer(body, np.uint8, size * width, at).reshape(width, size).T
             arrays.append(wide.view(np.int64)[:, 0])
             at += size * width
-        names = []
-        for lengths in arrays[-2:]:
-            ends = at + np.cumsum(lengths)
-            held = np.empty(len(lengths), object)
-            held[:] = [body[a:b] for a, b in zip((ends - lengths).tolist(), ends.tolist(), strict=True)]
-            names.append(held)
-            at = int(ends[-1]) if len(ends) else at
+        words, hashes, sizes, tag_sizes = arrays[-4:]
+        spelled = np.frombuffer(body, np.uint8, int(sizes.sum()), at).copy()
+        ends = at + len(spelled) + np.cumsum(tag_sizes)
+        tags = np.empty(len(tag_sizes), object)
+        tags[:] = [body[a:b] for a, b in zip((ends - tag_sizes).tolist(), ends.tolist(), strict=True)]
         levels = [tuple(arrays[3 * k : 3 * k + 3]) for k in range(front["depth"])]
-        return CountAutomaton(levels, *names)
+        return CountAutomaton(levels, words, tags, Names(hashes, sizes, spelled))
 
     def part(self, low: int, high: int, columns: list[np.ndarray], weight: np.ndarray) -> CountAutomaton:
         """An automaton of the sequences [low, high) of this one's, with the words they use."""
         rows, counts = [c[low:high] for c in columns], weight[low:high]
-        used = np.unique(np.concatenate([r[r > 0] for r in rows[1:]]))
+        mark = np.zeros(len(self.words) + 1, bool)
+        for r in rows[1:]:
+            mark[r] = True
+        mark[0] = False
+        place = np.cumsum(mark)
+        place[0] = 0
         tags = np.unique(rows[0])
-        cut = [np.searchsorted(tags, rows[0]), *[np.where(r > 0, np.searchsorted(used, r) + 1, 0) for r in rows[1:]]]
-        return CountAutomaton.build(cut, counts, self.words[used - 1], self.tags[tags])
+        cut = [np.searchsorted(tags, rows[0]), *[place[r] for r in rows[1:]]]
+        begins = np.unique(self.words[rows[1][rows[1] > 0] - 1])
+        return CountAutomaton.build(cut, counts, self.words[np.flatnonzero(mark) - 1], self.tags[tags], self.names.some(begins))
 
     def compose(self, other: CountAutomaton) -> tuple[list[np.ndarray], np.ndarray]:
         """The sequences of this automaton that ``other`` accepts too, with the counts there.
 
         Labels are matched level by level over pairs of states, as words of either automaton.
         """
-        words = _places(other.words, self.words) + 1
-        tags = _places(other.tags, self.tags)
+        words = places(other.words, self.words) + 1
+        tags = places(other.tags, self.tags)
         label_of = [tags, *[np.r_[0, words]] * (len(self.levels) - 1)]
         missing = [tags < 0, *[np.r_[False, words == 0]] * (len(self.levels) - 1)]
         here = there = np.zeros(1 if len(self.levels[0][1]) and len(other.levels[0][1]) else 0, np.int64)
@@ -222,10 +259,12 @@ class CountAutomaton:
         return columns, there
 
 
-def _places(names: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Places of sorted ``wanted`` in sorted ``names``, -1 for those that are not there."""
-    place = {name: i for i, name in enumerate(names.tolist())}
-    return np.array([place.get(name, -1) for name in wanted.tolist()], np.int64)
+def places(held: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Places of ``wanted`` in the sorted, distinct ``held``, -1 for those that are not there."""
+    if not len(held):
+        return np.full(len(wanted), -1, np.int64)
+    at = np.minimum(np.searchsorted(held, wanted), len(held) - 1)
+    return np.where(held[at] == wanted, at, -1)
 
 
 class Sequences(NamedTuple):
@@ -258,7 +297,7 @@ def union(parts: list[Sequences]) -> Sequences:
     tags = np.unique(np.concatenate([p.tags for p in parts]))
     columns = []
     for p in parts:
-        word = np.r_[0, _places(words, p.words) + 1]
-        columns.append([_places(tags, p.tags)[p.columns[0]], *[word[c] for c in p.columns[1:]]])
+        word = np.r_[0, np.searchsorted(words, p.words) + 1]
+        columns.append([np.searchsorted(tags, p.tags)[p.columns[0]], *[word[c] for c in p.columns[1:]]])
     rows, weight = summed([np.concatenate(c) for c in zip(*columns, strict=True)], np.concatenate([p.weight for p in parts]))
     return Sequences(rows, weight, words, tags)
