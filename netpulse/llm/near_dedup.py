@@ -16,9 +16,14 @@ share a key are linked without listing all pairs:
    ``ORDERS`` ways to choose leaders, and what the leaders join is one component;
 2. the remaining pairs of a bucket, those between different components, are
    compared inside the tasks by a wider signature of ``WIDE`` min-hashes of one
-   bit, made for these members alone, and only near ones come out. A large bucket
-   is dealt to cells of about ``CELL`` members or ``BUCKET`` components each, every
-   cell with every other, so that all its pairs are compared whatever its size.
+   bit, made for these members alone; each pair in the first bucket it shares. A
+   large bucket is dealt to cells of about ``CELL`` members, ``BUCKET`` components
+   or ``BYTES`` of sets each, every cell with every other, so that all its pairs are
+   compared whatever its size. Out come the members that are near another one;
+3. these meet again in their cells with their full sets. There near pairs are
+   confirmed one by one, closest first, those already joined being passed over, and
+   a cell gives at most one link less than it has members: a spanning forest, so
+   the output grows with the members and not with their pairs.
 
 Every link is confirmed on the full sets. Distances above ``FAR`` (a pair of
 similarity 0.8 gets there once in a hundred thousand) are not compared further,
@@ -49,6 +54,7 @@ WIDE, WIDE_FAR = 2048, 266
 FIRST, FIRST_FAR = 512, 82
 BUCKET = 1000
 CELL = 4096
+BYTES = 64 << 20
 # Ids or keys up to this number (32 MB) may be broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -141,12 +147,12 @@ def distance(left: str, right: str) -> Column:
 
 
 def _keys() -> Column:
-    """Key of each chunk with each lane left out; the lowest four bits of a key are the chunk's number."""
+    """Key of each chunk with each lane left out; the lowest four bits of a key are the chunk's number, the next three the lane's."""
     keys = []
     for i in range(CHUNKS):
         for j in range(LANES):
             kept = F.col(f"s{i}").bitwiseAND(F.lit(_LOW & ~(LANE_MAX << (LANE * j))))
-            keys.append(F.xxhash64(F.lit(i * LANES + j), kept).bitwiseAND(F.lit(-16)).bitwiseOR(F.lit(i)))
+            keys.append(F.xxhash64(F.lit(i * LANES + j), kept).bitwiseAND(F.lit(-128)).bitwiseOR(F.lit(j << 4 | i)))
     return F.array(*keys)
 
 
@@ -245,16 +251,19 @@ def star_pairs(members: DataFrame, order: int) -> DataFrame:
     return ends.distinct()
 
 
-def near_in_cell(cell: pd.DataFrame) -> pd.DataFrame:
-    """Pairs (a, b) between components of a cell that are near by wide signature.
+def near_in_cell(cell: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the pairs of rows, and their wide distance, that are near and in different components of a cell.
 
-    ``cell`` holds whole cells, in order of component.
+    ``cell`` holds whole cells, in order of component. A pair that shares several
+    buckets is found in the first of them only.
     """
     words = np.frombuffer(b"".join(cell["wide"]), np.uint64).reshape(len(cell), WIDE // 64).T.copy()
-    ids, part = cell["id"].to_numpy(np.int64), cell["part"].to_numpy(np.int64)
+    chunks = cell[SIGNATURE].to_numpy(np.uint64)
+    part = cell["part"].to_numpy(np.int64)
     same_part = (cell["low"] == cell["high"]).to_numpy()
     place = np.arange(len(cell))
     marks = cell[["key", "low", "high"]].to_numpy(np.int64)
+    chunk_of, lane_of = marks[:, 0] & 15, marks[:, 0] >> 4 & 7
     new_cell = np.r_[True, (marks[1:] != marks[:-1]).any(axis=1)]
     new_block = new_cell | np.r_[True, np.diff(cell["component"].to_numpy(np.int64)) != 0]
 
@@ -265,32 +274,90 @@ def near_in_cell(cell: pd.DataFrame) -> pd.DataFrame:
     # The partners of a row are those of its cell after its component.
     after, until = ends(new_block), ends(new_cell)
     many = until - after
-    out, at = [], 0
+    out, at = [(place[:0], place[:0], place[:0])], 0
     while at < len(cell):
-        upto = max(at + 1, int(np.searchsorted(np.cumsum(many[at:]), 2_000_000, "right")) + at)
+        upto = max(at + 1, int(np.searchsorted(np.cumsum(many[at:]), 500_000, "right")) + at)
         n = many[at:upto]
         left = np.repeat(place[at:upto], n)
         right = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(after[at:upto], n)
         fits = same_part[left] | (part[left] != part[right])
         left, right = left[fits], right[fits]
+        far = np.zeros(len(left), np.int64)
         for until_word, most in ((FIRST // 64, FIRST_FAR), (WIDE // 64, WIDE_FAR)):
             far = np.zeros(len(left), np.int64)
             for word in words[:until_word]:
                 far += np.bitwise_count(word[left] ^ word[right])
-            left, right = left[far <= most], right[far <= most]
-        a, b = ids[left], ids[right]
-        out.append(pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}))
+            left, right, far = left[far <= most], right[far <= most], far[far <= most]
+        first = np.ones(len(left), bool)
+        for i in range(CHUNKS):
+            lanes = np.bitwise_count(((chunks[left, i] ^ chunks[right, i]) + np.uint64(_LOW)) & np.uint64(_HIGH))
+            chunk, lane = chunk_of[left], lane_of[left]
+            # An earlier chunk with at most one lane apart has a bucket for this pair; equal chunks share all eight, and lane 1 counts.
+            first &= np.where(i < chunk, lanes > 1, np.where(i == chunk, (lanes > 0) | (lane == 1), True))
+        out.append((left[first], right[first], far[first]))
         at = upto
-    return pd.concat(out).drop_duplicates() if out else pd.DataFrame({"a": [], "b": []}, dtype="int64")
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def forest_in_cell(cell: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links (a, b) that span what the confirmed near pairs of a cell join; ``cell`` also holds the full sets."""
+    left, right, far = near_in_cell(cell)
+    order = np.lexsort((right, left, far))
+    # One tree over the whole stretch of cells: an id in several cells is joined once.
+    ids, components_, sets = cell["id"].tolist(), cell["component"].tolist(), cell["shingles"].to_numpy()
+    above: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while above.get(x, x) != x:
+            above[x] = x = above.get(above[x], above[x])
+        return x
+
+    out = []
+    for i, j in zip(left[order].tolist(), right[order].tolist(), strict=True):
+        one, two = top(components_[i]), top(components_[j])
+        if one == two:
+            continue
+        a, b = sets[i], sets[j]
+        if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+            continue
+        common = len(np.intersect1d(a, b, assume_unique=True))
+        if common * 100 >= (len(a) + len(b) - common) * percent:
+            above[max(one, two)] = min(one, two)
+            out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+
+def _whole_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A sorted stream cut into frames of whole cells."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        marks = batch[CELL_KEY].to_numpy(np.int64)
+        before = held[-1][CELL_KEY].iloc[-1].to_numpy(np.int64) if held else None
+        if before is not None and (marks[0] != before).any():
+            yield pd.concat(held, ignore_index=True)
+            held = []
+        # The last cell may go on in the next batch.
+        whole = np.flatnonzero((marks != marks[-1]).any(axis=1))
+        if len(whole):
+            yield pd.concat([*held, batch.iloc[: whole[-1] + 1]], ignore_index=True)
+            held = [batch.iloc[whole[-1] + 1 :]]
+        else:
+            held.append(batch)
+    if held:
+        yield pd.concat(held, ignore_index=True)
 
 
-def cross_pairs(members: DataFrame, docs: DataFrame, width: int, bucket: int, cell: int) -> DataFrame:
-    """All pairs of a bucket that lie in different components and are near by wide signature.
+CELL_KEY = ["key", "low", "high"]
+
+
+def cross_links(members: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int, bucket: int, cell: int) -> DataFrame:
+    """Confirmed links that span the near pairs of each bucket between different components.
 
     Rows are sorted by cell; a task holds one cell (or many small ones) at a time.
     """
-    blocks = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    most = F.greatest(F.sum("n") / cell, F.count(F.lit(1)) / bucket)
+    sized = members.join(classes.select("id", "n_shingles"), "id")
+    blocks = sized.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("set_size"))
+    most = F.greatest(F.sum("n") / cell, F.count(F.lit(1)) / bucket, F.sum("set_size") * 8 / BYTES)
     sizes = blocks.groupBy("key").agg(F.ceil(most).alias("parts"))
     dealt = members.join(sizes, "key").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
@@ -299,24 +366,27 @@ def cross_pairs(members: DataFrame, docs: DataFrame, width: int, bucket: int, ce
     )
     ids = written(members.select(F.col("id").alias("doc_id")).distinct(), "residual")
     wide = written(sign_wide(docs.join(_checked(ids), "doc_id", "left_semi"), width), "wide")
-    dealt = dealt.join(wide, "id")
-    order = ["key", "low", "high"]
-
-    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
-        for batch in batches:
-            held = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            marks = held[order].to_numpy(np.int64)
-            # The last cell may go on in the next batch.
-            whole = np.flatnonzero((marks != marks[-1]).any(axis=1))
-            if len(whole):
-                yield near_in_cell(held.iloc[: whole[-1] + 1])
-                held = held.iloc[whole[-1] + 1 :].reset_index(drop=True)
-        if held is not None and len(held):
-            yield near_in_cell(held)
-
-    sorted_rows = dealt.repartition(*order).sortWithinPartitions(*order, "component", "id")
-    return sorted_rows.mapInPandas(task, "a long, b long").distinct()
+    signs = written(wide.join(classes.select("id", *SIGNATURE), "id"), "signs")
+    cells = dealt.join(signs, "id")
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for whole in _whole_cells(batches):
+            left, right, _ = near_in_cell(whole)
+            yield whole.iloc[np.union1d(left, right)][["key", "id", "component", "part", "low", "high"]]
+
+    def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for whole in _whole_cells(batches):
+            yield forest_in_cell(whole, percent)
+
+    by_cell = cells.repartition(*CELL_KEY).sortWithinPartitions(*CELL_KEY, "component", "id")
+    kept = "key long, id long, component long, part long, low long, high long"
+    chosen = written(by_cell.mapInPandas(near, kept), "near-members")
+    wanted = written(chosen.select(F.col("id").alias("doc_id")).distinct(), "near-ids")
+    sets = written(shingle_sets(docs.join(_checked(wanted), "doc_id", "left_semi"), width), "near-sets")
+    # Rows that share a doc_id: the first set in order stands for them.
+    sets = sets.groupBy(F.col("doc_id").alias("id")).agg(F.min("shingles").alias("shingles"))
+    full = chosen.join(signs, "id").join(sets, "id")
+    return full.repartition(*CELL_KEY).sortWithinPartitions(*CELL_KEY, "component", "id").mapInPandas(link, "a long, b long").distinct()
 
 
 def near_duplicates(
@@ -337,7 +407,9 @@ def near_duplicates(
     classes = written(
         usable.groupBy(*same_set).agg(F.min("doc_id").alias("id"), *[F.min(s).alias(s) for s in SIGNATURE]), "classes"
     )
-    keyed = classes.select("id", F.explode(_keys()).alias("key"))
+    # 112 keys a class: the classes are dealt to all tasks first.
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = classes.repartition(tasks, "id").select("id", F.explode(_keys()).alias("key"))
     shared = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "shared")
     members = written(keyed.join(_checked(shared), "key", "left_semi"), "buckets")
     links, labels = None, None
@@ -346,13 +418,12 @@ def near_duplicates(
         if not members.limit(1).count():
             break
         if step < orders:
-            found = _with_signature(star_pairs(members, step), classes)
+            near = written(_with_signature(star_pairs(members, step), classes), "near")
+            if not near.limit(1).count():
+                continue
+            fresh = written(confirm(near, docs, width, percent), "links")
         else:
-            found = cross_pairs(members, docs, width, bucket, cell)
-        near = written(found, "near")
-        if not near.limit(1).count():
-            continue
-        fresh = written(confirm(near, docs, width, percent), "links")
+            fresh = written(cross_links(members, classes, docs, width, percent, bucket, cell), "links")
         if not fresh.limit(1).count():
             continue
         links = fresh if links is None else links.union(fresh)
@@ -374,13 +445,18 @@ def near_duplicates(
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The documents with one left of each group of near-duplicates; columns as they are.
+    """The documents with one left of each group of near-duplicates; columns as they are, whatever their names.
 
-    Rows that repeat a kept doc_id are reduced to the one with the smallest text.
+    Null, empty or wordless texts are near nothing and stay, very long texts are
+    compared whole, and an empty table gives no row. Of rows equal in doc_id and
+    text one stays; different texts of a kept doc_id all do. Rows without doc_id stay.
     """
+    names = docs.columns
+    rows = docs.select([F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
+    doc_id, text = (f"c{names.index(c)}" for c in ("doc_id", "text"))
     groups = near_duplicates(docs, width, percent)
-    kept = groups.where("kept").select("doc_id").distinct()
-    named = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi")
-    first = F.row_number().over(W.partitionBy("doc_id").orderBy("text"))
-    once = named.withColumn("_row", first).where("_row = 1").select(*docs.columns)
-    return once.unionByName(docs.where("doc_id IS NULL"))
+    kept = groups.where("kept").select(F.col("doc_id").alias(doc_id)).distinct()
+    named = rows.where(F.col(doc_id).isNotNull()).join(kept, doc_id, "left_semi").withColumn("mark", F.sha2(text, 256))
+    first = F.row_number().over(W.partitionBy(doc_id, "mark").orderBy(doc_id))
+    once = named.withColumn("nth", first).where("nth = 1").select(rows.columns)
+    return once.unionByName(rows.where(F.col(doc_id).isNull())).toDF(*names)

@@ -11,7 +11,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from netpulse.llm import collocations, count_automata, elias_fano, lm_score, prefix_trie, queries
+from netpulse.llm import collocations, count_automata, elias_fano, lm_score, near_dedup, prefix_trie, queries
 from tools.check import compare, oracle_connection
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -295,3 +295,55 @@ def test_scores_of_awkward_rows(spark, awkward, tmp_path):
     lone = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 7 == 2)
     row = lm_score.lm_scores(spark.createDataFrame([(lone, "a b")], "doc_id long, text string")).first()
     assert (row["n_known"], row["train_tokens"], row["score"]) == (0, 0, 0.0)
+
+
+# Near duplicates by forests
+
+
+def test_a_large_group_of_partly_similar_copies_gives_a_forest(spark):
+    """Documents that differ from a common text in a few words each: some pairs are near and some are not."""
+    rng = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(90)]
+    texts = []
+    for i in range(2000):
+        own = list(words)
+        for at in rng.choice(90, 2, replace=False):
+            own[at] = f"x{i}-{at}"
+        texts.append(" ".join(own))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    links = []
+    real = near_dedup.cross_links
+
+    def counted(*args):
+        links.append(near_dedup.written(real(*args), "test-links"))
+        return links[-1]
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(near_dedup, "cross_links", counted)
+        got = near_dedup.near_duplicates(frame, 4, 80, cell=300, orders=0).toPandas().sort_values("doc_id")
+    sets = [{tuple(t[i : i + 4]) for i in range(len(t) - 3)} for t in map(str.split, texts)]
+    top = list(range(len(texts)))
+
+    def find(x):
+        while top[x] != x:
+            top[x] = x = top[top[x]]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if find(i) != find(j) and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                top[max(find(i), find(j))] = min(find(i), find(j))
+    assert got["component_id"].tolist() == [find(i) for i in range(len(texts))]
+    # Far fewer than the pairs: a forest per cell.
+    assert links[0].count() < 112 * len(texts)
+
+
+def test_near_copies_keep_clashing_columns_and_other_texts_of_an_id(spark):
+    rows = [(1, "a b c d e f", "q", 7, "k"), (1, "other words than those before", "r", 8, "l"), (1, "a b c d e f", "s", 9, "m"), (2, "a b c d e f", "t", 1, "n"), (None, "a b c d e f", "u", 2, "o")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, _row string, nth int, mark string")
+    kept = near_dedup.keep_one(frame)
+    assert kept.columns == frame.columns
+    found = sorted(map(tuple, kept.collect()), key=str)
+    assert [r[:2] for r in found] == [(1, "a b c d e f"), (1, "other words than those before"), (None, "a b c d e f")]
+    assert all(r in rows for r in found)
+    assert near_dedup.keep_one(frame.limit(0)).count() == 0
