@@ -175,22 +175,21 @@ def language_model(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel:
     return train(training_sample(docs, sample))
 
 
-def with_language(docs: DataFrame, model: LanguageModel, columns: list[str]) -> DataFrame:
-    """``columns`` of the documents with lang_pred, score and rejected; whole texts.
+def with_language(docs: DataFrame, model: LanguageModel, text: str) -> DataFrame:
+    """The documents with lang_pred, score and rejected from the whole text in column ``text``.
 
     Null text, or one without a letter: ``und``, score 0, rejected. Without any
     training text every prediction is that. Predictions depend on nothing but the text.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = docs.select(*columns, F.col("text").alias("_text"))
-    names = [f.name for f in kept.schema.fields[:-1]]
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(texts: pd.Series) -> pd.DataFrame:
         found = [shared.value.predict(t) for t in texts]
         return pd.DataFrame(found, columns=["lang_pred", "score"])
 
-    out = kept.withColumn("_found", predict("_text")).select(*names, "_found.*")
+    # Only the text goes to Python, and what comes back is small.
+    out = docs.withColumn("found_", predict(text)).select(*docs.columns, "found_.*")
     rejected = (F.col("lang_pred") == UNKNOWN) | (F.col("score") < model.reject_below)
     return out.withColumn("rejected", rejected)
 
@@ -198,17 +197,23 @@ def with_language(docs: DataFrame, model: LanguageModel, columns: list[str]) ->
 def language_id(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score and rejected of every document.
 
-    Repeated rows and null doc_id are rows of their own. An empty table gives no row.
+    Repeated rows and null doc_id are rows of their own. Very long texts count with
+    all their subwords. Other columns are left out. An empty table gives no row.
     """
     model = language_model(docs)
-    return with_language(docs, model, ["doc_id"]).withColumn("held_out", held_out(F.col("doc_id"))).select(
+    return with_language(docs.select("doc_id", "text"), model, "text").withColumn("held_out", held_out(F.col("doc_id"))).select(
         "doc_id", "held_out", "lang_pred", "score", "rejected"
     )
 
 
 def in_known_language(docs: DataFrame) -> DataFrame:
-    """The documents whose language is told with enough certainty; columns as they are."""
-    columns = docs.columns
+    """The documents whose language is told with enough certainty; columns as they are, whatever their names.
+
+    Null, empty and letterless texts go; very long ones are read whole. Rows that
+    repeat are judged alike. An empty table, or one without a training text, gives no row.
+    """
+    names = docs.columns
     model = language_model(docs)
-    out = with_language(docs.select([F.col(c).alias(f"c{i}") for i, c in enumerate(columns)] + [F.col("text")]), model, [f"c{i}" for i in range(len(columns))])
-    return out.where(~F.col("rejected")).select([F.col(f"c{i}").alias(c) for i, c in enumerate(columns)])
+    rows = docs.select([F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
+    out = with_language(rows, model, f"c{names.index('text')}")
+    return out.where(~F.col("rejected")).select(rows.columns).toDF(*names)

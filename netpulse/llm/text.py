@@ -27,9 +27,10 @@ _CLASS[[*range(65, 91), *range(97, 123)]] = _LETTER
 _CLASS[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'"]] = _MARK
 # Texts that hold a special token string, or marks that combine with letters before these are lower-cased.
 _WHOLE = re.compile("<\\||[̀-ͯ]")
-SLICE = 1 << 20
-CACHE_WORDS = 1_200_000
-_TABLE = 1 << 22
+# Bounds of what a worker process keeps between tasks: stretches of text (their powers take 16 MB), known words.
+SLICE = 1 << 19
+CACHE_WORDS = 400_000
+_TABLE = 1 << 20
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
