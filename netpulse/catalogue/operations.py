@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netpulse import session
-from netpulse.catalogue import sql
+from netpulse.catalogue import rollups, sql
 from netpulse.config import ALARMS, COUNTERS
 from netpulse.functions import exact, timeparts
 from netpulse.operators import oplogs, rollup
@@ -264,6 +264,39 @@ GROUP BY host_id, period HAVING count(dl) > 0"""
     )
 
 
+def _full(level: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Medians, percentiles and top lists of closed windows, by a stream."""
+        folder = session.fresh_folder(spark, f"stream-{level}-full")
+        return rollups.flat(spark.read.parquet(streams.run_full_rollup(_measured(spark, sf_dir), level, folder)))
+
+    return run
+
+
+def _full_sql(level: str, unit: str) -> str:
+    closed = f" WHERE period + INTERVAL 1 {unit} <= (SELECT max(bucket_start) FROM m) - INTERVAL 10 MINUTE"
+    return rollups.flat_sql(level) + closed
+
+
+def stream_silence(spark, sf_dir):
+    """Hosts that fall silent for 45 minutes and come back; host-3 stops for good on the 20th."""
+    m = _measured(spark, sf_dir).where(STOPPED)
+    return _collected(spark, streams.host_silence(m, 45), "silence")
+
+
+STOPPED = "NOT (host_id = 'host-3' AND ts >= TIMESTAMP_NTZ '2024-01-20 00:00:00')"
+
+SILENCE_SQL = (
+    sql.with_(sql.M)
+    + """, t AS (SELECT host_id, ts, lead(ts) OVER (PARTITION BY host_id ORDER BY ts) AS next FROM
+  (SELECT DISTINCT host_id, date_trunc('millisecond', ts) AS ts FROM m WHERE NOT (host_id = 'host-3' AND ts >= TIMESTAMP '2024-01-20 00:00:00'))),
+g AS (SELECT *, next IS NULL AS open FROM t WHERE coalesce(next, (SELECT max(ts) FROM t) - INTERVAL 10 MINUTE) >= ts + INTERVAL 45 MINUTE
+  AND (next IS NULL OR next > ts + INTERVAL 45 MINUTE))
+SELECT host_id, 'silent' AS kind, ts AS last_seen, ts + INTERVAL 45 MINUTE AS at FROM g
+UNION ALL SELECT host_id, 'back', ts, next FROM g WHERE NOT open"""
+)
+
+
 def stream_dedup(spark, sf_dir):
     """Every event delivered twice, one of each kept."""
     events = streams.event_stream(spark, sf_dir)
@@ -326,6 +359,9 @@ QUERIES = {
     "backfill_write": backfill_write,
     "stream_hourly": stream_hourly,
     "stream_daily": stream_daily,
+    "stream_hourly_full": _full("hourly"),
+    "stream_daily_full": _full("daily"),
+    "stream_silence": stream_silence,
     "stream_dedup": stream_dedup,
     "stream_first_write": stream_first_write,
     "stream_first_per_bucket": stream_first_per_bucket,
@@ -361,6 +397,9 @@ UNION ALL SELECT * FROM (SELECT 'aggregated', event_id, ts, message FROM l WHERE
     "backfill_write": SUMMARY_TABLE_SQL,
     "stream_hourly": _window_sql("hour"),
     "stream_daily": _window_sql("day"),
+    "stream_hourly_full": _full_sql("hourly", "hour"),
+    "stream_daily_full": sql.dated(_full_sql("daily", "day"), "period"),
+    "stream_silence": SILENCE_SQL,
     "stream_dedup": "SELECT event_id, ts, event_type FROM events",
     "stream_first_write": sql.with_(sql.M) + FIRST_SQL.format(columns="seq, ts, host_id, bucket_start"),
     "stream_first_per_bucket": sql.with_(sql.M)

@@ -15,7 +15,7 @@ STATS = ("avg", "median", "max", "min", "p99", "p95", "p90", "p50")
 METRIC = {"download": "download_mbps", "upload": "upload_mbps", "ping": "ping_ms"}
 
 
-def _flat(summary: DataFrame) -> DataFrame:
+def flat(summary: DataFrame) -> DataFrame:
     return summary.select(
         "host_id",
         "period",
@@ -34,7 +34,7 @@ def _flat(summary: DataFrame) -> DataFrame:
     )
 
 
-def _flat_sql(level: str) -> str:
+def flat_sql(level: str) -> str:
     stats = ", ".join(f"{sql.hundredth(f'{m}_{s}_c')} AS {m}_{s}" for m in METRIC for s in STATS)
     return (
         sql.with_(sql.M, sql.summary(level), sql.messages(level))
@@ -74,11 +74,11 @@ FROM m"""
 
 
 def hourly_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _flat(rollup.hourly(tables.measurements(spark, sf_dir)))
+    return flat(rollup.hourly(tables.measurements(spark, sf_dir)))
 
 
 def daily_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _flat(rollup.daily(tables.measurements(spark, sf_dir)))
+    return flat(rollup.daily(tables.measurements(spark, sf_dir)))
 
 
 def _top(column: str):
@@ -259,8 +259,8 @@ QUERIES = {
 }
 ORACLES = {
     "normalize_measurements": NORMALIZE_SQL,
-    "hourly_rollup": _flat_sql("hourly"),
-    "daily_rollup": sql.dated(_flat_sql("daily"), "period"),
+    "hourly_rollup": flat_sql("hourly"),
+    "daily_rollup": sql.dated(flat_sql("daily"), "period"),
     "daily_top_servers": sql.dated(_top_sql("server_label", 5), "period"),
     "daily_top_connections": sql.dated(_top_sql("connection_type", 3), "period"),
     "daily_sets": sql.dated(SETS_SQL, "period"),

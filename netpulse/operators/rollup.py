@@ -37,8 +37,8 @@ def with_all_hosts(df: DataFrame) -> DataFrame:
     return df.withColumn("host_id", hosts)
 
 
-def value_counts(measurements: DataFrame, level: str) -> DataFrame:
-    """``host_id, period, dim, num, txt, n, first_seq``: distinct values of each group."""
+def entries(measurements: DataFrame, *columns: str | Column) -> DataFrame:
+    """``host_id``, ``columns``, ``seq, dim, num, txt``: one row per dimension of a record."""
 
     def entry(dim: int, num: str = "bigint(null)", txt: str = "string(null)") -> str:
         return f"named_struct('dim', tinyint({dim}), 'num', {num}, 'txt', {txt})"
@@ -46,21 +46,26 @@ def value_counts(measurements: DataFrame, level: str) -> DataFrame:
     metrics = [entry(DIMS[metric], num=c) for metric, c in METRICS.items()]
     texts = [entry(SERVER, txt="server_label"), entry(CONNECTION, txt="nullif(connection_type, '')")]
     error = entry(ERROR, num="bigint(1)")
-    entries = F.when(is_valid(), F.expr(f"array({', '.join(metrics + texts)})")).otherwise(
+    parts = F.when(is_valid(), F.expr(f"array({', '.join(metrics + texts)})")).otherwise(
         F.expr(f"array({error})")
     )
-    narrow = measurements.select(
-        "host_id",
-        timeparts.period_of(F.col("bucket_start"), level).alias("period"),
-        "seq",
-        F.explode(entries).alias("e"),
-    ).where(F.col("e.num").isNotNull() | F.col("e.txt").isNotNull())
-    value = ["period", "dim", "num", "txt"]
-    per_host = (
-        narrow.select("host_id", "period", "seq", "e.*")
-        .groupBy("host_id", *value)
-        .agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first_seq"))
+    narrow = measurements.select("host_id", *columns, "seq", F.explode(parts).alias("e"))
+    return narrow.where(F.col("e.num").isNotNull() | F.col("e.txt").isNotNull()).select(
+        "*", "e.dim", "e.num", "e.txt"
+    ).drop("e")
+
+
+def counted(rows: DataFrame, *group: str | Column) -> DataFrame:
+    """Distinct values of ``entries`` with their number ``n`` and first arrival ``first_seq``."""
+    return rows.groupBy(*group, "host_id", "dim", "num", "txt").agg(
+        F.count(F.lit(1)).alias("n"), F.min("seq").alias("first_seq")
     )
+
+
+def with_counts_of_all(per_host: DataFrame) -> DataFrame:
+    """The counts of every host and those of ``all``, which add up the hosts' and not the rows."""
+    value = ["period", "dim", "num", "txt"]
+    per_host = per_host.select("host_id", *value, "n", "first_seq")
     # Both sides read the same exchange; the measurements are scanned once.
     of_all = (
         per_host.groupBy(F.lit(config.ALL_HOSTS).alias("host_id"), *value)
@@ -69,6 +74,12 @@ def value_counts(measurements: DataFrame, level: str) -> DataFrame:
     return per_host.unionByName(of_all)
 
 
+def value_counts(measurements: DataFrame, level: str) -> DataFrame:
+    """``host_id, period, dim, num, txt, n, first_seq``: distinct values of each group."""
+    period = timeparts.period_of(F.col("bucket_start"), level).alias("period")
+    return with_counts_of_all(counted(entries(measurements, period), "period"))
+
+
 def floor_rank(p: float, count: str) -> str:
     """Zero-based position ``int(p * (count - 1))``, in double arithmetic."""
     return f"floor({p}D * ({count} - 1))"
@@ -111,7 +122,12 @@ def _per_dimension(counts: DataFrame, servers: int, connections: int | None) ->
 
 
 def summaries(measurements: DataFrame, level: str) -> DataFrame:
-    """Hourly or daily summaries of each host and of ``all``.
+    """Hourly or daily summaries of each host and of ``all``."""
+    return summaries_of(value_counts(measurements, level), level)
+
+
+def summaries_of(counts: DataFrame, level: str) -> DataFrame:
+    """Summaries from value counts.
 
     ``host_id, period, records, completion_rate, errors, overall, servers_top,
     connection_types, anomalies, threshold_mbps, connection_type_thresholds`` and
@@ -120,7 +136,7 @@ def summaries(measurements: DataFrame, level: str) -> DataFrame:
     settings = config.LEVELS[level]
     hourly_level = level == "hourly"
     dims = _per_dimension(
-        value_counts(measurements, level),
+        counts,
         settings.top_servers,
         None if hourly_level else config.TOP_CONNECTIONS,
     )

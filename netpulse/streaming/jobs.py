@@ -8,12 +8,16 @@ of a window is cheap however many hosts report.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from datetime import datetime
 
+import numpy as np
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from netpulse.functions import exact, timeparts
 from netpulse.operators import oplogs, quality, rollup
@@ -73,6 +77,101 @@ def windowed_rollup(measurements: DataFrame, level: str) -> DataFrame:
     return grouped.select(*shown).where("records > 0")
 
 
+# Windows over local bucket times start at local midnight, whatever the zone of the measurements.
+LENGTHS = {"hourly": "1 hour", "daily": "1 day"}
+
+
+def windowed_counts(measurements: DataFrame, level: str, grace: str = GRACE) -> DataFrame:
+    """Value counts of each host and closed local hour or day, by ``bucket_start``.
+
+    The state of a window is one row per distinct value, so it is bounded by the
+    two-decimal value range and not by the records. All values of a window leave
+    together, when the watermark passes its end.
+    """
+    timed = measurements.withColumn("event_time", F.col("bucket_start").cast("timestamp")).withWatermark("event_time", grace)
+    window = F.window("event_time", LENGTHS[level]).alias("w")
+    counts = rollup.counted(rollup.entries(timed, "event_time"), window)
+    return counts.withColumn("period", F.col("w.start").cast("timestamp_ntz")).drop("w")
+
+
+def run_full_rollup(measurements: DataFrame, level: str, folder: str, grace: str = GRACE) -> str:
+    """Whole summaries (medians, percentiles, top lists, anomalies) of closed windows into ``folder/data``.
+
+    Counting is the stream's work; a micro-batch ranks the windows it closed with
+    the code of the batch roll-up and replaces their partitions, so a batch that is
+    repeated after a failure gives the same table.
+    """
+    period_type = "date" if level == "daily" else "timestamp_ntz"
+
+    def close(counts: DataFrame, _: int) -> None:
+        # The batch feeds hosts and ``all``; the state store must be asked once only.
+        counts = counts.withColumn("period", F.col("period").cast(period_type)).persist()
+        try:
+            done = rollup.summaries_of(rollup.with_counts_of_all(counts), level)
+            sinks.write_summaries(done, level, f"{folder}/data")
+        finally:
+            counts.unpersist()
+
+    query = (
+        windowed_counts(measurements, level, grace)
+        .writeStream.foreachBatch(close)
+        .outputMode("append")
+        .option("checkpointLocation", f"{folder}/checkpoint")
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    return f"{folder}/data"
+
+
+SILENCE = "host_id string, kind string, last_seen timestamp, at timestamp"
+
+
+def host_silence(measurements: DataFrame, gap_minutes: int, grace: str = GRACE) -> DataFrame:
+    """A row when a host falls silent, while it is, and one when it comes back.
+
+    ``silent`` comes as soon as the watermark is ``gap_minutes`` past the last
+    record, by an event-time timer of the host; ``back`` with the next record. A host
+    is two numbers of state. Silences inside one batch are found there.
+    """
+    gap = gap_minutes * 60_000
+
+    def host(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, silent = state.get if state.exists else (None, False)
+        out: list[tuple] = []
+        if state.hasTimedOut:
+            out.append(("silent", last, last + gap))
+            state.update((last, True))
+        else:
+            seen = np.sort(np.concatenate([b["ms"].to_numpy(np.int64) for b in batches]))
+            if last is not None:
+                seen = seen[seen > last]
+                if silent and len(seen):
+                    out.append(("back", last, int(seen[0])))
+            line = seen if last is None or silent else np.r_[last, seen]
+            for at in np.flatnonzero(np.diff(line) > gap).tolist():
+                out += [("silent", int(line[at]), int(line[at]) + gap), ("back", int(line[at]), int(line[at + 1]))]
+            if len(seen):
+                last, silent = int(seen[-1]), False
+            if not silent:
+                if last + gap <= state.getCurrentWatermarkMs():
+                    out.append(("silent", last, last + gap))
+                    silent = True
+                else:
+                    state.setTimeoutTimestamp(last + gap)
+            state.update((last, silent))
+        rows = pd.DataFrame([(key[0], *r) for r in out], columns=["host_id", "kind", "last_seen", "at"])
+        for c in ("last_seen", "at"):
+            rows[c] = pd.to_datetime(rows[c], unit="ms")
+        yield rows
+
+    timed = with_event_time(measurements, grace).select("host_id", "event_time", F.unix_millis("event_time").alias("ms"))
+    found = timed.groupBy("host_id").applyInPandasWithState(
+        host, SILENCE, "last_seen long, silent boolean", "append", GroupStateTimeout.EventTimeTimeout
+    )
+    return found.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("last_seen", "at")})
+
+
 def distinct_events(rows: DataFrame, keys: list[str], grace: str = GRACE) -> DataFrame:
     """First arrival of each key within the watermark."""
     return with_event_time(rows, grace).dropDuplicatesWithinWatermark(keys)

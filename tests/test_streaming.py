@@ -1,7 +1,10 @@
 """Streams against their batch counterparts, over several batches and restarts."""
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import functions as F
 
+from netpulse.operators import rollup
 from netpulse.sources import tables
 from netpulse.schemas import EVENTS
 from netpulse.streaming import jobs as streams
@@ -70,3 +73,42 @@ def test_closed_and_open_parts(spark, sf_dir):
     done, running = streams.closed_and_open(m, datetime(2024, 1, 15, 12))
     assert done.count() + running.count() == m.count()
     assert done.agg(F.max("local_ts")).head()[0] < datetime(2024, 1, 15, 11, 45)
+
+
+def test_full_rollups_equal_batch_over_batches_and_restarts(spark, sf_dir, tmp_path):
+    """Medians, percentiles and top lists of closed windows, with half of the files arriving after a restart."""
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    events = tables.table(spark, sf_dir, "events")
+    half = events.count() // 2
+    for part in (events.where(F.col("event_id") < half), events.where(F.col("event_id") >= half)):
+        part.coalesce(1).write.mode("append").parquet(folder)
+        table = streams.run_full_rollup(tables.as_measurements(source(spark, folder)), "daily", out)
+    batch = rollup.daily(tables.as_measurements(events))
+    newest = tables.as_measurements(events).agg(F.max("bucket_start")).head()[0]
+    closed = batch.where(F.col("period").cast("timestamp_ntz") + F.expr("interval 1 day 10 minutes") <= F.lit(newest))
+    columns = [c for c in batch.columns if batch.schema[c].dataType.typeName() != "map"]
+    got, want = spark.read.parquet(table).select(columns), closed.select(columns)
+    assert got.count() == want.count() > 0
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_hosts_fall_silent_and_come_back(spark, tmp_path):
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    kind = "host_id string, ts timestamp_ntz"
+
+    def arrive(rows):
+        at = [(h, datetime(2024, 1, 1, 0, 0) + timedelta(minutes=m)) for h, m in rows]
+        spark.createDataFrame(at, kind).coalesce(1).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(folder)
+        streams.run_to_table(streams.host_silence(stream, 45), out)
+        found = spark.read.parquet(f"{out}/data").orderBy("host_id", "at", "kind").collect()
+        return [(r["host_id"], r["kind"], int((r["at"] - datetime(2024, 1, 1)).total_seconds()) // 60) for r in found]
+
+    # Host a goes on; host b stops after 10 minutes, and is reported while it is silent.
+    assert arrive([("a", 0), ("b", 10), ("a", 30), ("a", 60), ("a", 100)]) == [("b", "silent", 55)]
+    # It comes back at 130; another one stops, and a pause of exactly the gap is none.
+    assert arrive([("b", 130), ("a", 145), ("c", 131)]) == [("b", "silent", 55), ("b", "back", 130)]
+    want = [("b", "silent", 55), ("b", "back", 130), ("b", "silent", 175), ("b", "back", 190), ("c", "silent", 176)]
+    assert sorted(arrive([("a", 190), ("b", 190)])) == sorted(want)
+    # Nothing new, nothing more; the state outlives the restarts.
+    assert sorted(arrive([("a", 191)])) == sorted(want)
