@@ -7,7 +7,8 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netpulse.catalogue import sql
+from netpulse.catalogue import chart_sql, sql
+from netpulse.catalogue.views import X_MINUTE
 from netpulse.functions import timeparts
 from netpulse.operators import downsample, quality, retention, rollup, validate, views
 from netpulse.plans import jobs
@@ -619,6 +620,8 @@ QUERIES = {
 }
 _INV = sql.with_(INV)
 ORACLES = {
+    "downsample_minute": chart_sql.chart(sql.with_(sql.M, X_MINUTE).rstrip(), chart_sql.MINUTE_POINTS, 200),
+    "downsample_hourly": chart_sql.chart(sql.with_(sql.M, sql.summary("hourly")).rstrip(), chart_sql.HOUR_POINTS, 300),
     "hourly_coverage": COVERAGE_SQL,
     "daily_coverage": DAILY_COVERAGE_SQL,
     "missing_periods": MISSING_SQL,
