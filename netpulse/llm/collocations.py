@@ -40,7 +40,7 @@ LONGEST, LEAST, BEST = 3, 10, 2000
 BREAKS = b".,;:!?\x0a\x0b\x0c\x0d"
 BLANKS = b"\x20\x09"
 # Words of one automaton in a task, windows of one range, and bounds drawn from an automaton.
-CHUNK, RANGE, DRAWN = 1 << 20, 1 << 20, 64
+CHUNK, RANGE, DRAWN = 1 << 20, 1 << 19, 256
 _SLICE = 1 << 20
 _INSIDE = np.ones(256, bool)
 _INSIDE[list(BREAKS + BLANKS)] = False

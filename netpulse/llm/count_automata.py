@@ -277,7 +277,8 @@ class Sequences(NamedTuple):
 
     @staticmethod
     def of(automaton: CountAutomaton) -> Sequences:
-        return Sequences(*automaton.sequences(), automaton.words, automaton.tags)
+        columns, weight = automaton.sequences()
+        return Sequences([c.astype(np.int32) for c in columns], weight, automaton.words, automaton.tags)
 
     def prefixes(self, size: int) -> tuple[list[np.ndarray], np.ndarray]:
         """The distinct prefixes of ``size`` labels after the first, and the sums of their ranges of counts."""
@@ -297,7 +298,7 @@ def union(parts: list[Sequences]) -> Sequences:
     tags = np.unique(np.concatenate([p.tags for p in parts]))
     columns = []
     for p in parts:
-        word = np.r_[0, np.searchsorted(words, p.words) + 1]
-        columns.append([np.searchsorted(tags, p.tags)[p.columns[0]], *[word[c] for c in p.columns[1:]]])
+        word = np.r_[0, np.searchsorted(words, p.words) + 1].astype(np.int32)
+        columns.append([np.searchsorted(tags, p.tags).astype(np.int32)[p.columns[0]], *[word[c] for c in p.columns[1:]]])
     rows, weight = summed([np.concatenate(c) for c in zip(*columns, strict=True)], np.concatenate([p.weight for p in parts]))
     return Sequences(rows, weight, words, tags)
