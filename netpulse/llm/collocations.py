@@ -26,7 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from netpulse.llm.count_automata import CountAutomaton, Names, Sequences, summed, union
-from netpulse.llm.text import hashed_runs
+from netpulse.llm.text import SLICE, hashed_runs
 from netpulse.sinks.tables import written
 
 UNKNOWN = "und"
@@ -40,8 +40,7 @@ LONGEST, LEAST, BEST = 3, 10, 2000
 BREAKS = b".,;:!?\x0a\x0b\x0c\x0d"
 BLANKS = b"\x20\x09"
 # Words of one automaton in a task, windows of one range, and bounds drawn from an automaton.
-CHUNK, RANGE, DRAWN = 1 << 20, 1 << 19, 256
-_SLICE = 1 << 20
+CHUNK, RANGE, DRAWN = 1 << 19, 1 << 19, 128
 _INSIDE = np.ones(256, bool)
 _INSIDE[list(BREAKS + BLANKS)] = False
 _BREAK = np.zeros(256, bool)
@@ -100,12 +99,12 @@ class Words:
 
 def _cut(data: bytes, at: int) -> int:
     """The end of a stretch of about a slice that ends in a byte between words; a longer word stays whole."""
-    if len(data) - at <= _SLICE:
+    if len(data) - at <= SLICE:
         return len(data)
     between = BREAKS + BLANKS
-    cut = max(data.rfind(bytes([c]), at, at + _SLICE) for c in between)
+    cut = max(data.rfind(bytes([c]), at, at + SLICE) for c in between)
     if cut < 0:
-        cut = min(p for c in between if (p := data.find(bytes([c]), at + _SLICE)) >= 0)
+        cut = min(p for c in between if (p := data.find(bytes([c]), at + SLICE)) >= 0)
     return cut + 1
 
 
@@ -127,7 +126,7 @@ def shard_automata(docs: DataFrame, longest: int) -> DataFrame:
             at = size = 0
             for i, text in enumerate(texts):
                 size += len(text)
-                if size >= _SLICE or i == len(texts) - 1:
+                if size >= SLICE or i == len(texts) - 1:
                     held.add(tags[at : i + 1], texts[at : i + 1])
                     at, size = i + 1, 0
                     if held.size >= CHUNK:
