@@ -430,14 +430,14 @@ WHERE year(p) = 1997 AND year(p) <> 2001""",
 
 
 def lineage_counts(spark, sf_dir):
-    days, months, years = _lossy(spark, sf_dir)
-    return quality.lineage_counts({"daily": days, "monthly": months, "yearly": years})
+    days = written(quality.period_keys(tables.long_series(spark, sf_dir), "daily"), "days")
+    coarser = {level: quality.coarser_keys(days, level) for level in ("monthly", "yearly")}
+    return quality.lineage_counts({"daily": days} | coarser)
 
 
 LINEAGE_COUNTS_SQL = """SELECT 'daily' AS level, count(DISTINCT o_orderdate) AS periods FROM orders
 UNION ALL SELECT 'monthly', count(DISTINCT date_trunc('month', o_orderdate)) FROM orders
-  WHERE NOT (month(o_orderdate) = 5 AND year(o_orderdate) % 2 = 1)
-UNION ALL SELECT 'yearly', count(DISTINCT year(o_orderdate)) FROM orders WHERE year(o_orderdate) <> 1997"""
+UNION ALL SELECT 'yearly', count(DISTINCT year(o_orderdate)) FROM orders"""
 
 
 def _backfilled(df: DataFrame, level: str) -> DataFrame:

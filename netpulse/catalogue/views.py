@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netpulse.catalogue import sql
-from netpulse.functions import exact
+from netpulse.functions import exact, text
 from netpulse.operators import anomaly, compare, dashboard, rollup, views
 from netpulse.sinks.tables import written
 from netpulse.sources import tables
@@ -293,6 +293,35 @@ FROM n JOIN k USING (a) GROUP BY 1"""
 )
 
 
+def cidr_groups_ipv6(spark, sf_dir):
+    """Addresses whose last number is odd written as IPv6: some in full, some with ``::``, some with an IPv4 end."""
+    ip = F.trim("public_ip")
+    a, b, c, d = (F.split_part(ip, F.lit("."), F.lit(i)).cast("int") for i in range(1, 5))
+    front = F.format_string("20%02x:%x%02x", a, b, c)
+    spelled = (
+        F.when(d % 6 == 1, F.concat(front, F.format_string(":0:0:0:0:0:%X", d)))
+        .when(d % 6 == 3, F.concat(front, F.format_string("::%x", d)))
+        .when(d % 6 == 5, F.concat(F.lit("::"), ip))
+        .otherwise(ip)
+    )
+    rows = _minute(spark, sf_dir)
+    return dashboard.cidr_groups(rows.select(F.when(ip.rlike(text.IPV4), spelled).otherwise(ip).alias("public_ip")))
+
+
+CIDR_IPV6_SQL = (
+    MINUTE
+    + r""", ip AS (SELECT DISTINCT trim(public_ip) AS ip FROM x WHERE regexp_full_match(trim(public_ip), '\d+\.\d+\.\d+\.\d+')),
+p AS (SELECT ip, list_transform(string_split(ip, '.'), lambda v: v::INT) AS g FROM ip),
+n AS (SELECT CASE WHEN g[4] % 6 IN (1, 3) THEN format('20{:02x}::/16', g[1]) WHEN g[4] % 6 = 5 THEN '::/16'
+      ELSE regexp_extract(ip, '^\d+\.\d+') || '.0.0/16' END AS a,
+    CASE WHEN g[4] % 6 IN (1, 3) THEN CASE WHEN g[2] = 0 THEN format('20{:02x}::/24', g[1])
+        ELSE format('20{:02x}:{:x}00::/24', g[1], g[2]) END
+      WHEN g[4] % 6 = 5 THEN '::/24' ELSE regexp_extract(ip, '^\d+\.\d+\.\d+') || '.0/24' END AS b FROM p),
+k AS (SELECT a, count(DISTINCT b) AS blocks FROM n GROUP BY a)
+SELECT CASE WHEN blocks >= 3 THEN a ELSE b END AS cidr, count(*) AS count FROM n JOIN k USING (a) GROUP BY 1"""
+)
+
+
 def speed_distribution(spark, sf_dir):
     return dashboard.speed_distribution(_minute(spark, sf_dir))
 
@@ -408,6 +437,7 @@ QUERIES = {
     "isp_facets": isp_facets,
     "quick_filter_counts": quick_filter_counts,
     "cidr_groups": cidr_groups,
+    "cidr_groups_ipv6": cidr_groups_ipv6,
     "speed_distribution": speed_distribution,
     "host_comparison": host_comparison,
     "hour_of_day": hour_of_day,
@@ -440,6 +470,7 @@ ORACLES = {
     + """SELECT count(*) FILTER (WHERE dl_c < 20000) AS below_threshold,
   count(*) FILTER (WHERE dl_c < 10000) AS performance_drops, count(*) FILTER (WHERE ping_c > 2000) AS high_ping FROM x""",
     "cidr_groups": CIDR_SQL,
+    "cidr_groups_ipv6": CIDR_IPV6_SQL,
     "speed_distribution": DISTRIBUTION_SQL,
     "host_comparison": sql.with_(sql.M)
     + f"SELECT host_id, count(*) AS records, {_MEANS} FROM v GROUP BY host_id",

@@ -70,6 +70,37 @@ def cidr16(ip: Column) -> Column:
     return F.concat(F.substring_index(ip, ".", 2), F.lit(".0.0/16"))
 
 
+def ipv6_groups(ip: Column) -> Column:
+    """The eight groups of an IPv6 address as numbers; NULL for any other text.
+
+    Takes ``::`` in place of one group or more, an IPv4 address as the last two groups
+    (its own bits are not told: they come as zeros), and a zone after ``%``.
+    """
+    plain = F.regexp_replace(F.lower(ip), r"%[^%/]+$", "")
+    sides = F.split(F.regexp_replace(plain, "(?<=:)" + IPV4.strip("^$") + "$", "0:0"), "::", -1)
+    parts = F.transform(sides, lambda side: F.when(side == "", F.array().cast("array<string>")).otherwise(F.split(side, ":", -1)))
+    known = F.aggregate(parts, F.lit(0), lambda n, side: n + F.size(side))
+    spelled = F.forall(parts, lambda side: F.forall(side, lambda group: group.rlike("^[0-9a-f]{1,4}$")))
+    whole = ((F.size(sides) == 1) & (known == 8)) | ((F.size(sides) == 2) & (known <= 7))
+    groups = F.when(F.size(sides) == 1, parts[0]).otherwise(
+        F.concat(parts[0], F.array_repeat(F.lit("0"), 8 - known), F.get(parts, F.lit(1)))
+    )
+    return F.when(whole & spelled, F.transform(groups, lambda group: F.conv(group, 16, 10).cast("int")))
+
+
+def _ipv6_network(first: Column, second: Column, bits: int) -> Column:
+    front = F.when((first == 0) & (second == 0), F.lit("")).otherwise(F.lower(F.hex(first)))
+    return F.concat(front, F.when(second == 0, F.lit("")).otherwise(F.concat(F.lit(":"), F.lower(F.hex(second)))), F.lit(f"::/{bits}"))
+
+
+def ipv6_cidr16(groups: Column) -> Column:
+    return _ipv6_network(groups[0], F.lit(0), 16)
+
+
+def ipv6_cidr24(groups: Column) -> Column:
+    return _ipv6_network(groups[0], groups[1].bitwiseAND(F.lit(0xFF00)), 24)
+
+
 def with_unit(value: Column, suffix: str) -> Column:
     """``12.30 Mbps`` or ``N/A``."""
     shown = F.format_string("%.2f" + suffix.replace("%", "%%"), value.cast("double"))

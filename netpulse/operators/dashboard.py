@@ -227,18 +227,24 @@ def connection_stats(view: DataFrame) -> DataFrame:
 def connection_facets(view: DataFrame) -> DataFrame:
     """How many rows contain each connection type, without the unknown band.
 
-    Rows first collapse to distinct type lists. The names to look for are the
-    collectors' vocabulary of connection types, a handful of values, read as one
-    scalar; each list is then matched in place, without a join.
+    Rows first collapse to distinct type lists. Their substrings, of those lengths
+    that names have, meet the names by equality: the work grows with the text of the
+    lists and not with lists times names. Only the lengths are read as one scalar.
     """
-    lists = view.groupBy("connection_type").agg(F.count(F.lit(1)).alias("n"))
+    lists = view.groupBy("connection_type").agg(F.count(F.lit(1)).alias("n")).where("connection_type IS NOT NULL")
     parts = F.transform(F.split("connection_type", ","), lambda x: F.trim(x))
     named = (F.col("name") != "") & (F.col("name") != config.UNKNOWN_BAND)
-    names = lists.select(F.explode(parts).alias("name")).where(named).agg(F.collect_set("name"))
-    matching = F.filter("names", lambda x: F.contains(F.lower("connection_type"), F.lower(x)))
+    names = lists.select(F.explode(parts).alias("name")).where(named).distinct().withColumn("key", F.lower("name"))
+    sizes = names.agg(F.collect_set(F.length("key")))
+    text_ = F.lower("connection_type")
+    places = lists.select("connection_type", "n", text_.alias("text"), sizes.scalar().alias("sizes"))
+    places = places.select("*", F.explode(F.sequence(F.lit(1), F.length("text"))).alias("at")).where("text <> ''")
+    pieces = places.select("connection_type", "n", "text", "at", F.explode("sizes").alias("size"))
+    pieces = pieces.where("at + size - 1 <= length(text)").select("connection_type", "n", F.substr("text", "at", "size").alias("key"))
     return (
-        lists.withColumn("names", names.scalar())
-        .select("n", F.explode(matching).alias("name"))
+        pieces.join(names, "key")
+        .groupBy("connection_type", "name")
+        .agg(F.first("n").alias("n"))
         .groupBy("name")
         .agg(F.sum("n").alias("count"))
     )
@@ -261,16 +267,21 @@ def quick_filter_counts(view: DataFrame) -> DataFrame:
 
 
 def cidr_groups(addresses: DataFrame) -> DataFrame:
-    """Known IPv4 addresses by network: a /16 with three or more /24 blocks is one group.
+    """Known addresses by network: a /16 with three or more /24 blocks is one group.
 
-    ``addresses`` has a ``public_ip`` column. IPv6 is not grouped.
+    ``addresses`` has a ``public_ip`` column. IPv6 addresses are grouped by their first
+    16 and 24 bits likewise; spellings of one address count one by one. What is no
+    address of either kind is in no group.
     """
     ip = F.trim("public_ip")
-    known = addresses.where(text.is_known_ip(F.col("public_ip"))).select(ip.alias("ip"))
+    known = addresses.where(text.is_known_ip(F.col("public_ip"))).select(ip.alias("ip")).distinct()
+    told = known.select("ip", F.col("ip").rlike(text.IPV4).alias("v4"), text.ipv6_groups(F.col("ip")).alias("v6"))
     blocks = (
-        known.where(F.col("ip").rlike(text.IPV4))
-        .distinct()
-        .groupBy(text.cidr16(F.col("ip")).alias("net16"), text.cidr24(F.col("ip")).alias("net24"))
+        told.where(F.col("v4") | F.col("v6").isNotNull())
+        .groupBy(
+            F.when(F.col("v4"), text.cidr16(F.col("ip"))).otherwise(text.ipv6_cidr16(F.col("v6"))).alias("net16"),
+            F.when(F.col("v4"), text.cidr24(F.col("ip"))).otherwise(text.ipv6_cidr24(F.col("v6"))).alias("net24"),
+        )
         .agg(F.count(F.lit(1)).alias("ips"))
     )
     # At most 256 blocks of a /16 meet in the second step.

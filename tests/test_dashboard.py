@@ -1,5 +1,6 @@
 """Dashboard statistics on hand-computed frames."""
 
+import ipaddress
 from datetime import date, datetime, timedelta
 
 import pytest
@@ -77,7 +78,34 @@ def test_connection_statistics_and_facets(spark):
 def test_address_groups(spark):
     ips = ["1.2.3.4", "1.2.3.5", "1.2.4.1", "1.2.5.1", "9.9.9.9", " 9.9.9.9 ", "9.9.8.1", "Unknown", "n/a", "", "300.1.1.1", "fe80::1"]
     got = dashboard.cidr_groups(spark.createDataFrame([(i,) for i in ips], "public_ip string"))
-    assert {(r["cidr"], r["count"]) for r in got.collect()} == {("1.2.0.0/16", 4), ("9.9.9.0/24", 1), ("9.9.8.0/24", 1)}
+    assert {(r["cidr"], r["count"]) for r in got.collect()} == {("1.2.0.0/16", 4), ("9.9.9.0/24", 1), ("9.9.8.0/24", 1), ("fe80::/24", 1)}
+
+
+def test_networks_of_every_spelling_as_the_standard_library_tells_them(spark):
+    good = ["::", "::1", "1::", "fe80::1%eth0", "2001:DB8::", "2001:db8:1:2:3:4:5:6", "1:2:3:4:5:6:7::", "::2:3:4:5:6:7:8",
+            "::ffff:1.2.3.4", "64:ff9b::192.0.2.33", "1:2:3:4:5:6:1.2.3.4", "0:d00::1", "2a02:00ff::9", "1.2.3.4"]
+    bad = [":", ":::", "1:2", "1:2:3:4:5:6:7:8:9", "1::2::3", "12345::", "::1.2.3", "::1.2.3.400", "g::", "1:2:3:4:5:6:7:8::", "::%",
+           "1:2:3:4:5:6:7:", ":1:2:3:4:5:6:7", "1.2.3.4::", "::1.2.3.4:5"]
+    for ip in good:
+        net = ipaddress.ip_network(f"{ipaddress.ip_address(ip)}/24", strict=False)
+        got = dashboard.cidr_groups(spark.createDataFrame([(ip,)], "public_ip string")).collect()
+        assert [(r["cidr"], r["count"]) for r in got] == [(str(net), 1)], ip
+    for ip in bad:
+        with pytest.raises(ValueError):
+            ipaddress.ip_address(ip)
+    assert not dashboard.cidr_groups(spark.createDataFrame([(ip,) for ip in bad], "public_ip string")).collect()
+    many = ["2001:100::1", "2001:200::1", "2001:300::1", "2001:300::2"]
+    got = dashboard.cidr_groups(spark.createDataFrame([(ip,) for ip in many], "public_ip string"))
+    assert [tuple(r) for r in got.collect()] == [("2001::/16", 4)]
+
+
+def test_facets_of_many_free_names(spark):
+    lists = [f"name {i}, Name {i // 7}x" for i in range(20_000)] + ["", "a,,a", "A"]
+    got = {r["name"]: r["count"] for r in dashboard.connection_facets(spark.createDataFrame([(x,) for x in lists], "connection_type string")).collect()}
+    assert len(got) == 20_000 + len({i // 7 for i in range(20_000)}) + 2
+    assert got["name 19999"] == 1 and got["a"] == got["A"] == 20_002
+    # "name 5" is in "name 5…" of both columns, whatever the case.
+    assert got["name 5"] == sum("name 5" in x.lower() for x in lists)
 
 
 def test_filters_combine(spark):
