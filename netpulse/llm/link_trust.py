@@ -133,7 +133,8 @@ def propagate(links: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataF
             F.sum(F.coalesce("seeds", F.lit(0)) - F.coalesce("seeds_before", F.lit(0))).alias("seeds"),
         ).first()
         scores, done = later, done + 1
-        if (moved["seeds"] or 0) <= BOUND and (done >= rounds or not moved["scores"]):
+        still = moved["seeds"] or 0
+        if (done >= rounds and still <= BOUND) or not (moved["scores"] or still):
             return scores
 
 

@@ -12,7 +12,7 @@ from netpulse.llm.cross_polytope import nearest
 from netpulse.llm.language_id import language_id
 from netpulse.llm.lm_score import lm_scores
 from netpulse.llm.line_spread import MIN_SITES, line_dedup
-from netpulse.llm.link_trust import DAMPING, MARGIN, ROUNDS, RULES, UNIT, url_verdicts
+from netpulse.llm.link_trust import BOUND, DAMPING, MARGIN, ROUNDS, RULES, SEED, UNIT, url_verdicts
 from netpulse.llm.multiset_hash import multiset_hash
 from netpulse.llm.near_dedup import near_duplicates
 from netpulse.llm.prefix_trie import prefix_trie
@@ -141,9 +141,27 @@ score{i + 1} AS (SELECT coalesce(s.host, h.host) AS host, coalesce(s.kind, h.kin
   FROM start s FULL JOIN heard{i} h ON s.host = h.host AND s.kind = h.kind)"""
         for i in range(ROUNDS)
     )
+    own = SEED * (100 - DAMPING) // 100
+    # A step holds every host of either kind; the last step is the first that changes little enough after ROUNDS rounds.
+    seeded = f"""
+seed_step(step, host, kind, seeds, before) AS (
+  SELECT 0, host, kind, {own}::HUGEINT, 0::HUGEINT FROM start
+  UNION ALL SELECT * FROM (
+    WITH alive AS (SELECT * FROM seed_step
+        WHERE step < {ROUNDS} OR (SELECT sum(seeds - before) FROM seed_step) > {BOUND}),
+      heard AS (SELECT there AS host, w.kind AS kind, sum(seeds * (links * {DAMPING}) // (all_links * 100)::HUGEINT) AS part
+        FROM ways w JOIN alive a ON w.here = a.host AND w.kind = a.kind GROUP BY ALL),
+      hosts AS (SELECT host, kind FROM alive UNION SELECT host, kind FROM heard)
+    SELECT (SELECT max(step) FROM alive) + 1, h.host, h.kind,
+      CASE WHEN s.host IS NULL THEN 0 ELSE {own} END + coalesce(part, 0), coalesce(a.seeds, 0)
+    FROM hosts h LEFT JOIN start s ON s.host = h.host AND s.kind = h.kind
+      LEFT JOIN heard d ON d.host = h.host AND d.kind = h.kind LEFT JOIN alive a ON a.host = h.host AND a.kind = h.kind)),
+by_seeds AS (SELECT host, max(seeds) FILTER (WHERE kind = 'trust') AS trust_seeds,
+    max(seeds) FILTER (WHERE kind = 'distrust') AS distrust_seeds
+  FROM seed_step WHERE step = (SELECT max(step) FROM seed_step) GROUP BY host),"""
     link = r"""(?i)\bhref\s*=\s*["'']?([^"''\s>]+)"""
     return f"""
-WITH split AS (SELECT page_id, html, {_host('url')} AS host,
+WITH RECURSIVE split AS (SELECT page_id, html, {_host('url')} AS host,
     coalesce(regexp_extract({_after('url')}, '^[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
 judged AS (SELECT *, {case(lambda h, p, v: h + p)} AS rule, {case(lambda h, p, v: v)} AS decided FROM split),
 links AS (SELECT host AS from_host, unnest(regexp_extract_all(html, '{link}', 1)) AS link FROM split),
@@ -158,13 +176,13 @@ sides AS (SELECT host, bool_or(decided = 'block') AS bad, bool_or(decided = 'all
   FROM judged WHERE decided IS NOT NULL AND host <> '' GROUP BY host),
 seeds AS (SELECT host, CASE WHEN bad THEN 'distrust' ELSE 'trust' END AS kind FROM sides WHERE bad <> good),
 start AS (SELECT host, kind, {UNIT} // count(*) OVER (PARTITION BY kind) AS base FROM seeds),
-score0 AS (SELECT host, kind AS kind2, base AS score FROM start){rounds},
+score0 AS (SELECT host, kind AS kind2, base AS score FROM start){rounds},{seeded}
 by_host AS (SELECT host, max(score) FILTER (WHERE kind2 = 'trust') AS trust,
     max(score) FILTER (WHERE kind2 = 'distrust') AS distrust FROM score{ROUNDS} GROUP BY host)
 SELECT page_id, j.host AS host, path, rule, coalesce(decided,
-    CASE WHEN coalesce(distrust, 0) > coalesce(trust, 0) + {MARGIN} THEN 'block' ELSE 'allow' END) AS verdict,
+    CASE WHEN coalesce(distrust_seeds, 0) > coalesce(trust_seeds, 0) + {MARGIN * SEED // UNIT} THEN 'block' ELSE 'allow' END) AS verdict,
   coalesce(trust, 0)::BIGINT AS trust, coalesce(distrust, 0)::BIGINT AS distrust
-FROM judged j LEFT JOIN by_host b ON j.host = b.host"""
+FROM judged j LEFT JOIN by_host b ON j.host = b.host LEFT JOIN by_seeds c ON j.host = c.host"""
 
 
 def _collocations_sql() -> str:
