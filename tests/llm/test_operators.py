@@ -325,6 +325,10 @@ def test_link_trust_does_not_depend_on_the_number_of_seeds(spark):
     for n in (1, 400):
         got = link_trust.url_verdicts(pages(n)).toPandas()
         assert (got["verdict"] == "block").sum() == len(got) == 2 * n + 12
+        con = duckdb.connect()
+        frame = pages(n).toPandas()
+        con.register("pages", frame)
+        assert compare(got, con.sql(queries.ORACLES["op6_link_trust"]).df()) == "ok"
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
@@ -348,6 +352,26 @@ def test_line_dedup(spark, awkward, empty):
     assert {r["line"]: r["n"] for r in merged.collect()} == exact
 
 
+def test_line_dedup_keeps_columns_of_any_name(spark):
+    names = ["removed", "_gone_id", "n_lines", "n_removed", "row", "id", "tie", "gone_id", "gone_tie", "line", "first", "part", "a.b"]
+    rows = [(i, f"own {i}\nshared", f"s{i}", *[f"{n}{i}" for n in names]) for i in range(6)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"`{n}` string" for n in names))
+    out = line_spread.without_boilerplate(frame)
+    assert out.columns == frame.columns
+    got = {r[0]: tuple(r) for r in out.collect()}
+    assert got == {r[0]: (r[0], r[1] if r[0] == 0 else f"own {r[0]}", *r[2:]) for r in rows}
+    assert {r["n_removed"] for r in line_spread.line_dedup(frame).collect()} == {0, 1}
+
+
+def test_line_dedup_counts_sites_exactly_near_the_threshold_only(spark):
+    """Lines on 1 to 40 sites, each repeated on its sites, against plain counts; no exchange of all (line, site) pairs."""
+    rows = [(1000 * n + i, f"line {n}\nown {n} {i}", f"s{i % n}") for n in range(1, 41) for i in range(2 * n)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for least in (5, 12):
+        got = {r["doc_id"]: r["n_removed"] for r in line_spread.line_dedup(frame, least).collect()}
+        assert got == {d: int(d // 1000 >= least and d % 1000 > 0) for d, _, _ in rows}
+
+
 def test_multiset_hash(spark, sf_dir, docs, awkward, empty):
     got = queries.op8_multiset_hash(spark, sf_dir).toPandas().sort_values("doc_id")
     texts = list(docs["text"])
