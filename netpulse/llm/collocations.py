@@ -26,7 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from netpulse.llm.count_automata import CountAutomaton, Names, Sequences, summed, union
-from netpulse.llm.text import SLICE, hashed_runs
+from netpulse.llm.text import SLICE, hashed_runs, small_batches
 from netpulse.sinks.tables import written
 
 UNKNOWN = "und"
@@ -326,12 +326,13 @@ def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, be
     phrase. An empty table, or one without a frequent phrase, gives no row.
     """
     spark = docs.sparkSession
-    shards = written(shard_automata(docs, longest), "phrase-shards")
-    windows = shards.agg(F.sum("windows")).first()[0] or 0
-    number = max(int(spark.conf.get("spark.sql.shuffle.partitions")), windows // RANGE + 1)
-    bounds = range_bounds(shards, number)
-    found = written(united(shards, bounds, longest, least), "phrase-counts")
-    counts = written(part_counts(found, longest, len(bounds) + 1), "phrase-parts")
+    with small_batches(spark):
+        shards = written(shard_automata(docs, longest), "phrase-shards")
+        windows = shards.agg(F.sum("windows")).first()[0] or 0
+        number = max(int(spark.conf.get("spark.sql.shuffle.partitions")), windows // RANGE + 1)
+        bounds = range_bounds(shards, number)
+        found = written(united(shards, bounds, longest, least), "phrase-counts")
+        counts = written(part_counts(found, longest, len(bounds) + 1), "phrase-parts")
     phrases = found.where("kind = 'phrase'").select("lang", "words", F.size("words").alias("size"), "a")
     cuts = phrases.select("*", F.explode(F.sequence(F.lit(1), F.col("size") - 1)).alias("k")).withColumns({
         "first": F.slice("words", F.lit(1), F.col("k")), "rest": F.slice("words", F.col("k") + 1, F.col("size") - F.col("k")),

@@ -8,10 +8,13 @@ two of a million different words agree with a probability of about 3e-8.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
+from pyspark.sql import SparkSession
 
 # Fixed value of the contracts: a word is a run of anything but these six characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -31,6 +34,20 @@ _WHOLE = re.compile("<\\||[̀-ͯ]")
 SLICE = 1 << 19
 CACHE_WORDS = 400_000
 _TABLE = 1 << 20
+# Bytes of one batch between the JVM and a worker, of which both sides hold two at a time.
+BATCH = 8 << 20
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs that run inside send rows to their workers in batches of about ``BATCH`` bytes; the session's own size returns afterwards."""
+    before = spark.conf.get(_BATCH_BYTES)
+    spark.conf.set(_BATCH_BYTES, BATCH)
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH_BYTES, before)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
