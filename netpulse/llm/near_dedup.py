@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from netpulse.llm.text import mix64, shingle_set
+from netpulse.llm.text import mix64, shingle_set, small_batches
 from netpulse.sinks.tables import written
 
 CHUNKS, LANES, BITS = 14, 8, 6
@@ -400,34 +400,35 @@ def near_duplicates(
     An empty table gives no row; columns but doc_id and text are left out.
     """
     docs = docs.select("doc_id", "text")
-    signed = written(sign(docs, width), "signed")
-    usable = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    same_set = ["n_shingles", "set_a", "set_b"]
-    # Equal sets have equal signatures: one class, whatever its number of documents.
-    classes = written(
-        usable.groupBy(*same_set).agg(F.min("doc_id").alias("id"), *[F.min(s).alias(s) for s in SIGNATURE]), "classes"
-    )
-    # 112 keys a class: the classes are dealt to all tasks first.
-    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = classes.repartition(tasks, "id").select("id", F.explode(_keys()).alias("key"))
-    shared = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "shared")
-    members = written(keyed.join(_checked(shared), "key", "left_semi"), "buckets")
-    links, labels = None, None
-    for step in range(orders + 1):
-        members = written(_labelled(members.select("key", "id"), labels), "members")
-        if not members.limit(1).count():
-            break
-        if step < orders:
-            near = written(_with_signature(star_pairs(members, step), classes), "near")
-            if not near.limit(1).count():
+    with small_batches(docs.sparkSession):
+        signed = written(sign(docs, width), "signed")
+        usable = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
+        same_set = ["n_shingles", "set_a", "set_b"]
+        # Equal sets have equal signatures: one class, whatever its number of documents.
+        classes = written(
+            usable.groupBy(*same_set).agg(F.min("doc_id").alias("id"), *[F.min(s).alias(s) for s in SIGNATURE]), "classes"
+        )
+        # 112 keys a class: the classes are dealt to all tasks first.
+        tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        keyed = classes.repartition(tasks, "id").select("id", F.explode(_keys()).alias("key"))
+        shared = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "shared")
+        members = written(keyed.join(_checked(shared), "key", "left_semi"), "buckets")
+        links, labels = None, None
+        for step in range(orders + 1):
+            members = written(_labelled(members.select("key", "id"), labels), "members")
+            if not members.limit(1).count():
+                break
+            if step < orders:
+                near = written(_with_signature(star_pairs(members, step), classes), "near")
+                if not near.limit(1).count():
+                    continue
+                fresh = written(confirm(near, docs, width, percent), "links")
+            else:
+                fresh = written(cross_links(members, classes, docs, width, percent, bucket, cell), "links")
+            if not fresh.limit(1).count():
                 continue
-            fresh = written(confirm(near, docs, width, percent), "links")
-        else:
-            fresh = written(cross_links(members, classes, docs, width, percent, bucket, cell), "links")
-        if not fresh.limit(1).count():
-            continue
-        links = fresh if links is None else links.union(fresh)
-        labels = components(links)
+            links = fresh if links is None else links.union(fresh)
+            labels = components(links)
     lowest = classes.select(*same_set, F.col("id").alias("class_id"))
     out = signed.join(lowest, same_set, "left")
     if labels is not None:
