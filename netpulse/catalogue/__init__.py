@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import functions as F
 
-MODULES = ("rollups", "views", "quality", "operations", "runs")
+MODULES = ("rollups", "views", "quality", "operations", "runs", "landed")
 
 
 def _gather(name: str) -> dict:

@@ -170,6 +170,31 @@ def dashboard_bundle(view_rows: DataFrame, mode: str, tie_break: list[str]) -> d
     return parts
 
 
+# Parts of a bundle that are rows of the view and not statistics of it.
+_ROW_PARTS = ("rows", "chart")
+
+
+def labelled(parts: dict[str, DataFrame]) -> DataFrame:
+    """The statistics of a bundle as one table: ``part, item, metric, value, text``.
+
+    Text columns of a part name the item (a connection, a network, a record with its date); each number is a row with
+    ``value``. A part of one row and no text has an empty item. The server of a record and of the summary is a ``text``.
+    """
+    out = None
+    for name, df in parts.items():
+        if name in _ROW_PARTS:
+            continue
+        shown = [c for c in df.columns if c in ("server", "top_server_over_period")]
+        numbers = [c for c, kind in df.dtypes if kind != "string" and c != "date_ist"]
+        named = [c for c in df.columns if c not in shown and c not in numbers]
+        cells = [F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value"), F.lit(None).cast("string").alias("text")) for c in numbers]
+        cells += [F.struct(F.lit(c).alias("metric"), F.lit(None).cast("double").alias("value"), F.col(c).alias("text")) for c in shown]
+        item = F.concat_ws(" ", *[F.col(c).cast("string") for c in named])
+        rows = df.select(F.lit(name).alias("part"), item.alias("item"), F.inline(F.array(*cells)))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def availability(measurements: DataFrame, summaries: dict[str, DataFrame]) -> DataFrame:
     """Rows and first and last label of the raw data and of each level given."""
     levels = {"minutes": (measurements, timeparts.period_label(F.col("bucket_start"), "minute"))}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from netpulse.config import ALL_HOSTS
 from netpulse.functions import timeparts
 from netpulse.operators import quality
 from netpulse.session import fresh_folder
@@ -102,6 +103,29 @@ def as_documents(summaries: DataFrame, level: str, thresholds: bool = True) -> D
     return body.select("host_id", "period", doc.alias("doc"))
 
 
+def export_documents(docs: DataFrame, level: str, root: str) -> None:
+    """``host_id, period, doc`` as text below ``root``, one document a line, in the folders of the level.
+
+    ``root`` belongs to this level alone: replacing a month would take the days below it along.
+    Rows of all hosts together go to ``year=…/…``, those of one host to ``host=…/year=…/…``.
+    A repeated run replaces the periods it produced.
+    """
+    rows = docs.withColumns(_path_parts(F.col("period"), PARTITIONS[level]))
+    for own in (False, True):
+        names = ["host", *PARTITIONS[level]] if own else PARTITIONS[level]
+        part = rows.where((F.col("host_id") != ALL_HOSTS) if own else (F.col("host_id") == ALL_HOSTS))
+        if own:
+            part = part.withColumn("host", F.col("host_id"))
+        (
+            part.select("doc", *names)
+            .hint("rebalance", *names)
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy(*names)
+            .text(root)
+        )
+
+
 def land_raw(raw: DataFrame, path: str, depth: list[str], legacy: bool = False, mode: str = "append") -> None:
     """Raw records as JSON under ``host=…/year=…/…``, or without host for legacy ones.
 
@@ -142,6 +166,31 @@ def append_manifest(manifest: DataFrame, path: str) -> None:
     manifest.write.mode("append").parquet(path)
 
 
+def write_manifest_run(manifest: DataFrame, path: str) -> None:
+    """Entries of a run, by run and type: a run that is repeated after a failure replaces its own and adds none twice."""
+    rows = manifest.withColumn("run", F.date_format("timestamp", "yyyyMMddHHmmss"))
+    (
+        rows.hint("rebalance", "run", "type")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("run", "type")
+        .parquet(path)
+    )
+
+
+def manifest_documents(manifest: DataFrame, per_document: int = 1000) -> DataFrame:
+    """Manifest entries as documents ``timestamp, files_created, files`` of about ``per_document`` files each.
+
+    A run may produce any number of files, so its entries are dealt by their key over as many documents as that takes.
+    """
+    runs = manifest.groupBy("timestamp").agg(F.ceil(F.count(F.lit(1)) / per_document).alias("_documents"))
+    dealt = manifest.join(runs, "timestamp").withColumn("_at", F.pmod(F.xxhash64("type", "key"), F.col("_documents")))
+    files = F.collect_list(F.struct("bucket", "key", "type")).alias("files")
+    return dealt.groupBy("timestamp", "_at").agg(F.count(F.lit(1)).alias("files_created"), files).select(
+        F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"), "files_created", "files"
+    )
+
+
 def write_version(rows: DataFrame, path: str, partitions: list[str]) -> None:
     """A new version of a table in a folder of its own.
 

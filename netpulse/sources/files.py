@@ -50,7 +50,7 @@ def _layout(
     if multiline:
         reader = reader.option("multiLine", "true")
     if modified_after is not None:
-        reader = reader.option("modifiedAfter", modified_after.strftime("%Y-%m-%dT%H:%M:%S"))
+        reader = reader.option("modifiedAfter", modified_after.isoformat(timespec="microseconds"))
     try:
         df = reader.json(f"{root}/{pattern}")
     except AnalysisException as absent:
@@ -80,7 +80,7 @@ def read_raw(
 
     ``depth`` names the path levels below the host. ``bucket_start`` comes from the
     path when it reaches the minute; ``path_start`` is the start of the deepest level.
-    ``modified_after`` reads newer files only. A root may hold one layout or both;
+    ``modified_after`` (session time zone) reads newer files only. A root may hold one layout or both;
     one that holds neither is an error.
     """
     parts = []
@@ -147,6 +147,13 @@ def inventory(spark: SparkSession, root: str, pattern: str = "*.json") -> DataFr
     return listed.select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("size"))
 
 
+def newest(files: DataFrame) -> datetime | None:
+    """When the newest file of an ``inventory`` was written, for the next ``modified_after``; None without files."""
+    text = F.date_format(F.max("modified"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    found = files.select(text.alias("newest")).first()["newest"]
+    return datetime.fromisoformat(found) if found else None
+
+
 def host_of(path: Column) -> Column:
     found = F.nullif(F.regexp_extract(path, r"host=([^/]+)/", 1), F.lit(""))
     return F.coalesce(found, F.lit(LEGACY_HOST))
@@ -195,19 +202,19 @@ def keyed_inventory(files: DataFrame) -> DataFrame:
 # --- documents, manifests ---------------------------------------------------
 
 
-def documents(spark: SparkSession, root: str) -> DataFrame:
-    """Summary documents as text, one row per file: ``key, doc``."""
+def documents(spark: SparkSession, root: str, pattern: str = "*.json", whole: bool = True) -> DataFrame:
+    """Summary documents as text: ``key, doc``; one row per file, or per line where not ``whole``."""
     text = (
-        spark.read.option("pathGlobFilter", "*.json")
+        spark.read.option("pathGlobFilter", pattern)
         .option("recursiveFileLookup", "true")
-        .text(root, wholetext=True)
+        .text(root, wholetext=whole)
     )
     return text.select(F.col("_metadata.file_path").alias("key"), F.col("value").alias("doc"))
 
 
-def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Manifest entries: ``timestamp, bucket, key, type``."""
-    df = spark.read.schema(MANIFEST).option("multiLine", "true").json(path)
+def manifest(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+    """Manifest entries: ``timestamp, bucket, key, type``; one document per file, or per line where not ``multiline``."""
+    df = spark.read.schema(MANIFEST).option("multiLine", str(multiline).lower()).json(path)
     return df.select("timestamp", F.inline("files"))
 
 

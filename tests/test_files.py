@@ -193,3 +193,52 @@ def test_lists_are_whole_in_the_member_table(spark, sf_dir, tmp_path):
     sinks.write_members(members, str(tmp_path / "members"))
     back = sinks.read_summaries(spark, str(tmp_path / "members"))
     assert back.count() == members.count() and {r["kind"] for r in back.select("kind").distinct().collect()} >= {"host", "ip", "url"}
+
+
+def test_exported_documents_are_replaced_by_period(spark, tmp_path, sf_dir):
+    root = str(tmp_path / "daily")
+    days = rollup.daily(tables.measurements(spark, sf_dir)).persist()
+    docs = sinks.as_documents(days, "daily")
+    sinks.export_documents(docs, "daily", root)
+    some = docs.where("period = DATE '2024-01-05'")
+    sinks.export_documents(some.withColumn("doc", F.lit("again")), "daily", root)
+    read = files.documents(spark, root, "*.txt", whole=False)
+    assert read.count() == days.count()
+    assert read.where("doc = 'again'").count() == some.count() > 1
+    listed = files.keyed_inventory(files.inventory(spark, root, "*.txt"))
+    assert {r["level"] for r in listed.select("level").distinct().collect()} == {"daily"}
+    assert listed.where("period_key = '2024-01-05'").count() == some.count()
+
+
+def test_next_run_reads_what_came_after_the_newest_file(spark, tmp_path):
+    root, at = str(tmp_path), datetime(2025, 12, 29, 14, 0)
+    assert files.newest(files.inventory(spark, root)) is None
+    put(root, at, record(at, "h1"), "h1")
+    first = os.path.join(root, "host=h1/year=2025/month=202512/day=20251229/hour=2025122914/minute=202512291400/a.json")
+    os.utime(first, (1_700_000_000.25, 1_700_000_000.25))
+    put(root, at, record(at, "h1"), "h1", "b.json")
+    os.utime(first.replace("a.json", "b.json"), (1_700_000_000.5, 1_700_000_000.5))
+    listed = files.inventory(spark, root)
+    seen = files.newest(listed.where(F.col("path").endswith("a.json")))
+    assert seen == datetime(2023, 11, 14, 22, 13, 20, 250000)
+    assert [os.path.basename(r["path"]) for r in files.read_raw(spark, root, modified_after=seen).collect()] == ["b.json"]
+    assert files.read_raw(spark, root, modified_after=files.newest(listed)).count() == 0
+
+
+def test_manifest_of_any_length(spark, tmp_path):
+    when = datetime(2024, 2, 1)
+    entries = spark.range(2500).select(
+        F.lit(when).cast("timestamp_ntz").alias("timestamp"), F.lit("daily").alias("type"), F.lit("b").alias("bucket"),
+        F.concat(F.lit("k"), "id").alias("key"),
+    )
+    docs = sinks.manifest_documents(entries, 100).persist()
+    assert docs.count() == 25 and docs.agg(F.sum("files_created")).head()[0] == 2500
+    assert docs.where("files_created != size(files)").count() == 0
+    docs.write.json(str(tmp_path / "documents"))
+    back = files.manifest(spark, str(tmp_path / "documents"), multiline=False)
+    assert back.select("key").distinct().count() == back.count() == 2500
+    for _ in range(2):
+        sinks.write_manifest_run(entries, str(tmp_path / "table"))
+    sinks.write_manifest_run(entries.limit(3).withColumn("type", F.lit("weekly")), str(tmp_path / "table"))
+    assert spark.read.parquet(str(tmp_path / "table")).count() == 2503
+    assert sinks.manifest_documents(entries.where("key = ''")).count() == 0
