@@ -70,7 +70,7 @@ def summary_tables(spark, sf_dir):
     out = None
     for level, rows in _levels(spark, sf_dir).items():
         folder = session.fresh_folder(spark, f"{level}-table")
-        kept = rollup.as_period_means(rows).join(rows.select("host_id", "period", "records"), ["host_id", "period"]) if level in ("hourly", "daily") else rows
+        kept = rollup.as_period_means(rows, "records") if level in ("hourly", "daily") else rows
         kept = sinks.written(kept, level)
         for _ in range(2):
             sinks.write_summaries(kept, level, folder)

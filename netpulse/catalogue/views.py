@@ -351,11 +351,13 @@ _MEANS = f"""{_c(sql.mean('download_c'))} AS avg_download, {_c(sql.mean('upload_
 
 
 def week_over_week(spark, sf_dir):
-    return compare.period_over_period(rollup.weekly(rollup.daily(tables.measurements(spark, sf_dir))))
+    days = rollup.period_means(tables.measurements(spark, sf_dir), "daily")
+    return compare.period_over_period(rollup.coarser(days, "weekly"))
 
 
 def month_over_month(spark, sf_dir):
-    return compare.period_over_period(_months(spark, sf_dir))
+    days = rollup.period_means(tables.long_series(spark, sf_dir), "daily")
+    return compare.period_over_period(rollup.coarser(days, "monthly"))
 
 
 def _over(ctes: tuple, source: str) -> str:

@@ -204,8 +204,27 @@ def daily(measurements: DataFrame) -> DataFrame:
     return summaries(measurements, "daily")
 
 
-def as_period_means(daily_summaries: DataFrame) -> DataFrame:
-    """Daily summaries reduced to what coarser levels read."""
+def period_means(measurements: DataFrame, level: str) -> DataFrame:
+    """``host_id, period, records`` and the means of hours or days, straight from measurements.
+
+    The same means as in the summaries without their ranks and lists: sums and counts combine map-side, and those of
+    ``all`` are added up from one row per host and period.
+    """
+    columns = {"avg_download": "download_c", "avg_upload": "upload_c", "avg_ping": "ping_c"}
+    sums = [F.sum(c).alias(c) for c in columns.values()] + [F.count(c).alias(f"{c}_n") for c in columns.values()]
+    hosts = (
+        measurements.where(is_valid())
+        .groupBy("host_id", timeparts.period_of(F.col("bucket_start"), level).alias("period"))
+        .agg(F.count(F.lit(1)).alias("records"), *sums)
+    )
+    added = ["records", *columns.values(), *[f"{c}_n" for c in columns.values()]]
+    totals = with_all_hosts(hosts).groupBy("host_id", "period").agg(*[F.sum(c).alias(c) for c in added])
+    means = [exact.from_hundredths(exact.mean_hundredths(F.col(c), F.col(f"{c}_n"))).alias(name) for name, c in columns.items()]
+    return totals.select("host_id", "period", "records", *means)
+
+
+def as_period_means(daily_summaries: DataFrame, *others: str) -> DataFrame:
+    """Daily summaries reduced to what coarser levels read, and ``others``."""
     return daily_summaries.select(
         "host_id",
         "period",
@@ -213,6 +232,7 @@ def as_period_means(daily_summaries: DataFrame) -> DataFrame:
         F.col("overall.upload_mbps.avg").alias("avg_upload"),
         F.col("overall.ping_ms.avg").alias("avg_ping"),
         "connection_types",
+        *others,
     )
 
 
@@ -223,14 +243,14 @@ def coarser(means: DataFrame, level: str) -> DataFrame:
     """Weeks and months from days, years from months: plain means of rounded means.
 
     Inputs hold one row per host and period, so the lists gathered here have at
-    most 31 short members.
+    most 31 short members. Means without connection types give means without them.
     """
 
     def mean(c: str) -> Column:
         total = F.sum(exact.hundredths(F.col(c)))
         return exact.from_hundredths(exact.mean_hundredths(total, F.count(c))).alias(c)
 
-    types = F.flatten(F.collect_list("connection_types"))
+    types = F.sort_array(F.array_distinct(F.flatten(F.collect_list("connection_types")))).alias("connection_types")
     return (
         means.withColumn("period", timeparts.period_of(F.col("period").cast("timestamp_ntz"), level))
         .groupBy("host_id", "period")
@@ -239,7 +259,7 @@ def coarser(means: DataFrame, level: str) -> DataFrame:
             mean("avg_download"),
             mean("avg_upload"),
             mean("avg_ping"),
-            F.sort_array(F.array_distinct(types)).alias("connection_types"),
+            *([types] if "connection_types" in means.columns else []),
         )
     )
 

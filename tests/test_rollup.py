@@ -195,3 +195,17 @@ def test_members_are_whole(spark):
     assert urls.count() == len([r for r in good if r[11].startswith("http")])
     ips = {r["item"] for r in members.where("host_id = 'all' and kind = 'ip'").collect()}
     assert ips == {r[9] for r in good}
+
+
+def test_means_without_ranks_equal_those_of_summaries(spark, sf_dir):
+    m = tables.measurements(spark, sf_dir)
+    for level in ("hourly", "daily"):
+        whole = rollup.as_period_means(rollup.summaries(m, level), "records").drop("connection_types")
+        means = rollup.period_means(m, level).select(*whole.columns)
+        assert means.count() == whole.count() > 0
+        assert means.exceptAll(whole).isEmpty()
+    weeks = rollup.coarser(rollup.period_means(m, "daily"), "weekly")
+    wanted = rollup.weekly(rollup.daily(m)).select(*weeks.columns)
+    assert "connection_types" not in weeks.columns
+    assert weeks.exceptAll(wanted).isEmpty() and wanted.exceptAll(weeks).isEmpty()
+    assert rollup.period_means(m.where("host_id = ''"), "daily").count() == 0
