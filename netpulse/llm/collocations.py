@@ -45,6 +45,8 @@ _INSIDE = np.ones(256, bool)
 _INSIDE[list(BREAKS + BLANKS)] = False
 _BREAK = np.zeros(256, bool)
 _BREAK[list(BREAKS)] = True
+# Rows of megabytes: a page or a row group ends at its size, not after the hundred rows the writer waits for.
+EACH_ROW = {"parquet.page.size.row.check.min": "1", "parquet.block.size.row.check.min": "1"}
 FOUND = "kind string, bucket int, lang string, words array<long>, name string, a long, automaton binary"
 
 
@@ -52,7 +54,7 @@ class Words:
     """The words of many texts as numbers of a dictionary, with the piece and the tag of each."""
 
     def __init__(self) -> None:
-        self.names: dict[int, bytes] = {}
+        self.names: list[Names] = []
         self.tags: dict[str, int] = {}
         self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.size = self.pieces = 0
@@ -68,9 +70,7 @@ class Words:
             hashes, starts, stops = hashed_runs(part, _INSIDE)
             hashes = hashes.view(np.int64)
             new, first = np.unique(hashes, return_index=True)
-            for h, i in zip(new.tolist(), first.tolist(), strict=True):
-                if h not in self.names:
-                    self.names[h] = part[starts[i] : stops[i]].lower()
+            self.names.append(Names.of(part.lower(), new, starts[first], stops[first]))
             breaks = np.cumsum(_BREAK[np.frombuffer(part, np.uint8)])
             self.parts.append((hashes, self.pieces + breaks[starts], tag[np.searchsorted(ends, at + starts, "right")]))
             self.pieces += int(breaks[-1])
@@ -80,21 +80,27 @@ class Words:
     def automaton(self, longest: int) -> CountAutomaton:
         """All windows, each padded where its piece ends."""
         hashes, piece, tag = (np.concatenate(x) for x in zip(*self.parts, strict=True))
-        found, which = np.unique(hashes, return_inverse=True)
+        names = Names.union(self.names)
+        # What is joined needs its parts no longer.
+        self.parts, self.names = [], []
+        found = names.hashes
+        which = np.searchsorted(found, hashes).astype(np.int32)
+        del hashes
         tags = np.empty(len(self.tags), object)
         tags[:] = [t.encode("utf-8", "surrogatepass") for t in self.tags]
         by_tag = np.argsort(tags, kind="stable")
         tag_rank = np.empty(len(tags), np.int64)
         tag_rank[by_tag] = np.arange(len(tags))
-        word = which + 1
-        columns = [tag_rank[tag], word]
+        word = which + np.int32(1)
+        columns = [tag_rank[tag].astype(np.int32), word]
         for k in range(1, longest):
-            next_word = np.zeros(len(word), np.int64)
+            next_word = np.zeros(len(word), np.int32)
             same = piece[k:] == piece[:-k]
             next_word[: len(same)][same] = word[k:][same]
             columns.append(next_word)
         rows, weight = summed(columns, np.ones(len(word), np.int64))
-        return CountAutomaton.build(rows, weight, found, tags[by_tag], Names.of(self.names))
+        del columns, piece, tag, word, which
+        return CountAutomaton.build(rows, weight, found, tags[by_tag], names)
 
 
 def _cut(data: bytes, at: int) -> int:
@@ -327,7 +333,7 @@ def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, be
     """
     spark = docs.sparkSession
     with small_batches(spark):
-        shards = written(shard_automata(docs, longest), "phrase-shards")
+        shards = written(shard_automata(docs, longest), "phrase-shards", **EACH_ROW)
         windows = shards.agg(F.sum("windows")).first()[0] or 0
         number = max(int(spark.conf.get("spark.sql.shuffle.partitions")), windows // RANGE + 1)
         bounds = range_bounds(shards, number)

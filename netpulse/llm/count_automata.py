@@ -63,10 +63,18 @@ class Names(NamedTuple):
         return Names(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8))
 
     @staticmethod
-    def of(spelled: dict[int, bytes]) -> Names:
-        hashes = np.array(sorted(spelled), np.int64)
-        words = [spelled[h] for h in hashes.tolist()]
-        return Names(hashes, np.array([len(w) for w in words], np.int64), np.frombuffer(b"".join(words), np.uint8))
+    def of(data: bytes, hashes: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> Names:
+        """The names of the words at some places of bytes; ``hashes`` ascend."""
+        sizes = stops - starts
+        return Names(hashes, sizes, np.frombuffer(data, np.uint8)[ranges(starts, sizes)])
+
+    @staticmethod
+    def union(parts: list[Names]) -> Names:
+        """The names of all parts, each once."""
+        hashes, sizes, body = (np.concatenate(x) for x in zip(*parts, strict=True))
+        starts = np.cumsum(sizes) - sizes
+        hashes, at = np.unique(hashes, return_index=True)
+        return Names(hashes, sizes[at], body[ranges(starts[at], sizes[at])])
 
     def some(self, wanted: np.ndarray) -> Names:
         """The names of those of the sorted ``wanted`` hashes that are here."""
@@ -84,7 +92,8 @@ class _Level:
     """The states of one level under construction."""
 
     def __init__(self) -> None:
-        self.register: dict[int, int] = {}
+        # Sorted first hashes of frozen states and their numbers, one pair a block: a few bytes a state.
+        self.register: list[tuple[np.ndarray, np.ndarray]] = []
         self.second: list[np.ndarray] = []
         self.states = 0
         self.label: list[np.ndarray] = []
@@ -114,15 +123,22 @@ class _Level:
             both = np.stack([one, two], axis=1)
             _, first, which = np.unique(both, axis=0, return_index=True, return_inverse=True)
             which = which.reshape(-1)
-        names = one[first].tolist()
-        number = np.fromiter((self.register.get(name, -1) for name in names), np.int64, len(names))
+        names = one[first]
+        number = np.full(len(names), -1, np.int64)
+        for held, states in self.register:
+            at = places(held, names)
+            number = np.where(at >= 0, states[at], number)
         known = number >= 0
+        unheard = ~known
         second = np.concatenate([*self.second, np.zeros(0, np.uint64)]) if known.any() else one[:0]
         # A state whose first hash alone is known stays a state of its own.
         known[known] = second[number[known]] == two[first[known]]
         fresh = np.flatnonzero(~known)
         number[fresh] = self.states + np.arange(len(fresh))
-        self.register.update((names[i], n) for i, n in zip(fresh.tolist(), number[fresh].tolist(), strict=True) if names[i] not in self.register)
+        unheard = np.flatnonzero(unheard)
+        held, at = np.unique(names[unheard], return_index=True)
+        if len(held):
+            self.register.append((held, number[unheard[at]]))
         self.second.append(two[first[fresh]])
         self.states += len(fresh)
         fresh = first[fresh]

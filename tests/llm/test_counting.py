@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -12,6 +13,7 @@ import pandas as pd
 import pytest
 
 from netpulse.llm import collocations, count_automata, elias_fano, lm_score, near_dedup, prefix_trie, queries
+from netpulse.llm.text import hashed_runs
 from tools.check import compare, oracle_connection
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -53,6 +55,24 @@ def test_queries_equal_their_sql(spark, sf_dir, oracle, name):
 # Collocations
 
 
+def test_automata_of_many_words_take_no_object_a_word():
+    text = " ".join(f"w{i}x{i * 7919 % 1000003}" for i in range(100_000))
+    hashed_runs(b"a ", collocations._INSIDE)
+    held = collocations.Words()
+    tracemalloc.start()
+    try:
+        held.add(["en"], [text])
+        kept = tracemalloc.get_traced_memory()[0]
+        tracemalloc.reset_peak()
+        built = held.automaton(3)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert b"w99999x" + str(99999 * 7919 % 1000003).encode() in built.names.spelled().values() and len(built.words) == 100_000
+    # Bytes a word at most, held and while building (with Python objects for words and states: 158 and 799).
+    assert kept < 100 * 100_000 and peak < 550 * 100_000
+
+
 def plain_phrases(docs, longest, least, best):
     counts, n = defaultdict(Counter), Counter()
     for lang, text in docs:
