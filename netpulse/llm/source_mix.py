@@ -15,17 +15,16 @@ slots then join by (source, block).
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
-from netpulse.llm.text import WORD, mix64
+from netpulse.llm.text import SPACE, WORD, mix64
 from netpulse.sinks.tables import written
 
 WEIGHTS = (5, 2, 1)
@@ -179,15 +178,25 @@ def draw_slots(spark, table: pd.DataFrame, seed: int, block: int, per_shard: int
     return spark.range(0, shards, 1, max(1, min(shards, spark.sparkContext.defaultParallelism * 4))).mapInPandas(task, SLOT_ROWS)
 
 
+def _source_rows(spark: SparkSession, table: pd.DataFrame) -> DataFrame:
+    """of, source_no, source_size and target of each source.
+
+    Arrow data become a table in the JVM; a list of rows would go through workers of another kind, which stay beside those of the queries.
+    """
+    columns = [
+        pa.array(table["source"].tolist(), pa.string()), pa.array(table["source_no"].tolist(), pa.int32()),
+        pa.array(table["source_size"].tolist(), pa.int64()), pa.array(table["target"].tolist(), pa.float64()),
+    ]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, names=["of", "source_no", "source_size", "target"]))
+
+
 def block_parts(docs: DataFrame, table: pd.DataFrame, block: int) -> DataFrame:
     """Documents cut at the blocks of their source: source_no, block, and the words [from, to) of the document.
 
     ``docs`` are placed; a document without words has no part.
     """
     spark = docs.sparkSession
-    numbers = spark.createDataFrame(
-        [(s, int(n)) for s, n in zip(table["source"], table["source_no"], strict=True)], "of string, source_no int"
-    )
+    numbers = _source_rows(spark, table).select("of", "source_no")
     rows = docs.where("size > 0").join(F.broadcast(numbers), F.col("source").eqNullSafe(F.col("of"))).drop("of")
     whole = F.sequence(F.expr(f"begin div {block}"), F.expr(f"(end - 1) div {block}"))
     rows = rows.withColumn("block", F.explode(whole))
@@ -198,18 +207,15 @@ def block_parts(docs: DataFrame, table: pd.DataFrame, block: int) -> DataFrame:
     })
 
 
-@F.pandas_udf(StringType())
-def _cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
-    """The words [at, upto) of each span with the space after each; null spans: the whole text."""
-    out = []
-    for text, span in zip(texts, spans, strict=True):
-        if span is None:
-            out.append(text)
-            continue
-        starts = [m.start() for m in re.finditer(WORD, text)] + [len(text)]
-        starts[0] = 0
-        out.append("".join(text[starts[a] : starts[b]] for a, b in zip(span[::2], span[1::2], strict=True)))
-    return pd.Series(out)
+def _cut(text: str, spans: str) -> Column:
+    """The words [at, upto) of each span with the space after each, the first word with the space before it."""
+    pieces = F.regexp_extract_all(text, F.lit(f"(?:^{SPACE}+)?{WORD}{SPACE}*"), F.lit(0))
+
+    def joined(held: Column) -> Column:
+        return F.array_join(F.flatten(F.transform(spans, lambda s: F.slice(held, s["at"] + 1, s["upto"] - s["at"]))), "")
+
+    # An array of one: the text is cut into pieces once, not once a span.
+    return F.transform(F.array(pieces), joined)[0]
 
 
 class Mix:
@@ -243,11 +249,7 @@ def source_mix(
     """
     mix = Mix(docs, weights, most, seed, block)
     counted = mix.takes().groupBy("source_no", "begin").agg(F.sum(F.col("upto") - F.col("at")).alias("taken"))
-    table = mix.table[["source", "source_no", "source_size", "target"]]
-    info = docs.sparkSession.createDataFrame(
-        [(r.source, int(r.source_no), int(r.source_size), float(r.target)) for r in table.itertuples()],
-        "of string, source_no int, source_size long, target double",
-    )
+    info = _source_rows(docs.sparkSession, mix.table)
     rows = mix.placed.join(F.broadcast(info), F.col("source").eqNullSafe(F.col("of"))).drop("of")
     has = rows.where("size > 0").join(counted, ["source_no", "begin"], "left")
     none = rows.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
@@ -272,7 +274,7 @@ def mixed_documents(
         F.first("doc_id").alias("_id"), F.first("tie").alias("_tie"), F.first("size").alias("_size"), spans.alias("_spans")
     )
     whole = F.expr("aggregate(_spans, 0L, (n, s) -> n + s.upto - s.at)") == F.col("_size")
-    copies = copies.withColumn("_spans", F.when(~whole, F.flatten(F.transform("_spans", lambda s: F.array(s["at"], s["upto"])))))
+    copies = copies.withColumn("_spans", F.when(~whole, F.col("_spans")))
     # Rows equal in doc_id and text are told apart by number; one exchange serves the window and the join.
     keyed = F.coalesce("doc_id", F.lit(-(1 << 63)))
     same = W.partitionBy("_key", "_hash").orderBy(F.lit(1))
@@ -283,7 +285,8 @@ def mixed_documents(
         F.coalesce("_id", F.lit(-(1 << 63))).alias("_key"), F.col("_tie").alias("_hash"), "_copy", "_spans"
     )
     both = texts.join(copies, ["_key", "_hash"]).where("_nth = _copy")
-    out = both.withColumn("text", _cut("text", "_spans"))
+    # Texts stay in the JVM: workers, which other stages leave full, take no part.
+    out = both.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(_cut("text", "_spans")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast("long"))
     return out.select(*docs.columns)

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from netpulse.llm import best_fit, cross_polytope, language_id, line_spread, link_trust, multiset_hash, near_dedup, quality_qda, queries, source_mix, token_planes
-from netpulse.llm.text import TokenIds
+from netpulse.llm.text import WORD, TokenIds
 from tools.check import compare, oracle_connection
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -145,6 +145,19 @@ def test_source_mix(spark, sf_dir, docs, awkward, empty):
     assert source_mix.mixed_documents(empty).count() == 0
 
 
+def test_mix_cuts_texts_without_workers(spark, awkward):
+    texts = ["  a b\x0bc\n\nd  ", "\ta", "éü\x85x  y  日本 語\U0001f600 z\x1cq", "\r\nx  y\x00z w\n"]
+    rows = [(t, [(a, b), (b, min(b + 1, n))]) for t in texts for n in [len(re.findall(WORD, t))] for b in range(n + 1) for a in range(b + 1)]
+    frame = spark.createDataFrame(rows, "text string, spans array<struct<at: long, upto: long>>")
+    for text, spans, got in frame.withColumn("cut", source_mix._cut("text", "spans")).collect():
+        starts = [m.start() for m in re.finditer(WORD, text)] + [len(text)]
+        starts[0] = 0
+        assert got == "".join(text[starts[a] : starts[b]] for a, b in spans)
+    # Workers draw the slots only: no text goes there, and the table of sources comes from no list of rows.
+    plan = source_mix.mixed_documents(awkward, block=50)._jdf.queryExecution().optimizedPlan().toString()
+    assert "EvalPython" not in plan and "ExternalRDD" not in plan and "LogicalRDD" not in plan
+
+
 def test_targets_stop_at_three_times_the_size():
     table = pd.DataFrame({"source": [None, "b", "a"], "source_size": [80, 10, 10]})
     got = source_mix.targets(table)
