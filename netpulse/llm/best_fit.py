@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from netpulse.llm.text import token_ids
+from netpulse.llm.text import small_batches, token_ids
 from netpulse.sinks.tables import written
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, place long"
@@ -132,7 +132,8 @@ def best_fit_pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: in
     to which sequence is arbitrary, the sequences' lengths are not.
     """
     spark = docs.sparkSession
-    cut = written(pieces(docs, tokenizer, end_id, capacity), "pieces")
+    with small_batches(spark):
+        cut = written(pieces(docs, tokenizer, end_id, capacity), "pieces")
     sizes = cut.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"))
     # At most ``capacity`` rows, however many documents there are.
     counts = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}

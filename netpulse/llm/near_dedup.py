@@ -57,6 +57,8 @@ CELL = 4096
 BYTES = 64 << 20
 # Ids or keys up to this number (32 MB) may be broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+# Tasks, and so files, that make a table of ids or keys of up to that number.
+FEW = 8
 
 _LOW = sum(LANE_MAX << (LANE * j) for j in range(LANES))
 _HIGH = sum(1 << (LANE * j + BITS) for j in range(LANES))
@@ -165,6 +167,14 @@ def _checked(small: DataFrame) -> DataFrame:
     return F.broadcast(small) if small.count() <= BROADCAST_ROWS else small
 
 
+def _few_files(small: DataFrame, rows: int) -> DataFrame:
+    """A table of at most ``rows`` ids or keys, made from tables as small, by a few tasks where that is little.
+
+    Else every round of a loop leaves a file for each partition.
+    """
+    return small.coalesce(FEW) if rows <= BROADCAST_ROWS else small
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, component (smallest node reachable) for every node that has an edge.
 
@@ -172,12 +182,14 @@ def components(edges: DataFrame) -> DataFrame:
     label of the label, until none changes. Rounds are few, since most groups
     are stars; each is written to the shared folder. Joins on a label that many
     nodes share are split by the adaptive skew join, and minima combine before
-    the shuffle.
+    the shuffle. ``edges`` is a written table.
     """
-    both = written(
-        edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges"
-    )
-    labels = written(both.groupBy("a").agg(F.least("a", F.min("b")).alias("label")).withColumnRenamed("a", "node"), "labels")
+    # Rows of either direction; there are no more nodes.
+    most = 2 * edges.count()
+    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    both = written(_few_files(both, most), "edges")
+    labels = both.groupBy("a").agg(F.least("a", F.min("b")).alias("label")).withColumnRenamed("a", "node")
+    labels = written(_few_files(labels, most), "labels")
     while True:
         heard = (
             both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("heard"))
@@ -185,12 +197,12 @@ def components(edges: DataFrame) -> DataFrame:
         lower = labels.join(heard, labels["node"] == heard["a"]).select(
             "node", F.col("label").alias("before"), F.least("label", "heard").alias("label")
         )
-        lower = written(lower, "labels")
+        lower = written(_few_files(lower, most), "labels")
         jump = lower.select(F.col("node").alias("via"), F.col("label").alias("far"))
         jumped = lower.join(jump, lower["label"] == jump["via"]).select(
             "node", "before", F.least("label", "far").alias("label")
         )
-        jumped = written(jumped, "labels")
+        jumped = written(_few_files(jumped, most), "labels")
         changed = jumped.where(F.col("label") != F.col("before")).limit(1).count()
         labels = jumped.select("node", "label")
         if not changed:
@@ -199,7 +211,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough; ``pairs`` is a written table."""
-    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "paired")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    ids = written(_few_files(ids, 2 * pairs.count()), "paired")
     wanted = docs.select("doc_id", "text").join(_checked(ids), "doc_id", "left_semi")
     # Rows that share a doc_id: the first set in order stands for them.
     sets = written(shingle_sets(wanted, width), "sets").groupBy("doc_id").agg(F.min("shingles").alias("shingles"))
@@ -413,10 +426,11 @@ def near_duplicates(
         keyed = classes.repartition(tasks, "id").select("id", F.explode(_keys()).alias("key"))
         shared = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "shared")
         members = written(keyed.join(_checked(shared), "key", "left_semi"), "buckets")
-        links, labels = None, None
+        links, labels, most = None, None, members.count()
         for step in range(orders + 1):
-            members = written(_labelled(members.select("key", "id"), labels), "members")
-            if not members.limit(1).count():
+            members = written(_few_files(_labelled(members.select("key", "id"), labels), most), "members")
+            most = members.count()
+            if not most:
                 break
             if step < orders:
                 near = written(_with_signature(star_pairs(members, step), classes), "near")

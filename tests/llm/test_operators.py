@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from netpulse.llm import best_fit, cross_polytope, language_id, line_spread, link_trust, multiset_hash, near_dedup, quality_qda, queries, source_mix, token_planes
-from netpulse.llm.text import WORD, TokenIds
+from netpulse.llm.text import BATCH, WORD, TokenIds
 from tools.check import compare, oracle_connection
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -226,6 +226,30 @@ def test_near_dedup(spark, awkward, empty):
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
+def test_loops_of_near_dedup_leave_few_files(spark, monkeypatch):
+    files, real = defaultdict(list), near_dedup.written
+
+    def counted(frame, purpose):
+        out = real(frame, purpose)
+        files[purpose].append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(near_dedup, "written", counted)
+    base = [f"{i} " + " ".join(f"w{i}x{j}" for j in range(60)) for i in range(150)]
+    rows = [(3 * i + k, f"{text}{' more' * k}") for i, text in enumerate(base) for k in range(3)]
+    kept = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in kept}
+    try:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+        got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4, 80).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {r["doc_id"]: r["component_id"] for r in got} == {d: d - d % 3 for d, _ in rows}
+    assert files["labels"] and max(files["labels"] + files["edges"] + files["members"] + files["paired"]) <= near_dedup.FEW
+
+
 def test_near_dedup_compares_all_pairs_of_a_large_bucket(spark, monkeypatch):
     # All documents share one key and no second one; seven components are more than the bucket has.
     monkeypatch.setattr(near_dedup, "_keys", lambda: F.array(F.lit(16).cast("long")))
@@ -429,6 +453,23 @@ def test_quadratic_discriminant_equals_plain_densities():
     assert np.allclose(model.scores(x[1]), 1 / (1 + np.exp(-(density[1] - density[0]) / 3)))
 
 
+@pytest.mark.parametrize("module", [language_id, best_fit])
+def test_texts_go_to_workers_in_small_batches(spark, sf_dir, monkeypatch, module):
+    name, sizes, real = "spark.sql.execution.arrow.maxBytesPerBatch", [], module.written
+
+    def noted(frame, purpose):
+        sizes.append((purpose, int(spark.conf.get(name))))
+        return real(frame, purpose)
+
+    monkeypatch.setattr(module, "written", noted)
+    before = spark.conf.get(name)
+    import corpus_pipeline
+
+    stage = {language_id: corpus_pipeline.language, best_fit: corpus_pipeline.pack}[module]
+    stage(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), sf_dir).count()
+    assert sizes == [({language_id: "known-language", best_fit: "pieces"}[module], BATCH)] and spark.conf.get(name) == before
+
+
 def test_pipeline(spark, sf_dir, docs, tmp_path):
     import corpus_pipeline
 
